@@ -158,7 +158,5 @@ def digest(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFram
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
     """The documents in which no window occurs, with their columns, whatever the names of those."""
-    names = {c: c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)}
-    plain = docs.select(*(F.col(c).alias(n) for c, n in names.items()))
-    found = scanned(plain, benchmark, tuple(n for n in names.values() if n != "text"), **options).where(F.size("hits") == 0)
-    return found.select(*(F.col("__text" if n == "text" else n).alias(c) for c, n in names.items()))
+    plain, back = tk.renamed(docs)
+    return back(scanned(plain, benchmark, tuple(c for c in plain.columns if c != "text"), **options).where(F.size("hits") == 0))

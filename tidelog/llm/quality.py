@@ -88,25 +88,6 @@ def statistics(batch: tk.Batch) -> dict[str, np.ndarray]:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def with_statistics(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns named, the counts as longs, and the features in one array ``features``; null texts have no words."""
-    kept = docs.select(*columns, F.col("text").cast("string").alias("__text"))
-    schema = kept.drop("__text").schema
-    for c in COUNTS:
-        schema = schema.add(c, "long")
-    schema = schema.add("features", T.ArrayType(T.DoubleType()))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = [statistics(x) for _, _, x in tk.batches(b.column("__text"))]
-            got = {k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in (*COUNTS, *FEATURES)}
-            rows = np.column_stack([got[k] for k in FEATURES]).astype(np.float64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * len(FEATURES), pa.int32()), pa.array(rows.ravel()))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), *(pa.array(got[k].astype(np.int64)) for k in COUNTS), lists], [*columns, *COUNTS, "features"])
-
-    return kept.mapInArrow(work, schema)
-
-
 @dataclass(frozen=True)
 class Trees:
     """All trees as arrays of nodes; a leaf is its own child. ``roots`` has each tree's first node."""
@@ -188,6 +169,30 @@ def grow(x: np.ndarray, y: np.ndarray, signs: tuple[int, ...], n_trees: int = 80
     return Trees(flat[:, 0].astype(np.int64), flat[:, 1], flat[:, 2].astype(np.int64), flat[:, 3].astype(np.int64), flat[:, 4], np.array(roots, np.int64), depth, base)
 
 
+def with_statistics(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), trees: Trees | None = None, keep_text: bool = False) -> DataFrame:
+    """The columns named and the counts as longs, then the features in one array ``features``, or with
+    trees their probability ``quality``. Null texts have no words. keep_text: the text stays as ``__text``."""
+    kept = docs.select(*columns, F.col("text").cast("string").alias("__text"))
+    schema = kept.schema if keep_text else kept.drop("__text").schema
+    same = schema.names
+    for c in COUNTS:
+        schema = schema.add(c, "long")
+    schema = schema.add("quality", "double") if trees else schema.add("features", T.ArrayType(T.DoubleType()))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [statistics(x) for _, _, x in tk.batches(b.column("__text"))]
+            got = {k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in (*COUNTS, *FEATURES)}
+            rows = np.column_stack([got[k] for k in FEATURES]).astype(np.float64)
+            if trees:
+                last = pa.array(trees.score(rows))
+            else:
+                last = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * len(FEATURES), pa.int32()), pa.array(rows.ravel()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in same), *(pa.array(got[k].astype(np.int64)) for k in COUNTS), last], schema.names)
+
+    return kept.mapInArrow(work, schema)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, target: str = "quality") -> Trees:
     """Trees from (doc_id, target) labels; nulls in either are left out. No labels: every document scores one half."""
     chosen = labels.select("doc_id", F.col(target).cast("double").alias("__y")).dropna().orderBy(F.xxhash64("doc_id"), "doc_id", "__y").limit(sample)
@@ -197,23 +202,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, target: str
     return grow(x, rows["__y"].to_numpy(np.float64), tuple(FEATURES.values()))
 
 
-def judged(docs: DataFrame, trees: Trees, columns: tuple[str, ...] = ("doc_id",), least: float = LEAST) -> DataFrame:
+def judged(docs: DataFrame, trees: Trees, columns: tuple[str, ...] = ("doc_id",), least: float = LEAST, keep_text: bool = False) -> DataFrame:
     """The columns named, the counts, ``base_failed``, ``quality`` (the trees' probability) and ``kept``.
 
     base_failed: under 50 words, or over half of the words in repeated windows. Such documents are
     never kept; others are if their probability is at least ``least``. Null and empty texts fail.
     """
-    known = with_statistics(docs, columns)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = b.column("features").flatten().to_numpy().reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*columns, *COUNTS)), pa.array(trees.score(x))], [*columns, *COUNTS, "quality"])
-
-    scored = known.mapInArrow(work, known.drop("features").schema.add("quality", "double"))
+    scored = with_statistics(docs, columns, trees, keep_text)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("quality") >= least))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return judged(docs, train(docs, labels)).select("doc_id", *COUNTS, "base_failed", "kept", "quality")
+
+
+def kept(docs: DataFrame, trees: Trees, least: float = LEAST) -> DataFrame:
+    """The documents that pass, with their columns, whatever the names of those."""
+    plain, back = tk.renamed(docs)
+    return back(judged(plain, trees, tuple(c for c in plain.columns if c != "text"), least, keep_text=True).where("kept"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import decontam, mixing, ordinal, pii, quality, simhash, substring, tokens, toxicity
+from tidelog.llm import decontam, licenses, mixing, ordinal, pii, quality, simhash, substring, tokens, toxicity
 from tidelog.llm.textkit import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -26,6 +26,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
@@ -55,8 +59,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_pii, op4_mixing, op5_ordinal_quality, op6_decontamination, op7_quality_rules, op8_token_ids, op9_substring_dedup, op10_simhash)
+    f.__name__: f for f in (op1_toxicity, op2_pii, op3_licenses, op4_mixing, op5_ordinal_quality, op6_decontamination, op7_quality_rules, op8_token_ids, op9_substring_dedup, op10_simhash)
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_licenses": licenses.sql()}

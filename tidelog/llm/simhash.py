@@ -146,3 +146,13 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, se
 
 def digest(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def leaders(docs: DataFrame, **options: object) -> DataFrame:
+    """The documents with one of each component left, the one with the smallest doc_id, with their columns.
+
+    Rows with the same doc_id and text are one document. A component without any doc_id keeps its documents.
+    """
+    found = groups(docs, **options)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__first")).distinct()
+    return docs.join(first, docs["doc_id"].eqNullSafe(first["__first"]), "left_semi").dropDuplicates(["doc_id", "text"])

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -162,6 +162,14 @@ def batches(column: pa.Array | pa.ChunkedArray, limit: int = BATCH_BYTES) -> Ite
         yield i, j, Batch(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The table under names that can't clash (but for ``text``), and what gives its columns back from
+    a table that has the text as ``__text``."""
+    names = {c: c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    return plain, lambda out: out.select(*(F.col("__text" if n == "text" else n).alias(c) for c, n in names.items()))
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder in the cluster's shared folder; a temporary one only where none is set, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
