@@ -29,9 +29,11 @@ HEADER = struct.Struct("<4sIII")
 LANES = 2048
 
 _T1, _T2 = 10, 11  # bits of the prediction tables' sizes
-_TOP = 3  # the highest confidence
-_RISE, _TOTAL = 24, 4096
+_RISE, _BITS = 24, 11
+_TOTAL = 1 << _BITS
 _I = np.int64
+#: Confidence after a right and after a wrong prediction: up to 3, and down to a new prediction.
+_UP, _DOWN = np.array([1, 2, 3, 3], np.int32), np.array([0, 0, 1, 2], np.int32)
 
 
 class CorruptBlock(ValueError):
@@ -39,62 +41,66 @@ class CorruptBlock(ValueError):
 
 
 class _Model:
-    """State of all lanes. ``predict`` sets the mixture; ``learn`` takes the ids of the lanes."""
+    """State of all lanes. ``predict`` sets the mixture; ``learn`` takes the ids of the lanes.
 
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes, dtype=_I)
-        # prediction * 4 + confidence
-        self.one = np.zeros(lanes << _T1, np.int32)
-        self.two = np.zeros(lanes << _T2, np.int32)
+    Row 0 of the stacked arrays is order 1, row 1 is order 2.
+    """
+
+    def __init__(self, lanes: int, inverse: bool):
+        lane = np.arange(lanes, dtype=_I)
+        # prediction * 4 + confidence; order 2's tables follow those of order 1
+        self.table = np.zeros((lanes << _T1) + (lanes << _T2), np.int32)
+        self.base = np.stack([lane << _T1, (lanes << _T1) + (lane << _T2)])
         # of 65536: chance that order 2 is right, and that order 1 is where order 2 is wrong
-        self.w2 = np.tile(np.array([1000, 8000, 20000, 40000] * 8, np.int32), lanes)
-        self.w1 = np.tile(np.repeat(np.array([1000, 6000, 14000, 28000] * 2, np.int32), 4), lanes)
-        self.count = [np.zeros(lanes << 8, np.int32) for _ in range(2)]
-        self.sums = [np.tile(np.arange(257, dtype=np.int32) * (_TOTAL // 256), lanes) for _ in range(2)]
-        self.before, self.last = np.zeros(lanes, _I), np.zeros(lanes, _I)
+        first = np.array([[1000, 8000, 20000, 40000] * 8, np.repeat([1000, 6000, 14000, 28000] * 2, 4)], np.int32)
+        self.chance = np.tile(first[:, None, :], (1, lanes, 1)).ravel()
+        self.cell = np.stack([lane << 5, (lanes + lane) << 5])
+        self.count = np.zeros((2, lanes << 8), np.int32)
+        self.sums = np.tile(np.arange(257, dtype=_I) * (_TOTAL // 256), (2, lanes))
+        self.symbol = np.tile(np.repeat(np.arange(256, dtype=np.uint8), _TOTAL // 256), (2, lanes)) if inverse else None
+        self.keys = np.zeros((2, lanes), _I)  # hashes of the last id, and of the last two
+        self.old = np.zeros(lanes, _I)
         self.steps, self.due = 0, 8
 
     def predict(self, n: int) -> None:
-        """For the first n lanes: predictions p2 and p1, and cumulated shares a (order 2) and b (order 2 and 1)."""
-        lane, last, before = self.lane[:n], self.last[:n], self.before[:n]
-        self.at1 = (lane << _T1) + ((last * 40503) >> 4 & ((1 << _T1) - 1))
-        self.at2 = (lane << _T2) + (((last * 40503) ^ (before * 60493)) >> 4 & ((1 << _T2) - 1))
-        c1, c2 = self.one[self.at1], self.two[self.at2]
-        self.p1, self.p2 = c1 >> 2, c2 >> 2
-        self.c1, self.c2 = c1 & 3, c2 & 3
-        self.same = self.p1 == self.p2
-        self.ctx = (lane << 5) + (self.same << 4) + (self.c1 << 2) + self.c2
-        x2, x1 = self.w2[self.ctx], self.w1[self.ctx]
-        self.x2, self.x1 = x2, x1
-        self.b = (x2 + (((65536 - x2) * x1.astype(_I)) >> 16)).astype(_I)
-        self.a = np.where(self.same, self.b, x2)
+        """For the first n lanes: predictions p, and cumulated shares a (order 2) and b (order 2 and 1)."""
+        self.at = self.base[:, :n] + self.keys[:, :n]
+        cells = self.table.take(self.at)
+        self.p, self.c = cells >> 2, cells & 3
+        same = self.p[0] == self.p[1]
+        self.ctx = self.cell[:, :n] + ((same << 4) + (self.c[0] << 2) + self.c[1])
+        self.x = self.chance.take(self.ctx)
+        x1, x2 = self.x
+        self.b = x2 + ((((65536 - x2) >> 2) * (x1 >> 2)) >> 12)
+        self.a = np.where(same, self.b, x2)
 
     def learn(self, n: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, rest: np.ndarray) -> None:
         """rest: lanes whose id came from order 0. Chances stay within 64 and 60000."""
-        x2, x1 = self.x2, self.x1
-        self.w2[self.ctx] = np.where(hit2, x2 + ((60000 - x2) >> 5), x2 - ((x2 - 64) >> 5))
-        self.w1[self.ctx] = np.where(hit2, x1, np.where(hit1, x1 + ((60000 - x1) >> 5), x1 - ((x1 - 64) >> 5)))
-        small = ids.astype(np.int32) << 2
-        for table, at, p, c in ((self.one, self.at1, self.p1, self.c1), (self.two, self.at2, self.p2, self.c2)):
-            right = p == ids
-            kept = (p << 2) + np.maximum(c - 1, 0)
-            table[at] = np.where(right, (p << 2) + np.minimum(c + 1, _TOP), np.where(c > 0, kept, small + 1))
+        hits = np.stack([hit1, hit2])
+        moved = self.x + ((np.where(hits, 60000, 64) - self.x) >> 5)
+        moved[0] = np.where(hit2, self.x[0], moved[0])
+        self.chance[self.ctx] = moved
+        right = self.p == ids
+        kept = (self.p << 2) + np.where(right, _UP.take(self.c), _DOWN.take(self.c))
+        self.table[self.at] = np.where(right | (self.c > 0), kept, (ids << 2) + 1)
         if len(rest):
-            value = ids[rest]
-            base = rest << 8
+            value, base = ids.take(rest), rest << 8
             self.count[0][base + (value >> 8)] += _RISE
             self.count[1][base + (value & 255)] += _RISE
-        self.before[:n] = self.last[:n]
-        self.last[:n] = ids
+        self.keys[0, :n] = (ids * 40503) >> 4 & ((1 << _T1) - 1)
+        self.keys[1, :n] = ((ids * 40503) ^ self.old[:n]) >> 4 & ((1 << _T2) - 1)
+        self.old[:n] = ids * 60493
         self.steps += 1
         if self.steps == self.due:
-            self.due += min(128, self.due)
-            for count, sums in zip(self.count, self.sums, strict=True):
-                rows = np.cumsum(count.reshape(-1, 256)[:n], axis=1, dtype=_I)
+            self.due += min(256, self.due)
+            for k in range(2):
+                rows = np.cumsum(self.count[k].reshape(-1, 256)[:n], axis=1, dtype=_I)
                 whole = np.maximum(rows[:, -1:], 1)
-                table = sums.reshape(-1, 257)[:n]
-                table[:, 1:] = rows * (_TOTAL - 256) // whole + np.arange(1, 257)
-                table[rows[:, -1] == 0] = np.arange(257) * (_TOTAL // 256)
+                sums = self.sums[k].reshape(-1, 257)[:n]
+                sums[:, 1:] = rows * (_TOTAL - 256) // whole + np.arange(1, 257)
+                sums[rows[:, -1] == 0] = np.arange(257) * (_TOTAL // 256)
+                if self.symbol is not None:
+                    self.symbol[k, : n << _BITS] = np.repeat(np.tile(np.arange(256, dtype=np.uint8), n), np.diff(sums, axis=1).ravel())
 
 
 def _pack(blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,7 +123,7 @@ def _encode(blocks: list[np.ndarray]) -> list[np.ndarray]:
     base = np.arange(lanes, dtype=_I) * width
     to = base.copy()
     low, span = np.zeros(lanes, _I), np.full(lanes, 1 << 48, _I)
-    model = _Model(lanes)
+    model = _Model(lanes, inverse=False)
 
     def put(which: np.ndarray) -> None:
         """Write out the top words of these lanes; a carry runs back through words that are full."""
@@ -146,19 +152,19 @@ def _encode(blocks: list[np.ndarray]) -> list[np.ndarray]:
     for t, n in enumerate(counts.tolist()):
         ids = steps[t, :n].astype(_I)
         model.predict(n)
-        hit2 = model.p2 == ids
-        hit1 = ~hit2 & (model.p1 == ids)
-        none = ~(hit2 | hit1)
+        p1, p2 = model.p
+        hit2 = p2 == ids
+        hit1 = (p1 == ids) & ~hit2
         start = np.where(hit2, 0, np.where(hit1, model.a, model.b))
         end = np.where(hit2, model.a, np.where(hit1, model.b, 65536))
         code(slice(0, n), start, end - start, 16)
-        rest = np.flatnonzero(none)
+        rest = np.flatnonzero(~(hit2 | hit1))
         if len(rest):
-            row = rest * 257
-            for k, byte in enumerate((ids[rest] >> 8, ids[rest] & 255)):
+            row, value = rest * 257, ids.take(rest)
+            for sums, byte in zip(model.sums, (value >> 8, value & 255), strict=True):
                 at = row + byte
-                start = model.sums[k][at].astype(_I)
-                code(rest, start, model.sums[k][at + 1] - start, 12)
+                start = sums.take(at)
+                code(rest, start, sums.take(at + 1) - start, _BITS)
         model.learn(n, ids, hit2, hit1, rest)
     every = np.arange(lanes)
     for _ in range(3):
@@ -184,7 +190,7 @@ def _decode(words: list[np.ndarray], lengths: list[int]) -> list[np.ndarray]:
     value = source[at] << 32 | source[at + 1] << 16 | source[at + 2]
     at += 3
     span = np.full(lanes, 1 << 48, _I)
-    model = _Model(lanes)
+    model = _Model(lanes, inverse=True)
     out = np.zeros((n_steps, lanes), np.uint16)
 
     def take(which: np.ndarray | slice, start: np.ndarray, size: np.ndarray, r: np.ndarray) -> None:
@@ -205,29 +211,26 @@ def _decode(words: list[np.ndarray], lengths: list[int]) -> list[np.ndarray]:
         r = span[:n] >> 16
         v = value[:n]
         in2, in1 = v < r * model.a, v < r * model.b
-        hit2 = in2
         hit1 = in1 & ~in2
         start = np.where(in2, 0, np.where(in1, model.a, model.b))
         end = np.where(in2, model.a, np.where(in1, model.b, 65536))
         take(slice(0, n), start, end - start, r)
-        ids = np.where(in2, model.p2, model.p1).astype(_I)
+        ids = np.where(in2, model.p[1], model.p[0]).astype(_I)
         rest = np.flatnonzero(~in1)
         if len(rest):
-            row = rest * 257
-            whole = np.zeros(len(rest), _I)
-            for k in range(2):
-                r = span[rest] >> 12
-                target = np.minimum((value[rest] / r).astype(_I), _TOTAL - 1)
-                sums, place = model.sums[k], row.copy()
-                for step in (128, 64, 32, 16, 8, 4, 2, 1):
-                    place += step * (sums[place + step] <= target)
-                start = sums[place].astype(_I)
-                take(rest, start, sums[place + 1] - start, r)
-                whole = whole << 8 | (place - row)
+            row, lane = rest * 257, rest << _BITS
+            whole = 0
+            for sums, symbol in zip(model.sums, model.symbol, strict=True):
+                r = span.take(rest) >> _BITS
+                target = np.minimum((value.take(rest) / r).astype(_I), _TOTAL - 1)
+                byte = symbol.take(lane + target).astype(_I)
+                cell = row + byte
+                start = sums.take(cell)
+                take(rest, start, sums.take(cell + 1) - start, r)
+                whole = whole << 8 | byte
             ids[rest] = whole
-        # an id that order 0 happened to carry though a prediction had it is no case: the coder never writes one
         out[t, :n] = ids
-        model.learn(n, ids, hit2, hit1, rest)
+        model.learn(n, ids, in2, hit1, rest)
     done = [np.zeros(0, np.uint16)] * lanes
     columns = np.ascontiguousarray(out.T)
     for k, i in enumerate(order.tolist()):

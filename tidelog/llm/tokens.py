@@ -26,8 +26,10 @@ from tidelog.llm import textkit as tk
 
 END = 2
 SEGMENT = coder.BLOCK * coder.LANES
-#: Characters of pieces that a worker remembers; beyond that it starts anew.
+#: Characters of the pieces that a worker remembers: those it meets first. Others are kept for their batch.
 MEMORY = 8 << 20
+#: Parts pieces from one another when many are encoded in one call; a piece that holds it is encoded alone.
+PART = "<|endoftext|>"
 
 SCHEMA = "shard int, segment int, shard_start long, n_ids long, doc_ids binary, known binary, lengths binary, frames binary"
 
@@ -38,26 +40,38 @@ class Tokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer as Library
 
-        self.encode = Library.from_file(path).encode_batch
+        self.library = Library.from_file(path)
+        self.part = self.library.token_to_id(PART)
         self.known: dict[bytes, bytes] = {}
         self.held = 0
 
+    def encoded(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece as bytes."""
+        texts = [p.decode() for p in pieces]
+        ids = np.array(self.library.encode(PART.join(texts), add_special_tokens=False).ids, np.int64)
+        cuts = np.flatnonzero(ids == self.part)
+        if self.part is None or len(cuts) != len(texts) - 1:
+            return [np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint16).tobytes() for t in texts]
+        whole = ids.astype(np.uint16).tobytes()
+        return [whole[a:b] for a, b in zip([0, *(2 * cuts + 2).tolist()], [*(2 * cuts).tolist(), len(whole)], strict=True)]
+
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of UTF-8 texts, each with the end id."""
         # ASCII white space only: all of it is white space to the tokenizer as well
         pieces = [t.split() for t in texts]
-        if self.held > MEMORY:
-            self.known.clear()
-            self.held = 0
         fresh = list(set(chain.from_iterable(pieces)).difference(self.known))
         for i in range(0, len(fresh), 4096):
             some = fresh[i : i + 4096]
-            made = self.encode([p.decode() for p in some], add_special_tokens=False)
-            self.known.update((p, np.array(e.ids, np.uint16).tobytes()) for p, e in zip(some, made, strict=True))
-        self.held += sum(map(len, fresh))
+            self.known.update(zip(some, self.encoded(some), strict=True))
         get = self.known.__getitem__
         end = np.uint16(END).tobytes()
-        return [np.frombuffer(b"".join(map(get, p)) + end, np.uint16) for p in pieces]
+        out = [np.frombuffer(b"".join(map(get, p)) + end, np.uint16) for p in pieces]
+        if self.held < MEMORY:
+            self.held += sum(map(len, fresh))
+        else:
+            for p in fresh:
+                del self.known[p]
+        return out
 
 
 _tokenizers: dict[str, Tokenizer] = {}
