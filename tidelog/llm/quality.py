@@ -173,8 +173,8 @@ def with_statistics(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), tre
     """The columns named and the counts as longs, then the features in one array ``features``, or with
     trees their probability ``quality``. Null texts have no words. keep_text: the text stays as ``__text``."""
     kept = docs.select(*columns, F.col("text").cast("string").alias("__text"))
-    schema = kept.schema if keep_text else kept.drop("__text").schema
-    same = schema.names
+    schema = T.StructType([f for f in kept.schema if keep_text or f.name != "__text"])
+    same = tuple(schema.names)
     for c in COUNTS:
         schema = schema.add(c, "long")
     schema = schema.add("quality", "double") if trees else schema.add("features", T.ArrayType(T.DoubleType()))
