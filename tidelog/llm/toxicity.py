@@ -57,7 +57,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total + self.constant, -500, 500)))
 
 
-def fit(texts: list[str | None], labels: np.ndarray, bits: int = BITS, rounds: int = 3, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0) -> Model:
+def fit(texts: list[str | None], labels: np.ndarray, bits: int = BITS, rounds: int = 8, alpha: float = 2.0, beta: float = 1.0, l1: float = 10.0, l2: float = 0.0) -> Model:
     """FTRL-proximal over the texts in the order given, ``rounds`` times. No texts: a score of one half for all."""
     rows: list[np.ndarray] = []
     for _, _, batch in tk.batches(pa.array(texts, pa.large_string())):
