@@ -54,6 +54,8 @@ _SPELLED_PART = re.compile(rf"plus|{_WORD}|[0-9]", re.I)
 #: Bracketed at and dot, with white space on either side; or the bare words where both stand in an address.
 _BRACKETED = re.compile(r"[ \t]*[\[({<][ \t]*(at|dot|@|\.)[ \t]*[\])}>][ \t]*", re.I)
 _BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:[ ]+at[ ]+|@)[A-Za-z0-9-]+(?:(?:[ ]+dot[ ]+|\.)[A-Za-z0-9-]+)+", re.I)
+# fixed values: last labels that bare words are taken for an address by
+_ENDS = frozenset("com org net edu gov mil int info biz io co uk de fr es eu ch nl se app dev".split())
 _BARE_SIGN = re.compile(r"[ ]+(at|dot)[ ]+", re.I)
 _DOTTED = re.compile(r"(?<![0-9])[0-9]{1,3}(?:[ ]+dot[ ]+[0-9]{1,3}){3}(?![0-9])", re.I)
 
@@ -137,7 +139,8 @@ def _sign_edits(text: str) -> Iterator[tuple[int, int, str]]:
 def _bare_edits(text: str) -> Iterator[tuple[int, int, str]]:
     for pattern in (_BARE, _DOTTED):
         for m in pattern.finditer(text):
-            if " dot " in m[0].lower():
+            low = m[0].lower()
+            if " dot " in low and (pattern is _DOTTED or re.split(r"[ .]", low)[-1] in _ENDS):
                 for s in _BARE_SIGN.finditer(text, m.start(), m.end()):
                     yield s.start(), s.end(), "@" if s[1].lower() == "at" else "."
 
