@@ -9,7 +9,8 @@ WRAPPED = licenses.SENTENCES["isc-grant"].replace("software for any", "software\
 CASES = {
     None: "", "": "", " \n.": "", "No licence here. None at all!": "",
     "Some prose.\nLicensed under CC BY-NC 4.0.\nMore.": "CC-BY-NC-4.0",
-    "é licensed UNDER the Apache license,   version 2.0. Released under the MIT License": "",
+    "So licensed UNDER the Apache license,   version 2.0. Released under the MIT License": "MIT",
+    "licensed UNDER -- the Apache license,   version 2.0": "Apache-2.0",
     "x. Licensed under the Apache License, Version 2.0. Released under the MIT License.": "Apache-2.0,MIT",
     MIT: "MIT", WRAPPED: "ISC",
     "Released under the MIT License.\nReleased under the MIT License.": "MIT",

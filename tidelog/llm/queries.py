@@ -63,4 +63,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-SQL: dict[str, str] = {"op3_licenses": licenses.sql()}
+SQL: dict[str, str] = {"op3_licenses": licenses.sql(), "op6_decontamination": decontam.sql(), "op9_substring_dedup": substring.sql()}

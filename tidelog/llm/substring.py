@@ -224,3 +224,14 @@ def kept_text(docs: DataFrame, **options: object) -> DataFrame:
         return pa.table({"doc_id": ids, "text": pa.array(texts, pa.string())})
 
     return remove_repeats(docs, finish, "doc_id long, text string", **options)
+
+
+def sql(window: int = WINDOW) -> str:
+    """The digest for DuckDB: every window as text, numbered by its first start."""
+    return f"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - {window - 2})) AS i FROM d WHERE len(w) >= {window}),
+late AS (SELECT doc_id, i FROM starts QUALIFY row_number() OVER (PARTITION BY array_to_string(w[i:i + {window - 1}], ' ') ORDER BY doc_id, i) > 1),
+gone AS (SELECT doc_id, list(DISTINCT i + k) AS g FROM late, range({window}) r(k) GROUP BY doc_id),
+cut AS (SELECT d.doc_id, w, CASE WHEN g IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(g, i)) END AS kept FROM d LEFT JOIN gone USING (doc_id))
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(kept))::BIGINT AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM cut"""
