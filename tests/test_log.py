@@ -125,8 +125,13 @@ def test_failing_handler(log):
 
 def test_continuous_until_stopped(log):
     _filled(log, 3, 1)
-    worker = Worker(log, WorkerConfig(total_segments=2, poll_interval=0.01))
+    class Lines(list):
+        debug = info = error = list.append
+
+    lines = Lines()
+    worker = Worker(log, WorkerConfig(total_segments=2, poll_interval=0.01, logger=lines))
     assert worker.run(Consumer("c", lambda events, models: worker.stop(), Scope(("Test",)))) == {"c": 3}
+    assert any(x.startswith("batch handled consumer=c") and "events=3" in x for x in lines)
 
 
 def test_streaming_source(log, spark, tmp_path):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.errors import CommitConflict, NoEventsError, OptimisticConcurrencyError
+from tidelog.functions.notes import note
 from tidelog.functions.pacing import retry_delay
 from tidelog.operators import append as appends
 from tidelog.operators import scans
@@ -131,8 +132,11 @@ class EventLog:
             state = self.state()
             folder = f"{self.config.events}/{state.version + 1:020d}-{uuid.uuid4().hex}"
             try:
-                return self._append_on(state, events, folder)
+                after = self._append_on(state, events, folder)
+                note(self.config.logger, "info", "events appended", version=after.version, first=state.head + 1, last=after.head)
+                return after
             except CommitConflict:
+                note(self.config.logger, "info", "append lost a race", version=state.version + 1, attempt=attempt)
                 for f in (folder, folder.replace(self.config.events, self.config.heads, 1)):
                     self.commits.fs.delete(self.commits._path(f"{self.path}/{f}"), True)
                 time.sleep(retry_delay(attempt))
@@ -158,11 +162,11 @@ class EventLog:
     # coordination and read models
 
     def segments(self, state: State | None = None) -> DataFrame:
-        return self.spark.createDataFrame(list((state or self.state()).segments), SEGMENT_SCHEMA)
+        return self.spark.createDataFrame(list((state or self.state()).segments), SEGMENT_SCHEMA).coalesce(1)
 
     def workers(self, state: State | None = None) -> DataFrame:
         rows = [(c, w, dt.datetime.fromisoformat(t)) for c, w, t in (state or self.state()).workers]
-        return self.spark.createDataFrame(rows, WORKER_SCHEMA)
+        return self.spark.createDataFrame(rows, WORKER_SCHEMA).coalesce(1)
 
     def transition(self, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], models: dict[str, DataFrame] | None = None) -> State:
         """Commit the coordination tables that ``step`` makes of the present ones, with rows of read models, as one.
@@ -176,7 +180,7 @@ class EventLog:
         for attempt in range(self.config.attempts * 4):
             state = self.state()
             segments, workers = step(self.segments(state), self.workers(state))
-            delta = {"segments": [list(r) for r in segments.orderBy("consumer_name", "segment_id").collect()], "workers": [[r.consumer_name, r.worker_id, r.last_heartbeat.isoformat()] for r in workers.orderBy("consumer_name", "worker_id").collect()]}
+            delta = {"segments": sorted((list(r) for r in segments.collect()), key=lambda r: r[:2]), "workers": sorted([r.consumer_name, r.worker_id, r.last_heartbeat.isoformat()] for r in workers.collect())}
             try:
                 return self.commits.commit(state, delta | ({"models": folders} if folders else {}))
             except CommitConflict:

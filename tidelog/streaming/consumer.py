@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidelog.errors import CommitConflict, ConsumerStoppedError, NoConsumersError
 from tidelog.functions import pacing
 from tidelog.functions.hashing import in_segment
+from tidelog.functions.notes import note
 from tidelog.operators import scans, segments
 from tidelog.plans.scope import Scope
 from tidelog.sources.log import EventLog
@@ -75,6 +76,7 @@ class Worker:
             try:
                 self._consume(c, handled)
             except BaseException as error:
+                note(self.config.logger, "error", "consumer stopped", consumer=c.name, error=error)
                 errors.append((c.name, error))
                 self.stopping.set()
 
@@ -92,7 +94,8 @@ class Worker:
         cfg, now = self.config, F.current_timestamp
         one_off = cfg.run_mode == ONE_OFF
         self.log.transition(lambda s, w: (segments.initialized(s, c.name, cfg.total_segments), segments.registered(w, c.name, self.id, now())))
-        beat = balanced = 0.0
+        beat = balanced = audited = 0.0
+        audit = pacing.audit_interval(cfg.health_audit_interval, cfg.stale_threshold)
         poll, pause = cfg.poll_interval, 0.0
         try:
             while not self.stopping.is_set():
@@ -103,6 +106,11 @@ class Worker:
                 if t - beat >= cfg.heartbeat_interval:
                     self.log.transition(lambda s, w: (s, segments.registered(w, c.name, self.id, now())))
                     beat = t
+                if audit and t - audited >= audit:
+                    if not any(w[:2] == (c.name, self.id) for w in self.log.state().workers):
+                        note(cfg.logger, "error", "worker was purged and registers again", consumer=c.name, worker=self.id)
+                        beat = 0.0
+                    audited = t
                 owned = [r[1] for r in self.log.state().segments if r[0] == c.name and r[3] == self.id]
                 read = 0
                 for segment in owned:
@@ -116,7 +124,7 @@ class Worker:
                 elif one_off:
                     return
                 else:
-                    self.stopping.wait(poll)
+                    self.stopping.wait(poll + pacing.wakeup_jitter(time.time_ns(), min(owned, default=0), int(cfg.wakeup_jitter * 1e9)) / 1e9)
                     poll = pacing.idle_poll(cfg.poll_interval, poll, cfg.max_poll_interval, cfg.poll_backoff_factor)
         finally:
             self.log.transition(lambda s, w: (self._freed(s, c), segments.deregistered(w, c.name, self.id)))
@@ -162,4 +170,5 @@ class Worker:
             c.handle(events, models)
         to = last if n == cfg.batch_size else state.head
         log.transition(lambda s, w: (segments.with_checkpoint(s, c.name, segment, to, self.id), w), models)
+        note(cfg.logger, "debug", "batch handled", consumer=c.name, segment=segment, events=n, checkpoint=to)
         return n
