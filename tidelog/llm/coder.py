@@ -22,13 +22,13 @@ import zlib
 
 import numpy as np
 
-BLOCK = 2048
+BLOCK = 1024
 MAGIC = b"TCM1"
 HEADER = struct.Struct("<4sIII")
 #: Lanes at a time.
-LANES = 2048
+LANES = 4096
 
-_T1, _T2 = 10, 11  # bits of the prediction tables' sizes
+_T1, _T2 = 9, 10  # bits of the prediction tables' sizes
 _RISE, _BITS = 24, 11
 _TOTAL = 1 << _BITS
 _I = np.int64

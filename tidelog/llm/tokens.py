@@ -28,8 +28,8 @@ END = 2
 SEGMENT = coder.BLOCK * coder.LANES
 #: Characters of the pieces that a worker remembers: those it meets first. Others are kept for their batch.
 MEMORY = 8 << 20
-#: Parts pieces from one another when many are encoded in one call; a piece that holds it is encoded alone.
-PART = "<|endoftext|>"
+#: Stands between pieces that are encoded in one call; a control character that is one token of its own.
+PART, TOGETHER = "\x01", 512
 
 SCHEMA = "shard int, segment int, shard_start long, n_ids long, doc_ids binary, known binary, lengths binary, frames binary"
 
@@ -41,16 +41,16 @@ class Tokenizer:
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
-        self.part = self.library.token_to_id(PART)
+        self.part = self.library.encode(PART, add_special_tokens=False).ids
         self.known: dict[bytes, bytes] = {}
         self.held = 0
 
     def encoded(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece as bytes."""
         texts = [p.decode() for p in pieces]
-        ids = np.array(self.library.encode(PART.join(texts), add_special_tokens=False).ids, np.int64)
-        cuts = np.flatnonzero(ids == self.part)
-        if self.part is None or len(cuts) != len(texts) - 1:
+        ids = np.array(self.library.encode(f" {PART} ".join(texts), add_special_tokens=False).ids, np.int64)
+        cuts = np.flatnonzero(ids == self.part[0]) if len(self.part) == 1 else ids[:0]
+        if len(cuts) != len(texts) - 1:  # a piece holds the sign itself
             return [np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint16).tobytes() for t in texts]
         whole = ids.astype(np.uint16).tobytes()
         return [whole[a:b] for a, b in zip([0, *(2 * cuts + 2).tolist()], [*(2 * cuts).tolist(), len(whole)], strict=True)]
@@ -60,8 +60,8 @@ class Tokenizer:
         # ASCII white space only: all of it is white space to the tokenizer as well
         pieces = [t.split() for t in texts]
         fresh = list(set(chain.from_iterable(pieces)).difference(self.known))
-        for i in range(0, len(fresh), 4096):
-            some = fresh[i : i + 4096]
+        for i in range(0, len(fresh), TOGETHER):
+            some = fresh[i : i + TOGETHER]
             self.known.update(zip(some, self.encoded(some), strict=True))
         get = self.known.__getitem__
         end = np.uint16(END).tobytes()
