@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tidelog.llm import textkit as tk
 
 #: Labelled documents that the model is fitted on, at most; those with the smallest hash of doc_id.
-SAMPLE = 12_000
+SAMPLE = 8_000
 BITS, FOLDS = 20, 5
 
 _U = np.uint64
@@ -63,7 +63,7 @@ def fit(texts: list[str | None], labels: np.ndarray, bits: int = BITS, rounds: i
     for _, _, batch in tk.batches(pa.array(texts, pa.large_string())):
         doc, place = features(batch, bits)
         pairs = np.unique(doc << bits | place)
-        rows += [p & ((1 << bits) - 1) for p in np.split(pairs, np.searchsorted(pairs, np.arange(1, len(batch.counts)) << bits))]
+        rows += [(p & ((1 << bits) - 1)).astype(np.int32) for p in np.split(pairs, np.searchsorted(pairs, np.arange(1, len(batch.counts)) << bits))]
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     spot = 1 << bits  # the constant, without L1
 
