@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import decontam, mixing, quality, simhash, tokens
+from tidelog.llm import decontam, mixing, neardup, quality, tokens
 from tidelog.llm.queries import vocabulary
 from tidelog.llm.textkit import table, written
 
@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact and near copies stays."""
-    return simhash.leaders(docs)
+    """One document of each group of exact and near copies stays: five-word shingles, Jaccard similarity of 0.8 or more."""
+    return neardup.leaders(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
