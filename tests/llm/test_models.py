@@ -31,6 +31,13 @@ def test_counts(spark, sf_dir):
     assert got == {i: brute_counts(t) for i, t in enumerate(texts)}
 
 
+def test_lines_that_defeat_polynomial_hashes(spark):
+    a, b = ("".join("ab"[(i.bit_count() + k) % 2] for i in range(2048)) for k in range(2))
+    texts = [f"{a}\n{b}", f"{a}\n{b}\n{a}", f"{a} {b} x {b} {a} x"]
+    got = {r.doc_id: tuple(r)[1:6] for r in quality.with_statistics(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: brute_counts(t) for i, t in enumerate(texts)} and [got[i][3] for i in range(3)] == [0, 1, 0]
+
+
 def test_trees_keep_their_signs():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 3))

@@ -1,10 +1,13 @@
 import hashlib
+import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
 from tidelog.llm import substring
+from tidelog.llm import textkit as tk
 
 SCHEMA = "doc_id long, text string"
 
@@ -61,6 +64,29 @@ def test_whole_table(spark, sf_dir):
     assert sum(r[2] for r in got) > 0
 
 
+def thue_morse(n):
+    """Two words that polynomial hashes modulo a power of two can't tell apart."""
+    return ["".join("ab"[(i.bit_count() + k) % 2] for i in range(n)) for k in range(2)]
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_defeat_polynomial_hashes(spark, n):
+    a, b = thue_morse(n)
+    tail = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{a} {tail}"), (2, f"{b} {tail}"), (3, f"{b} {tail}")]
+    got = run(spark, rows)
+    assert got == brute(rows) and [r[2] for r in got] == [0, 0, 20]
+
+
+def test_word_hashes_of_all_lengths():
+    words = sorted({("ab" * 200)[:n] + c for n in range(300) for c in "xyé"} | {"".join(p) for p in itertools.product("ab", repeat=8)} | set(thue_morse(64) + thue_morse(512)))
+    batch = next(tk.batches(pa.array([" ".join(words), " ".join(reversed(words))], pa.large_string())))[2]
+    batch.words(tk.SPACE_NOT)
+    for kind in ("byte", "byte2"):
+        hashes = batch.word_hashes(kind)
+        assert len(set(hashes.tolist())) == len(words) and (hashes[: len(words)] == hashes[len(words) :][::-1]).all()
+
+
 def test_bad_cover(spark):
     with pytest.raises(ValueError):
         substring.digest(spark.createDataFrame([], SCHEMA), cover=(0, 1))

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +29,12 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 _U = np.uint64
-_BASES = {"byte": 0x9E3779B97F4A7C55, "word": 0xD1342543DE82EF95, "byte2": 0xA0761D6478BD642F, "word2": 0xE7037ED1A0B428DB}
+_BASES = {"word": 0xD1342543DE82EF95, "word2": 0xE7037ED1A0B428DB}
+_SEEDS = {"byte": 0x9E3779B97F4A7C55, "byte2": 0xA0761D6478BD642F}
 _powers: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-_symbols = {k: np.random.default_rng(s).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1) for k, s in (("byte", 11), ("byte2", 12))}
+#: Words of over LONG bytes are hashed one by one; of others, eight bytes at a time.
+LONG = 64
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
 
 
 def powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,12 +89,21 @@ class Batch:
         self.counts = np.diff(self.at)
 
     def word_hashes(self, kind: str = "byte", data: np.ndarray | None = None) -> np.ndarray:
+        """64 bits for each word; words of equal length up to eight bytes never share theirs."""
         data = self.data if data is None else data
-        up, down = powers(kind, len(data))
-        sums = np.empty(len(data) + 1, _U)
-        sums[0] = 0
-        np.cumsum(_symbols[kind][data] * up[: len(data)], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        size = self.ends - self.starts
+        eights = np.lib.stride_tricks.as_strided(np.concatenate([data, np.zeros(8, np.uint8)]), (len(data) + 1, 8), (1, 1))
+        out = size.astype(_U) * _U(0x9FB21C651E98DF25) + _U(_SEEDS[kind])
+        which = np.flatnonzero(size <= LONG)
+        for k in range(0, LONG, 8):
+            which = which[size[which] > k] if k else which
+            if not len(which):
+                break
+            part = eights[self.starts[which] + k].view("<u8").ravel() & _FIRST_BYTES[np.minimum(size[which] - k, 8)]
+            out[which] = mix(out[which] ^ part)
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(data[self.starts[i] : self.ends[i]], _SEEDS[kind])
+        return out
 
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
@@ -129,6 +142,11 @@ def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], len(x))
 
 
+def counted(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each size in turn."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
 def text_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """One large_string array, nulls as empty."""
     if isinstance(column, pa.ChunkedArray):
