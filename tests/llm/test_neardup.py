@@ -1,9 +1,12 @@
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidelog.llm import neardup
+from tidelog.llm import neardup, simhash
 
 SCHEMA = "doc_id long, text string"
 ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
@@ -61,8 +64,8 @@ def test_pipeline_stage_finds_planted_copies(spark):
     assert kept == {d for d, first in brute(rows).items() if d == first} == {2 * k for k in range(7)} | {11, 13}
 
 
-@pytest.mark.parametrize("hot,rounds", [(2, 0), (2, 1), (4, 3), (10_000, 3)])
-def test_against_all_pairs(spark, hot, rounds):
+@pytest.mark.parametrize("hot,rounds,sample", [(2, 0, 4000), (3, 2, 4000), (64, 2, 20)])
+def test_against_all_pairs(spark, hot, rounds, sample):
     rng = random.Random(hot)
     passage, rows = words(rng, 60), [(0, None), (1, ""), (2, "one"), (3, "ONE"), (4, "a b c d e"), (5, "A  b c\nd e")]
     for _ in range(8):
@@ -73,6 +76,61 @@ def test_against_all_pairs(spark, hot, rounds):
                 w[rng.randrange(len(w))] = "x"
             rows.append((len(rows), " ".join(w + passage * rng.randrange(2))))
     df = spark.createDataFrame(rows, SCHEMA)
-    got = {r.doc_id: r.component_id for r in neardup.groups(df, hot=hot, rounds=rounds).collect()}
+    got = {r.doc_id: r.component_id for r in neardup.groups(df, hot=hot, rounds=rounds, sample=sample).collect()}
     assert got == brute(rows)
     assert neardup.leaders(df.where("false")).count() == 0
+
+
+def test_leaders_by_row(spark):
+    schema = "doc_id long, text string, `row.r1` string"
+    rows = [(7, "x y z q", "a"), (3, "x y z q", "a"), (None, "x y z q", "a"), (3, "x y z q", "a"), (3, "X y z q", "b"), (9, "other words here", None), (None, None, "c"), (None, "", "d"), (None, "only one", "e")]
+    got = [tuple(r) for r in neardup.leaders(spark.createDataFrame(rows, schema)).collect()]
+    assert len(got) == 4 and sum(r[0] == 3 for r in got) == 1
+    assert {r[0] for r in got} == {3, 9, None} and (None, "only one", "e") in got and sum(not r[1] for r in got) == 1
+
+
+def test_runs():
+    rng = random.Random(1)
+    for hot in (2, 5, 100):
+        rows = sorted((rng.randrange(30), node, rng.randrange(1, 9)) for node in range(200))
+        runs, out, at = neardup._Runs(hot), [], 0
+        while at < len(rows):
+            step = rng.randrange(1, 30)
+            out.append(runs.take(*np.array(rows[at : at + step]).T))
+            at += step
+        out.append(runs.take(*[np.zeros(0, np.int64)] * 3, last=True))
+        got = [tuple(r.values()) for b in out for r in b.to_pylist()]
+        size = Counter(k for k, _, _ in rows)
+        assert sorted(r[1:] for r in got if r[0] == 1) == [r for r in rows if size[r[0]] > hot]
+        want = {(max(a[1], b[1]), min(a[1], b[1])) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and size[a[0]] <= hot and 5 * min(a[2], b[2]) >= 4 * max(a[2], b[2])}
+        assert {r[2:] for r in got if r[0] == 0} == want
+
+
+def test_prefixes_and_parities():
+    """Whatever the order, similar sets share a shingle of their prefixes, and parities differ in no more places than sets do."""
+    rng = np.random.default_rng(2)
+    sets = []
+    for n in (1, 2, 5, 9, 10, 46, 300):
+        a = rng.integers(-(1 << 62), 1 << 62, n)
+        sets += [np.unique(a), np.unique(np.concatenate([a[: n - n // 10], rng.integers(-(1 << 62), 1 << 62, n // 10)]))]
+    key, at = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    common = np.unique(rng.choice(key, 900))
+    prefix, ends, crowd = neardup.Order(common, rng.integers(2, 9, len(common)), 5).prefixes(key, at)
+    bits = neardup.parities_of(key, at)
+    assert crowd.any() and not crowd.all()
+    for k in range(0, len(sets), 2):
+        a, b = set(sets[k].tolist()), set(sets[k + 1].tolist())
+        if 5 * len(a & b) >= 4 * len(a | b):
+            assert set(prefix[ends[k] : ends[k + 1]].tolist()) & set(prefix[ends[k + 1] : ends[k + 2]].tolist())
+        assert np.bitwise_count((bits[k] ^ bits[k + 1]).view(np.uint64)).sum() <= len(a ^ b)
+
+
+def test_chains(spark):
+    """A piece of the ring from which all chains stay within their share, by brute force."""
+    rng = random.Random(3)
+    rows = [([rng.randrange(rng.choice([2, 6])) for _ in range(6)], rng.randrange(20)) for _ in range(300)]
+    got = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, d array<int>, most long").select("i", simhash.has_chain(F.col("d"), F.col("most"), 6).alias("ok")).collect()
+    for r in got:
+        d, most = rows[r.i]
+        assert r.ok == any(all(6 * sum((d + d)[s : s + n]) <= n * most for n in range(1, 7)) for s in range(6))
+        assert r.ok or sum(d) > most

@@ -6,7 +6,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).parent))
 
 import test_decontam
-import test_simhash
+import test_neardup
 import test_tokens
 
 import corpus_pipeline
@@ -33,8 +33,8 @@ def test_stages(spark, sf_dir):
     assert not good & {10_002, 10_003}
 
     single = written(stages["near_dedup"](spark, kept, sf_dir), "n")
-    components = test_simhash.brute_components([(r.doc_id, test_simhash.brute_print(r.text)) for r in kept.collect()])
-    assert rows_of(single) == sorted((before[d] for d, _, c in components if d == c), key=str)
+    first = test_neardup.brute([(r.doc_id, r.text) for r in kept.collect()])
+    assert rows_of(single) == sorted((before[d] for d, c in first.items() if d == c), key=str)
     assert single.count() < kept.count() and not {10_000} & {r.doc_id for r in single.collect()}
 
     clean = written(stages["decontamination"](spark, single, sf_dir), "d")

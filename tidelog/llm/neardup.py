@@ -1,75 +1,120 @@
-"""Near-dedup by exact similarity: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near-dedup of the pipeline: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Prefix filtering. All shingles stand in one order; of a set of n, the first n - ceil(0.8 n) + 1 are
-its prefix, and two sets as similar as asked share a shingle of both prefixes. So prefixes are the
-join keys. Candidates are pruned by the parities of the shingles in 64 * LANES places, of which no more
-can differ than shingles do, and settled by the sets themselves: no link is lost or made up. The order
+Similar sets A and B differ in at most (|A| + |B|) / 9 shingles. That makes the similarity a Hamming
+distance with a bound, to which the pigeonring filter of ``simhash`` applies: the parities of the
+shingles in SEGMENTS pieces of 64 places are a vector in which no more bits can differ than shingles
+do, so around the ring there is a piece from which every chain of pieces stays within its share of the
+bound. Candidates must have such a piece, then pass the whole Hamming check, and are settled by the
+sets themselves: no link is lost or made up.
+
+Candidates share a shingle of their prefixes. All shingles stand in one order; of a set of n, the first
+n - ceil(0.8 n) + 1 are its prefix, and two sets as similar as asked share a shingle of both. The order
 is by the number of documents of a sample that hold the shingle, then by hash, so passages that many
-documents share come last. Any order is exact; the sample only makes keys rare.
+documents share come last. Any order is exact; the sample only makes keys rare, and tells which keys
+aren't: those are never dealt to one task.
 
-Equal sets are one node from the start. A key with over HOT nodes is not joined with itself: its
-nodes are held against a few pivots of the key, which links the copies of one document in a number of
-pairs that grows with the group and not with its square. What is still in different components of a
-key after ROUNDS of that is paired out, so this is exact as well.
+Equal sets are one node from the start. A key of up to HOT nodes gives its pairs in one pass over sorted
+rows. The nodes of a larger one are held against a few pivots of the key, which links the copies of one
+document in a number of pairs that grows with the group and not with its square. What is still in
+different components of a key after ROUNDS of that is paired across the components, so this is exact as well.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql import types as T
 
 from tidelog.llm import simhash
 from tidelog.llm import textkit as tk
 
-SHINGLE, HOT, PIVOTS, ROUNDS, LANES = 5, 16, 4, 3, 16
-#: Documents from which the order of the shingles is taken, about.
-SAMPLE = 4_000
+SHINGLE, HOT, PIVOTS, ROUNDS, SEGMENTS = 5, 64, 4, 2, 16
+#: Documents from which the order of the shingles is taken, about; and the share of them that makes a key a crowd.
+SAMPLE, CROWD = 4_000, 1 / 256
 
 
-def shingles_of(batch: tk.Batch, shingle: int = SHINGLE) -> list[np.ndarray]:
-    """For each text, the hashes of its distinct shingles in order; a text of fewer words has one of all of them."""
+def shingles_of(batch: tk.Batch, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of each text in order, and where each text's begin; a text of fewer words has one of all of them."""
     batch.words(tk.SPACE_NOT)
     hashes = batch.word_hashes(data=tk.LOWER[batch.data])
-    windows = tk.window_hashes(hashes, shingle)
-    out = []
-    for a, b in zip(batch.at[:-1].tolist(), batch.at[1:].tolist(), strict=True):
-        own = windows[a : b - shingle + 1] if b - a >= shingle else tk.window_hashes(hashes[a:b], b - a) if b > a else windows[:0]
-        out.append(np.unique(own.view(np.int64)))
-    return out
+    n_docs, counts = len(batch.counts), batch.counts
+    full = np.flatnonzero(tk.windows_inside(batch.at, shingle))
+    keys, doc = [tk.window_hashes(hashes, shingle)[full]], [batch.doc_of_word()[full]]
+    for width in range(1, shingle):
+        short = np.flatnonzero(counts == width)
+        if len(short):
+            keys.append(tk.mix(tk.window_hashes(hashes, width)[batch.at[short]] + np.uint64(width)))
+            doc.append(short)
+    key, doc = np.concatenate(keys).view(np.int64), np.concatenate(doc)
+    order = np.argsort(doc, kind="stable")
+    key, doc = key[order], doc[order]
+    at = np.searchsorted(doc, np.arange(n_docs + 1)).tolist()
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        key[a:b].sort()
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+    key, doc = key[new], doc[new]
+    return key, np.searchsorted(doc, np.arange(n_docs + 1))
 
 
 def node_of(own: np.ndarray) -> int:
     """The name of a set."""
-    return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "big", signed=True)
+    return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
+
+
+def prefix_size(n: np.ndarray | int) -> np.ndarray | int:
+    return n - (4 * n + 4) // 5 + (n > 0)
+
+
+def parities_of(key: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """SEGMENTS longs for each set; a bit says whether an odd number of the shingles falls there."""
+    n, width = len(at) - 1, 64 * SEGMENTS
+    place = ((key.view(np.uint64) >> np.uint64(20)) % np.uint64(width)).astype(np.int64)
+    flags = np.bincount(np.repeat(np.arange(n), np.diff(at)) * width + place, minlength=n * width) & 1
+    return np.packbits(flags.astype(np.uint8)).view(np.int64).reshape(n, SEGMENTS)
+
+
+class Order:
+    """Shingles that several documents of a sample hold, sorted, with how many do; all others come before them."""
 
+    def __init__(self, common: np.ndarray, times: np.ndarray, crowd: int):
+        self.common, self.times, self.crowd = common, times, crowd
 
-def prefix_of(own: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """The shingles that a set as similar as asked shares one of; ``common`` is sorted, all others come before it."""
-    n = len(own)
-    if not n:
-        return own
-    rank = np.zeros(n, np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-        rank = np.where(common[at] == own, times[at], 0)
-    return own[np.lexsort((own, rank))[: n - (4 * n + 4) // 5 + 1]]
+    def times_of(self, key: np.ndarray) -> np.ndarray:
+        if not len(self.common):
+            return np.zeros(len(key), np.int64)
+        at = np.minimum(np.searchsorted(self.common, key), len(self.common) - 1)
+        return np.where(self.common[at] == key, self.times[at], 0)
 
+    def prefixes(self, key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shingles of the prefixes, where each set's begin, and flags of those that are known to be a crowd's."""
+        times, sizes = self.times_of(key), np.diff(at)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        # within a document shingles are in order already
+        order = np.argsort(doc * (int(times.max(initial=0)) + 1) + times, kind="stable")
+        place = np.arange(len(key)) - np.repeat(at[:-1], sizes)
+        order = order[place < np.repeat(prefix_size(sizes), sizes)]
+        return key[order], np.concatenate([[0], np.cumsum(prefix_size(sizes))]), times[order] >= self.crowd
 
-def parities_of(own: np.ndarray) -> np.ndarray:
-    """LANES longs; a bit says whether an odd number of the shingles falls there."""
-    flags = np.bincount((own.view(np.uint64) >> np.uint64(20)).astype(np.int64) % (64 * LANES), minlength=64 * LANES) & 1
-    return np.packbits(flags.astype(np.uint8)).view(np.int64)
 
+def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int64()))
 
-def _texts(docs: DataFrame) -> DataFrame:
+
+def _row_hashes(docs: DataFrame) -> list[Column]:
+    every = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, T.MapType)]
+    return [F.xxhash64(*every).alias("r1"), F.xxhash64(F.lit(1), *every).alias("r2")]
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, two hashes of the whole row, the text and its hash."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("doc_id", text.alias("__text"), F.xxhash64(text).alias("hash"))
+    return docs.select("doc_id", *_row_hashes(docs), text.alias("__text"), F.xxhash64(text).alias("hash"))
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -77,106 +122,180 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, x in tk.batches(b.column("__text")):
-                own = shingles_of(x, shingle)
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(o) for o in own], pa.int64()), pa.array(own, pa.list_(pa.int64()))], ["node", "own"])
+                key, at = shingles_of(x, shingle)
+                nodes = [node_of(key[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _lists(key, at)], ["node", "own"])
 
-    return texts.select("__text").mapInArrow(work, "node long, own array<long>").dropDuplicates(["node"])
+    return texts.select("__text").mapInArrow(work, "node long, own array<long>")
 
 
-def _order(texts: DataFrame, shingle: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in several distinct sets of a sample, sorted, and in how many."""
-    every = max(1, texts.count() // sample)
-    found = _sets(texts.where(F.pmod(F.xxhash64("hash"), F.lit(every)) == 0), shingle).select(F.explode("own").alias("s")).groupBy("s").count().where("count > 1").orderBy(F.desc("count"), "s").limit(1_000_000).toPandas().sort_values("s")
-    return found["s"].to_numpy(np.int64), found["count"].to_numpy(np.int64)
+def _order(rows: DataFrame, shingle: int, sample: int) -> Order:
+    """From the distinct texts of a sample; the table that is collected has at most a million rows."""
+    every = max(1, rows.count() // sample)
+    some = _sets(rows.where(F.pmod(F.xxhash64("hash"), F.lit(every)) == 0), shingle).dropDuplicates(["node"])
+    found = some.select(F.explode("own").alias("s")).groupBy("s").count().where("count > 1").orderBy(F.desc("count"), "s").limit(1_000_000).toPandas().sort_values("s")
+    return Order(found["s"].to_numpy(np.int64), found["count"].to_numpy(np.int64), max(2, int(sample * CROWD)))
 
 
-def prints_of(texts: DataFrame, shingle: int = SHINGLE, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, hash (of the text), node, n (shingles of the node), ``prefix`` and ``bits``, its parities."""
-    shared = texts.sparkSession.sparkContext.broadcast(_order(texts, shingle, sample))
-    schema = texts.select("doc_id", "hash").schema.add("node", "long").add("n", "integer").add("prefix", ArrayType(LongType())).add("bits", ArrayType(LongType()))
+def prints_of(rows: DataFrame, shingle: int = SHINGLE, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, r1, r2, hash (of the text), node, n (its shingles), ``prefix`` and ``crowd`` (the prefix in two lists), and ``bits``, its parities."""
+    shared = rows.sparkSession.sparkContext.broadcast(_order(rows, shingle, sample))
+    same = ("doc_id", "r1", "r2", "hash")
+    schema = rows.select(*same).schema.add("node", "long").add("n", "integer")
+    for c in ("prefix", "crowd", "bits"):
+        schema = schema.add(c, T.ArrayType(T.LongType()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sizes, prefixes, bits = [], [], [], []
-            for _, _, x in tk.batches(b.column("__text")):
-                for own in shingles_of(x, shingle):
-                    nodes.append(node_of(own))
-                    sizes.append(len(own))
-                    prefixes.append(prefix_of(own, *shared.value))
-                    bits.append(parities_of(own))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("hash"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "hash", "node", "n", "prefix", "bits"])
+            for i, j, x in tk.batches(b.column("__text")):
+                key, at = shingles_of(x, shingle)
+                nodes = [node_of(key[p:q]) for p, q in zip(at[:-1], at[1:], strict=True)]
+                prefix, ends, crowd = shared.value.prefixes(key, at)
+                some = np.concatenate([[0], np.cumsum(crowd)])[ends]
+                bits = parities_of(key, at)
+                out = [_lists(prefix[~crowd], ends - some), _lists(prefix[crowd], some), _lists(bits.ravel(), np.arange(len(bits) + 1) * SEGMENTS)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in same), pa.array(nodes, pa.int64()), pa.array(np.diff(at), pa.int32()), *out], schema.names)
+
+    return rows.mapInArrow(work, schema)
+
+
+def _near(n: str | Column, m: str | Column) -> Column:
+    """Sizes that allow the similarity."""
+    return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
+
+
+class _Runs:
+    """Pairs and crowds of rows that come sorted by key; a run of over ``hot`` rows goes on as it comes."""
+
+    def __init__(self, hot: int):
+        self.hot = hot
+        self.key, self.node, self.n = (np.zeros(0, np.int64) for _ in range(3))
+        self.large: list[int] = []  # the key of a run that is already known to be a crowd
+
+    def take(self, key: np.ndarray, node: np.ndarray, n: np.ndarray, last: bool = False) -> pa.RecordBatch:
+        key, node, n = (np.concatenate(x) for x in ((self.key, key), (self.node, node), (self.n, n)))
+        starts, ends = tk.runs(key)
+        out = [np.zeros((3, 0), np.int64)]
+        keep, large = len(key), self.large
+        if len(starts) and not last:  # the last run may go on
+            keep = starts[-1]
+            if ends[-1] - starts[-1] > self.hot or key[-1] in large:
+                self.large, keep = [int(key[-1])], len(key)
+        self.key, self.node, self.n = key[keep:], node[keep:], n[keep:]
+        sizes = np.minimum(ends, keep) - starts
+        crowd = (sizes > self.hot) | np.isin(key[starts], [*large, *self.large])
+        some = np.flatnonzero(np.repeat(crowd, np.maximum(sizes, 0)))
+        crowds = np.stack([key[some], node[some], n[some]])
+        few = np.flatnonzero((sizes > 1) & ~crowd)
+        for back in range(1, int(sizes[few].max(initial=1))):
+            # every row of a run with the one ``back`` rows before it
+            long = few[sizes[few] > back]
+            where = np.repeat(starts[long] + back, sizes[long] - back) + tk.counted(sizes[long] - back)
+            u, v = node[where], node[where - back]
+            good = 5 * np.minimum(n[where], n[where - back]) >= 4 * np.maximum(n[where], n[where - back])
+            out.append(np.stack([np.zeros(int(good.sum()), np.int64), np.maximum(u, v)[good], np.minimum(u, v)[good]]))
+        pairs = np.unique(np.concatenate(out, axis=1), axis=1)
+        kind = np.concatenate([np.zeros(pairs.shape[1], np.int8), np.ones(crowds.shape[1], np.int8)])
+        return pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(c) for c in np.concatenate([pairs, crowds], axis=1))], ["kind", "key", "a", "b"])
+
+
+def candidates(distinct: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(u, v) of nodes that share a key of up to ``hot`` nodes, and (key, node, n) of the others, from node, n, prefix and crowd."""
+    keyed = distinct.select(F.explode("prefix").alias("key"), "node", "n").repartition("key").sortWithinPartitions("key", "node")
 
-    return texts.mapInArrow(work, schema)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = _Runs(hot)
+        for b in batches:
+            yield runs.take(*(b.column(c).to_numpy().astype(np.int64) for c in ("key", "node", "n")))
+        yield runs.take(*[np.zeros(0, np.int64)] * 3, last=True)
 
+    found = tk.written(keyed.mapInArrow(work, "kind byte, key long, a long, b long"), "runs")
+    known = distinct.select(F.explode("crowd").alias("key"), "node", "n")
+    crowds = found.where("kind = 1").select("key", F.col("a").alias("node"), F.col("b").cast("int").alias("n")).unionByName(known)
+    return found.where("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), crowds
 
-def _near() -> F.Column:
-    """Of (u, n, m): sizes that allow the similarity."""
-    return 5 * F.least("n", "m") >= 4 * F.greatest("n", "m")
 
+def _pruned(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """The pairs that pass the pigeonring filter and the whole Hamming check on the parities."""
+    a, b = (distinct.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}")) for end in ("u", "v"))
+    most = F.floor((F.col("n_u") + F.col("n_v")) / 9)
+    joined = pairs.join(a, "u").join(b, "v").select("u", "v", F.zip_with("bits_u", "bits_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))).alias("d"), most.alias("most"))
+    return joined.where(simhash.has_chain(F.col("d"), F.col("most"), SEGMENTS)).where(F.aggregate("d", F.lit(0), lambda s, x: s + x) <= F.col("most")).select("u", "v")
 
-def links(texts: DataFrame, distinct: DataFrame, shingle: int = SHINGLE, hot: int = HOT, rounds: int = ROUNDS) -> DataFrame:
-    """Edges (u, v) between nodes as similar as asked, with the components that all such pairs have.
 
-    ``distinct`` has node, n, hash (of one text of the node), prefix and bits.
-    """
-    keyed = distinct.select("node", "n", F.explode("prefix").alias("key"))
-    sized = tk.written(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "keys")
-    shared = tk.written(keyed.join(sized, "key"), "shared")
-    few = shared.where(F.col("size") <= hot).drop("size")
-    other = few.select("key", F.col("node").alias("v"), F.col("n").alias("m"))
-    pairs = few.withColumnRenamed("node", "u").join(other, "key").where((F.col("u") > F.col("v")) & _near()).select("u", "v").distinct()
-    edges = tk.written(_settled(texts, distinct, pairs, shingle), "near")
-    crowd = shared.where(F.col("size") > hot).drop("size")
-    if crowd.isEmpty():
-        return edges
+def _settled(rows: DataFrame, distinct: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (u, v) with a similarity of 0.8 or more: 9 times the common shingles are at least 4 times all of both."""
+    pairs = tk.written(_pruned(pairs, distinct), "pairs")
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    some = distinct.join(asked, "node", "left_semi").select("hash").distinct()
+    sets = tk.written(_sets(rows.join(some, "hash", "left_semi").dropDuplicates(["hash"]), shingle).dropDuplicates(["node"]), "sets")
+    a, b = sets.select(F.col("node").alias("u"), F.col("own").alias("x")), sets.select(F.col("node").alias("v"), F.col("own").alias("y"))
+    return pairs.join(a, "u").join(b, "v").where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("u", "v")
+
+
+def roots_of(rows: DataFrame, distinct: DataFrame, shingle: int = SHINGLE, hot: int = HOT, rounds: int = ROUNDS) -> DataFrame:
+    """(node, root) of all nodes in links: the components of all pairs as similar as asked."""
+    pairs, crowds = candidates(distinct, hot)
+    crowds = tk.written(crowds, "crowds")
+    if crowds.isEmpty():
+        return simhash.components(tk.written(_settled(rows, distinct, pairs, shingle), "near"))
+    ends = crowds.select("key", "node", "n", F.col("node").alias("root"))
+    edges = None
     for k in range(rounds + 1):
+        if k < rounds:  # the same few nodes lead in all keys that hold them
+            leads = (F.min(F.struct(F.xxhash64("node", F.lit(k * PIVOTS + j)), "node", "n", "root")) for j in range(PIVOTS))
+            chosen = ends.groupBy("key").agg(F.array_distinct(F.array(*leads)).alias("p")).select("key", F.explode("p").alias("p")).select("key", F.col("p.node").alias("v"), F.col("p.n").alias("m"), F.col("p.root").alias("r"))
+        else:
+            chosen = ends.select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("r"))
+        more = ends.join(chosen, "key").where((F.col("root") != F.col("r")) & _near("n", "m")).select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
+        fresh = _settled(rows, distinct, more if edges is not None else pairs.unionByName(more).distinct(), shingle)
+        edges = tk.written(fresh if edges is None else edges.unionByName(fresh), "near")
         roots = simhash.components(edges)
-        rooted = crowd.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-        unlike = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), *(F.min(F.struct(F.xxhash64("node", F.lit(k * PIVOTS + j)), "node", "n", "root")).alias(f"p{j}") for j in range(PIVOTS))).where("a <> b")
-        unlike = tk.written(unlike, "unlike")
-        if unlike.isEmpty():
+        if k == rounds:
             break
-        if k < rounds:
-            chosen = unlike.select("key", F.explode(F.array(*(F.struct(F.col(f"p{j}.node").alias("v"), F.col(f"p{j}.n").alias("m"), F.col(f"p{j}.root").alias("r")) for j in range(PIVOTS)))).alias("p")).select("key", "p.*").distinct()
-        else:
-            chosen = rooted.join(unlike.select("key"), "key", "left_semi").select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("r"))
-        pairs = rooted.join(chosen, "key").where((F.col("root") != F.col("r")) & _near()).select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
-        edges = tk.written(edges.unionByName(_settled(texts, distinct, pairs, shingle)), "near")
-    return edges
+        rooted = crowds.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+        unlike = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+        ends = tk.written(rooted.join(unlike, "key", "left_semi"), "unlike")
+        if ends.isEmpty():
+            break
+    return roots
 
 
-def _settled(texts: DataFrame, distinct: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (u, v) of nodes with a similarity of 0.8 or more: 9 times the common shingles are at least 4 times all of both."""
-    a, b = (distinct.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}")) for end in ("u", "v"))
-    differ = sum((F.bit_count(F.get("bits_u", F.lit(i)).bitwiseXOR(F.get("bits_v", F.lit(i)))) for i in range(LANES)), F.lit(0))
-    pairs = tk.written(pairs.join(a, "u").join(b, "v").where(9 * differ <= F.col("n_u") + F.col("n_v")).select("u", "v"), "pairs")
-    asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    some = tk.written(distinct.join(asked, "node", "left_semi").select("hash").distinct(), "asked")
-    sets = tk.written(_sets(texts.join(some, "hash", "left_semi"), shingle), "sets")
-    a, b = sets.select(F.col("node").alias("u"), F.col("own").alias("x")), sets.select(F.col("node").alias("v"), F.col("own").alias("y"))
-    return pairs.join(a, "u").join(b, "v").where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("u", "v")
+def grouped(docs: DataFrame, shingle: int = SHINGLE, hot: int = HOT, rounds: int = ROUNDS, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, r1 and r2 (hashes of the row) and ``leader``, the first (unknown, doc_id, r1, r2) of its component."""
+    rows = _rows(docs)
+    prints = tk.written(prints_of(rows, shingle, sample), "prints")
+    first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "r1", "r2")
+    distinct = tk.written(prints.groupBy("node").agg(F.min(first).alias("first"), F.min("hash").alias("hash"), *(F.any_value(c).alias(c) for c in ("n", "prefix", "crowd", "bits"))), "distinct")
+    roots = roots_of(rows, distinct, shingle, hot, rounds)
+    rooted = distinct.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("leader"))
+    # copies share a node, so a node may have any share of the rows: AQE splits its partition
+    return prints.select("doc_id", "r1", "r2", "node").join(rooted.join(least, "root").select("node", "leader"), "node").drop("node")
 
 
-def groups(docs: DataFrame, shingle: int = SHINGLE, hot: int = HOT, rounds: int = ROUNDS, sample: int = SAMPLE) -> DataFrame:
+def groups(docs: DataFrame, **options: object) -> DataFrame:
     """doc_id and component_id, one row per row of (doc_id, text).
 
-    Texts without words are copies of each other and of nothing else. A null doc_id is never a
-    component_id unless its component has no other.
+    Null, empty and blank texts have no words: they are copies of each other and of nothing else. A
+    null doc_id is never a component_id unless its component has no other. An empty table gives no rows.
     """
-    texts = _texts(docs)
-    prints = tk.written(prints_of(texts, shingle, sample), "prints")
-    distinct = tk.written(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("hash").alias("hash"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("bits").alias("bits")), "distinct")
-    roots = simhash.components(links(texts, distinct, shingle, hot, rounds))
-    rooted = distinct.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.select("doc_id", "node").join(rooted.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return grouped(docs, **options).select("doc_id", F.col("leader.doc_id").alias("component_id"))
 
 
 def leaders(docs: DataFrame, **options: object) -> DataFrame:
-    """The documents with one of each component left, the one with the smallest doc_id, with their columns.
+    """One row of each component, with its columns, whatever their names: the smallest doc_id's, a null one last; of rows
+    that share it, that with the smallest hash of all columns; of rows alike in all columns, any.
 
-    Rows with the same doc_id and text are one document. A component without any doc_id keeps its documents.
+    Rows that differ in other columns alone are copies and go like others. (Columns of maps are no part of the hash.)
     """
-    found = groups(docs, **options)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__first")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["__first"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    found = tk.written(grouped(docs, **options), "groups")
+    same = (F.col("r1") == F.col("leader.r1")) & (F.col("r2") == F.col("leader.r2")) & F.col("doc_id").eqNullSafe(F.col("leader.doc_id"))
+    gone = found.where(~same).select("r1", "r2")
+    again = tk.written(found.where(same).groupBy("r1", "r2").count().where("count > 1").select("r1", "r2"), "again")
+    names = docs.columns
+    plain = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names))).alias("row"), *_row_hashes(docs))
+    kept = plain.join(gone.unionByName(again).distinct(), ["r1", "r2"], "left_anti").select("row")
+    if not again.isEmpty():
+        kept = kept.unionByName(plain.join(again, ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"]).select("row"))
+    return kept.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)))

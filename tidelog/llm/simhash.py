@@ -112,6 +112,18 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS,
     return cold.unionByName(warm).distinct()
 
 
+def has_chain(differ: Column, most: Column, segments: int) -> Column:
+    """Pigeonring on an array of differing bits by segment: whether from some segment on every chain stays within its share of ``most``."""
+    ring = F.concat(differ, differ)
+
+    def within(i: Column) -> Column:
+        step = lambda s, x: F.struct((s["sum"] + x).alias("sum"), (s["n"] + 1).alias("n"), (s["ok"] & (segments * (s["sum"] + x) <= (s["n"] + 1) * most)).alias("ok"))
+        start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n"), F.lit(True).alias("ok"))
+        return F.aggregate(F.slice(ring, i, F.lit(segments)), start, step, lambda s: s["ok"])
+
+    return F.exists(F.sequence(F.lit(1), F.lit(segments)), within)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in (u, v), root being the smallest node of its component: large-star and small-star rounds."""
     edges = tk.written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
