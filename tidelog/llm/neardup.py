@@ -216,21 +216,46 @@ def candidates(distinct: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _pruned(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """The pairs that pass the pigeonring filter and the whole Hamming check on the parities."""
+    """The pairs that pass the pigeonring filter and then the whole Hamming check on the parities."""
     a, b = (distinct.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}")) for end in ("u", "v"))
-    most = F.floor((F.col("n_u") + F.col("n_v")) / 9)
-    joined = pairs.join(a, "u").join(b, "v").select("u", "v", F.zip_with("bits_u", "bits_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))).alias("d"), most.alias("most"))
-    return joined.where(simhash.has_chain(F.col("d"), F.col("most"), SEGMENTS)).where(F.aggregate("d", F.lit(0), lambda s, x: s + x) <= F.col("most")).select("u", "v")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            one, two = (x.column(c).flatten().to_numpy().reshape(-1, SEGMENTS).view(np.uint64) for c in ("bits_u", "bits_v"))
+            most = (x.column("n_u").to_numpy().astype(np.int64) + x.column("n_v").to_numpy()) // 9
+            differ = np.bitwise_count(one ^ two).astype(np.int64)
+            keep = np.flatnonzero(simhash.has_chain(differ, most))
+            keep = keep[differ[keep].sum(axis=1) <= most[keep]]
+            yield pa.RecordBatch.from_arrays([x.column(c).take(pa.array(keep)) for c in ("u", "v")], ["u", "v"])
+
+    return pairs.join(a, "u").join(b, "v").mapInArrow(work, "u long, v long")
 
 
 def _settled(rows: DataFrame, distinct: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (u, v) with a similarity of 0.8 or more: 9 times the common shingles are at least 4 times all of both."""
+    """The pairs (u, v) with a similarity of 0.8 or more: 9 times the common shingles are at least 4 times all of both.
+
+    Texts travel and not sets, which take several times the room; one text stands for each node.
+    """
     pairs = tk.written(_pruned(pairs, distinct), "pairs")
     asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    some = distinct.join(asked, "node", "left_semi").select("hash").distinct()
-    sets = tk.written(_sets(rows.join(some, "hash", "left_semi").dropDuplicates(["hash"]), shingle).dropDuplicates(["node"]), "sets")
-    a, b = sets.select(F.col("node").alias("u"), F.col("own").alias("x")), sets.select(F.col("node").alias("v"), F.col("own").alias("y"))
-    return pairs.join(a, "u").join(b, "v").where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("u", "v")
+    some = tk.written(distinct.join(asked, "node", "left_semi").select("node", F.col("first.r1").alias("r1"), F.col("first.r2").alias("r2")), "asked")
+    # rows alike in all columns all come, and one of them goes on
+    texts = rows.select("r1", "r2", "__text").join(tk.small(some), ["r1", "r2"]).groupBy("node").agg(F.any_value("__text").alias("__text"))
+    a, b = (texts.select(F.col("node").alias(end), F.col("__text").alias(f"text_{end}")) for end in ("u", "v"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            sets = []
+            for c in ("text_u", "text_v"):
+                own: list[np.ndarray] = []
+                for _, _, batch in tk.batches(x.column(c)):
+                    key, at = shingles_of(batch, shingle)
+                    own += np.split(key, at[1:-1])
+                sets.append(own)
+            keep = [9 * len(np.intersect1d(p, q, assume_unique=True)) >= 4 * (len(p) + len(q)) for p, q in zip(*sets, strict=True)]
+            yield pa.RecordBatch.from_arrays([x.column(c).filter(pa.array(keep, pa.bool_())) for c in ("u", "v")], ["u", "v"])
+
+    return pairs.join(a, "u").join(b, "v").mapInArrow(work, "u long, v long")
 
 
 def roots_of(rows: DataFrame, distinct: DataFrame, shingle: int = SHINGLE, hot: int = HOT, rounds: int = ROUNDS) -> DataFrame:
@@ -293,9 +318,10 @@ def leaders(docs: DataFrame, **options: object) -> DataFrame:
     same = (F.col("r1") == F.col("leader.r1")) & (F.col("r2") == F.col("leader.r2")) & F.col("doc_id").eqNullSafe(F.col("leader.doc_id"))
     gone = found.where(~same).select("r1", "r2")
     again = tk.written(found.where(same).groupBy("r1", "r2").count().where("count > 1").select("r1", "r2"), "again")
+    some = tk.written(gone.unionByName(again).distinct(), "gone")
     names = docs.columns
     plain = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names))).alias("row"), *_row_hashes(docs))
-    kept = plain.join(gone.unionByName(again).distinct(), ["r1", "r2"], "left_anti").select("row")
+    kept = plain.join(tk.small(some), ["r1", "r2"], "left_anti").select("row")
     if not again.isEmpty():
-        kept = kept.unionByName(plain.join(again, ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"]).select("row"))
+        kept = kept.unionByName(plain.join(tk.small(again), ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"]).select("row"))
     return kept.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)))

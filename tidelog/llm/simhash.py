@@ -112,16 +112,17 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS,
     return cold.unionByName(warm).distinct()
 
 
-def has_chain(differ: Column, most: Column, segments: int) -> Column:
-    """Pigeonring on an array of differing bits by segment: whether from some segment on every chain stays within its share of ``most``."""
-    ring = F.concat(differ, differ)
+def has_chain(differ: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Pigeonring on rows of differing bits by segment: whether from some segment on every chain stays within its share of ``most``.
 
-    def within(i: Column) -> Column:
-        step = lambda s, x: F.struct((s["sum"] + x).alias("sum"), (s["n"] + 1).alias("n"), (s["ok"] & (segments * (s["sum"] + x) <= (s["n"] + 1) * most)).alias("ok"))
-        start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n"), F.lit(True).alias("ok"))
-        return F.aggregate(F.slice(ring, i, F.lit(segments)), start, step, lambda s: s["ok"])
-
-    return F.exists(F.sequence(F.lit(1), F.lit(segments)), within)
+    True wherever a row adds up to ``most`` at most; false for many that don't.
+    """
+    n, segments = differ.shape
+    sums = np.cumsum(np.concatenate([np.zeros((n, 1), np.int64), differ, differ], axis=1), axis=1)
+    alive = np.ones((n, segments), bool)
+    for length in range(1, segments + 1):
+        alive &= segments * (sums[:, length : length + segments] - sums[:, :segments]) <= length * most[:, None]
+    return alive.any(axis=1)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -158,13 +159,3 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, se
 
 def digest(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def leaders(docs: DataFrame, **options: object) -> DataFrame:
-    """The documents with one of each component left, the one with the smallest doc_id, with their columns.
-
-    Rows with the same doc_id and text are one document. A component without any doc_id keeps its documents.
-    """
-    found = groups(docs, **options)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__first")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["__first"]), "left_semi").dropDuplicates(["doc_id", "text"])

@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that kernels take at once; a longer document is a batch of its own.
 BATCH_BYTES = 2 << 20
 
+#: Rows of keys that are sent to all tasks at most, some 24 bytes each.
+SMALL_ROWS = 1_000_000
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 SPACE_NOT = ~SPACE
@@ -204,6 +207,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(keys: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """A written table of a few plain columns, marked for broadcast if it has at most ``most`` rows; else joins deal it out."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -212,6 +220,12 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def size_of(docs: DataFrame) -> int:
+    """Bytes of a table as its plan estimates them, from its files; counted if there is no estimate."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 50 else bytes_of(docs)
+
+
 def bytes_of(docs: DataFrame, text: str = "text") -> int:
     """Bytes of text in all rows."""
     return int(docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0])
