@@ -1,5 +1,9 @@
 """Personal data: base detectors, and a deobfuscation that keeps offsets.
 
+Bare words are read as signs only where they make an address: "at" between a name and a dotted domain
+whose last label is of letters, "dot" between labels; not after the words of _NOBODY nor with a label of
+_NO_LABEL, so "look at the dot at" stays prose. Spelled digits count only in runs that the detectors take.
+
 Three transducers rewrite a text one after the other: homoglyphs to ASCII, spelled digits to
 digits, at/dot disguises to their signs. Each keeps, for every character it puts out, the source
 characters it stands for. The base detectors then run on the rewritten text, and what they find
@@ -10,6 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,11 +56,15 @@ _WORD = "|".join(_DIGITS)
 #: A run of digits of which some are spelled, with one separator each; spelled plus may lead.
 _SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[ -])?(?:(?:{_WORD})(?![A-Za-z0-9])|[0-9](?![A-Za-z]))(?:[ ,-]?(?:(?<![A-Za-z0-9])(?:{_WORD})(?![A-Za-z0-9])|[0-9](?![A-Za-z])))+", re.I)
 _SPELLED_PART = re.compile(rf"plus|{_WORD}|[0-9]", re.I)
-#: Bracketed at and dot, with white space on either side; or the bare words where both stand in an address.
-_BRACKETED = re.compile(r"[ \t]*[\[({<][ \t]*(at|dot|@|\.)[ \t]*[\])}>][ \t]*", re.I)
-_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:[ ]+at[ ]+|@)[A-Za-z0-9-]+(?:(?:[ ]+dot[ ]+|\.)[A-Za-z0-9-]+)+", re.I)
-# fixed values: last labels that bare words are taken for an address by
-_ENDS = frozenset("com org net edu gov mil int info biz io co uk de fr es eu ch nl se app dev".split())
+#: Bracketed at and dot; white space on either side goes with them.
+_BRACKETED = re.compile(r"[\[({<][ \t]*(at|dot|@|\.)[ \t]*[\])}>]", re.I)
+#: An address with the bare words at or dot in it.
+_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+)(?:[ ]+at[ ]+|@)([A-Za-z0-9-]+(?:(?:[ ]+dot[ ]+|\.)[A-Za-z0-9-]+)+)", re.I)
+_LABEL_CUT = re.compile(r"[ ]+dot[ ]+|\.", re.I)
+_LAST_LABEL = re.compile(r"[a-z]{2,24}")
+# fixed values: words that stand before "at" in prose and name nobody, and words that are no part of a domain
+_NOBODY = frozenset("a about all am an and any are arrive arrived as available be been being but by call called came come did do done down each else fell find for found from get go going good got had half has have he held her here him his home i in is it its keep kept laugh lay left live lived look looked looking looks made me meet meets met much no not now of off on once one open or our out over point read really sat see seen she shop sit smile so some stand stare stay still stood stop them then there they this those up us used visit was we went were what when where which who will with work worked working works you".split())
+_NO_LABEL = frozenset("a an and any at her his its least most my no noon of one or our that the their these this those to your".split())
 _BARE_SIGN = re.compile(r"[ ]+(at|dot)[ ]+", re.I)
 _DOTTED = re.compile(r"(?<![0-9])[0-9]{1,3}(?:[ ]+dot[ ]+[0-9]{1,3}){3}(?![0-9])", re.I)
 
@@ -119,30 +128,39 @@ class Rewritten:
 
 
 def _spelled_edits(text: str) -> Iterator[tuple[int, int, str]]:
+    """Spelled digits in runs of two digits or more; whether a run is a number of any kind is for the detectors."""
     for m in _SPELLED.finditer(text):
         parts = list(_SPELLED_PART.finditer(text, m.start(), m.end()))
-        if sum(len(p[0]) > 1 for p in parts) < 3:
-            continue
         for k, p in enumerate(parts):
-            # the separator after a spelled digit goes with it
-            spelled = len(p[0]) > 1
-            stop = parts[k + 1].start() if spelled and k + 1 < len(parts) else p.end()
-            if spelled:
+            if len(p[0]) > 1:
+                # the separator after a spelled digit goes with it
+                stop = parts[k + 1].start() if k + 1 < len(parts) else p.end()
                 yield p.start(), stop, "+" if p[0].lower() == "plus" else _DIGITS[p[0].lower()]
 
 
 def _sign_edits(text: str) -> Iterator[tuple[int, int, str]]:
+    end = 0
     for m in _BRACKETED.finditer(text):
-        yield m.start(), m.end(), "@" if m[1].lower() in ("at", "@") else "."
+        a, b = m.span()
+        while a > end and text[a - 1] in " \t":
+            a -= 1
+        while b < len(text) and text[b] in " \t":
+            b += 1
+        end = b
+        yield a, b, "@" if m[1].lower() in ("at", "@") else "."
 
 
 def _bare_edits(text: str) -> Iterator[tuple[int, int, str]]:
-    for pattern in (_BARE, _DOTTED):
-        for m in pattern.finditer(text):
-            low = m[0].lower()
-            if " dot " in low and (pattern is _DOTTED or re.split(r"[ .]", low)[-1] in _ENDS):
-                for s in _BARE_SIGN.finditer(text, m.start(), m.end()):
+    for m in _BARE.finditer(text):
+        signs = list(_BARE_SIGN.finditer(text, m.start(), m.end()))
+        if signs:
+            *labels, last = _LABEL_CUT.split(m[2].lower())
+            if m[1].lower() not in _NOBODY and not _NO_LABEL.intersection(labels) and _LAST_LABEL.fullmatch(last):
+                for s in signs:
                     yield s.start(), s.end(), "@" if s[1].lower() == "at" else "."
+    for m in _DOTTED.finditer(text):
+        for s in _BARE_SIGN.finditer(text, m.start(), m.end()):
+            yield s.start(), s.end(), "."
 
 
 def rewrite(text: str) -> Rewritten:
@@ -164,10 +182,18 @@ def added(text: str, base: list[Span]) -> list[Span]:
     r = rewrite(text)
     if not r.new.any() and len(r.text) == len(text):
         return []
-    known = set(base)
     found = {(int(r.start[a]), kind, int(r.end[b - 1])) for a, kind, b in detect(r.text) if r.new[a:b].any() or r.end[b - 1] - r.start[a] != b - a}
-    # a span within a base one of its kind is no news
-    return sorted(s for s in found - known if not any(k == s[1] and a <= s[0] and s[2] <= b for a, k, b in base))
+    # a span within a base one of its kind is no news; those of a kind don't overlap, so the last that starts before it decides
+    ends: list[dict[int, int]] = [{} for _ in KINDS]
+    for a, kind, b in base:
+        ends[kind][a] = b
+    starts = [sorted(e) for e in ends]
+    out = []
+    for a, kind, b in sorted(found):
+        k = bisect_right(starts[kind], a)
+        if not k or ends[kind][starts[kind][k - 1]] < b:
+            out.append((a, kind, b))
+    return out
 
 
 def scan(text: str | None) -> tuple[list[Span], list[Span]]:
@@ -176,30 +202,39 @@ def scan(text: str | None) -> tuple[list[Span], list[Span]]:
     return base, sorted(base + added(text or "", base))
 
 
-_HINTS = [w.encode() for w in ("dot", "zero", "two", "three", "four", "five", "six", "seven", "eight", "nine")]
-_BRACKET_HINTS = [a.encode() + w for a in "[({<" for w in (b"at", b"dot", b"@", b".", b" ", b"\t")]
+_SPELLED_BYTES = [w.encode() for w in _DIGITS]
 _DIGIT = np.zeros(256, bool)
 _DIGIT[list(b"0123456789")] = True
-_ODD = np.zeros(256, bool)  # lead bytes of all characters that may be rewritten
-_ODD[[0xC2, *range(0xCC, 0x100)]] = True
+_ODD = np.zeros(256, bool)  # first bytes of all characters that may be rewritten
+_ODD[sorted({c.encode()[0] for c in _GLYPHS})] = True
+#: The fewest digits in an identifier, those of an address of four parts.
+_LEAST_DIGITS = 4
 
 
 def _worth(batch: tk.Batch) -> list[bool]:
-    """Which texts can have any span: digits, an at sign, or a character or word that is rewritten."""
+    """Which texts can have any span. An address has an at sign or what is rewritten to one: a bracket or the word between
+    spaces; all else has _LEAST_DIGITS digits, of which some may be spelled; and any character of the table may become either."""
     data, off = batch.data, batch.offsets
     counts = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[off])
-    plain = (counts(_DIGIT[data]) >= 4) | (counts(data == 0x40) > 0) | (counts(_ODD[data]) > 0)
+    digits = counts(_DIGIT[data]).tolist()
+    plain = (counts(data == 0x40) > 0) | (counts(_ODD[data]) > 0)
     low = tk.LOWER[data].tobytes()
     out = plain.tolist()
     for i, yes in enumerate(out):
         if not yes:
-            a, b = off[i], off[i + 1]
-            out[i] = any(low.find(h, a, b) >= 0 for h in _HINTS) or any(low.find(h, a, b) >= 0 for h in _BRACKET_HINTS)
+            a, b = int(off[i]), int(off[i + 1])
+            # a bare at needs a dotted domain or the word dot, a bracketed one a closing bracket
+            out[i] = digits[i] + sum(low.count(w, a, b) for w in _SPELLED_BYTES) >= _LEAST_DIGITS or (low.find(b" at ", a, b) >= 0 and (low.find(b".", a, b) >= 0 or low.find(b" dot ", a, b) >= 0)) or any(low.find(x, a, b) >= 0 for x in (b"[", b"(", b"{", b"<"))
     return out
 
 
 def with_spans(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns named, ``base`` and ``spans``: lists of (kind, start, end) in code points, ordered by start, then kind."""
+    """The columns named, ``base`` and ``spans``: lists of (kind, start, end) in code points, ordered by start, then kind.
+
+    Null and empty texts have no spans; repeated rows each keep their row; a null doc_id stays null; an
+    empty table gives no rows; other columns are ignored, whatever their names. A text is scanned whole,
+    in time that grows with its length; its spans are those of ``scan``.
+    """
     kept = docs.select(*columns, F.col("text").cast("string").alias("__text"))
     kind = "array<struct<kind:string,start:int,end:int>>"
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
