@@ -2,7 +2,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tidelog.llm import coder, tokens
@@ -15,37 +19,72 @@ ALPHABET = "\x01aBé ßİ\x1c\x1f́ \u0085 'sll \n\t\r\x0b\x0c<|endoftext|>1२
 def test_round_trip(n):
     rng = np.random.default_rng(n)
     for ids in (rng.zipf(1.3, n) % 49408, np.full(n, 65535), np.zeros(n, int), np.arange(n) % 3, rng.integers(0, 65536, n)):
-        frames = coder.compress(ids, 512)
+        prior, frames = coder.compress(ids, 512)
         assert len(frames) == -(-n // 512)
-        assert (coder.decompress(b"".join(frames)) == ids).all()
+        assert (coder.decompress(prior, b"".join(frames)) == ids).all()
         # blocks stand alone
-        assert (coder.decompress(frames[-1]) == ids[512 * (len(frames) - 1) :]).all()
+        assert (coder.decompress(prior, frames[-1]) == ids[512 * (len(frames) - 1) :]).all()
 
 
 def test_repetition_is_predicted():
     ids = np.tile(np.random.default_rng(0).integers(0, 49408, 40), 50)
-    assert sum(map(len, coder.compress(ids, 2000))) < len(ids) * 2 / 5
+    assert sum(map(len, coder.compress(ids, 2000)[1])) < len(ids) * 2 / 5
+
+
+def test_smaller_than_deflate_and_order_0(sf_dir):
+    rows = pq.read_table(f"{sf_dir}/documents.parquet").sort_by("doc_id").column("text").to_pylist()
+    ids = np.concatenate(tokens.tokenizer(vocabulary()).ids([(t or "").encode() for t in rows]))
+    share = np.bincount(ids)
+    share = share[share > 0] / len(ids)
+    prior, frames = coder.compress(ids)
+    bits = 8 * sum(map(len, frames)) / len(ids)
+    assert bits < -(share * np.log2(share)).sum()
+    assert bits < 0.8 * 8 * sum(len(zlib.compress(ids[i : i + coder.BLOCK].tobytes(), 9)) for i in range(0, len(ids), coder.BLOCK)) / len(ids)
+    assert (coder.Prior.unpacked(prior).size[np.unique(ids)] > 0).all()
+
+
+@given(st.lists(st.integers(0, 65535) | st.integers(0, 3), max_size=700), st.integers(1, 300))
+@settings(max_examples=60, deadline=None)
+def test_any_ids_come_back(ids, block):
+    prior, frames = coder.compress(np.array(ids, np.int64), block)
+    assert coder.decompress(prior, b"".join(frames)).tolist() == ids
+
+
+def test_all_ids_at_once():
+    ids = np.concatenate([np.arange(65536), np.zeros(300_000, int), np.arange(65536)[::-1]])
+    prior, frames = coder.compress(ids)
+    assert (coder.decompress(prior, b"".join(frames)) == ids).all()
 
 
 def test_bounds_and_damage():
-    assert coder.compress(np.zeros(0, int)) == [] and len(coder.decompress(b"")) == 0
+    prior, none = coder.compress(np.zeros(0, int))
+    assert none == [] and len(coder.decompress(prior, b"")) == 0
     with pytest.raises(ValueError):
         coder.compress(np.array([65536]))
-    frame = bytearray(coder.compress(np.arange(300))[0])
-    for at, wrong in ((0, 1), (coder.HEADER.size + 9, 255), (12, 7)):
-        bad = frame.copy()
+    prior, (whole,) = coder.compress(np.arange(300))
+    for at, wrong in ((0, 1), (coder.HEADER.size + 9, 255), (12, 7), (5, 3)):
+        bad = bytearray(whole)
         bad[at] ^= wrong
         with pytest.raises(coder.CorruptBlock):
-            coder.decompress(bytes(bad))
-    with pytest.raises(coder.CorruptBlock):
-        coder.decompress(bytes(frame[:-2]))
-    with pytest.raises(coder.CorruptBlock):
-        coder.decompress(bytes(frame[:7]))
+            coder.decompress(prior, bytes(bad))
+    for data in (whole[:-2], whole[:7]):
+        with pytest.raises(coder.CorruptBlock):
+            coder.decompress(prior, data)
+    other, _ = coder.compress(np.arange(300) % 7)
+    for table in (other, prior[:-1], prior[:3], bytes([*prior[:-1], prior[-1] ^ 1])):
+        with pytest.raises(coder.CorruptBlock):
+            coder.decompress(table, whole)
+
+
+def hash_of(text):
+    """Spark's xxhash64: seed 42, signed."""
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
 
 
 def expected(rows):
     library = Tokenizer.from_file(vocabulary())
-    rows = sorted(((-(1 << 63) if i is None else i, t or "", i) for i, t in rows), key=lambda r: (r[0], r[1].encode()))
+    rows = sorted(((-(1 << 63) if i is None else i, t or "", i) for i, t in rows), key=lambda r: (r[0], hash_of(r[1]), r[1].encode()))
     out, start = [], 0
     for _, text, doc in rows:
         ids = [*library.encode(text, add_special_tokens=False).ids, 2]

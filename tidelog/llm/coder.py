@@ -1,18 +1,22 @@
 """Adaptive context-mixing range coder for token ids below 65,536.
 
-A block of ids is coded on its own, from a fresh model. For each id the model has two predictions,
-the id that followed the last two ids before (order 2) and the one that followed the last id (order
-1), each with a confidence, and an order-0 distribution of all ids from adaptive frequencies of
-their high and low bytes. The three are mixed into one distribution: weights for the predictions
-adapt by the pair of confidences and by whether the predictions agree, and what is left goes to
-order 0. The range coder codes the share that the id falls in, then for order 0 its two bytes.
+Ids of a file are coded in blocks. For each id the model has two predictions, the id that followed
+the last two ids before (order 2) and the one that followed the last id (order 1), found by hashed
+contexts that are checked, each with a confidence; and an order-0 distribution of all ids. The three
+are mixed into one distribution: weights for the predictions adapt by the pair of confidences and by
+whether the predictions agree, and what is left goes to order 0. The range coder codes the share that
+the id falls in, then for order 0 the id.
+
+Order 0 is the file's: a table of the frequencies of its ids, stored once (``Prior``). Each block starts
+from it with empty contexts and first weights, so with the table a block is decoded on its own.
 
 Blocks are independent, so numpy works on many at once: block k is lane k of every array, and a
 step codes or decodes the next id of all blocks. Arithmetic is on integers except for one quotient
-that a double holds exactly, so any machine gives the same bytes.
+that a double holds well enough to be corrected, so any machine gives the same bytes.
 
 A frame: magic, number of ids, number of 16-bit words, CRC-32 of the ids as little-endian unsigned
-32-bit integers, then the words.
+32-bit integers, then the words. A table: magic, bits of the total, number of ids, CRC-32 of what
+follows, then ids and frequencies, deflated.
 """
 
 from __future__ import annotations
@@ -22,150 +26,181 @@ import zlib
 
 import numpy as np
 
-BLOCK = 1024
-MAGIC = b"TCM1"
-HEADER = struct.Struct("<4sIII")
+BLOCK = 4096
+MAGIC, TABLE_MAGIC = b"TCM2", b"TCT2"
+HEADER, TABLE_HEADER = struct.Struct("<4sIII"), struct.Struct("<4sIII")
 #: Lanes at a time.
 LANES = 4096
 
-_T1, _T2 = 9, 10  # bits of the prediction tables' sizes
-_RISE, _BITS = 24, 11
-_TOTAL = 1 << _BITS
+_T1, _T2 = 11, 12  # bits of the context tables' sizes
 _I = np.int64
-#: Confidence after a right and after a wrong prediction: up to 3, and down to a new prediction.
-_UP, _DOWN = np.array([1, 2, 3, 3], np.int32), np.array([0, 0, 1, 2], np.int32)
+_HIGH = 32  # the span is at least 1 << _HIGH between ids, and at most 1 << (_HIGH + 16)
+#: Confidence of a prediction: 0 for a context not seen, 1 for a new one, up to 3; by 2 * confidence + right.
+_NEXT = np.array([0, 0, 0, 2, 1, 3, 2, 3], np.int32)
 
 
 class CorruptBlock(ValueError):
     """A frame whose contents don't give the checksum in its header."""
 
 
+class Prior:
+    """Frequencies of ids that add up to 1 << bits, with their sums and the id of each place."""
+
+    def __init__(self, ids: np.ndarray, frequencies: np.ndarray, bits: int):
+        self.ids, self.frequencies, self.bits = ids, frequencies, bits
+        ends = np.cumsum(frequencies)
+        if len(ids) and (ends[-1] != 1 << bits or frequencies.min() < 1):
+            raise CorruptBlock("frequencies don't add up")
+        self.start, self.size = np.zeros(1 << 16, _I), np.zeros(1 << 16, _I)
+        self.start[ids], self.size[ids] = ends - frequencies, frequencies
+        self.place: np.ndarray | None = None
+
+    def inverse(self) -> np.ndarray:
+        if self.place is None:
+            self.place = np.repeat(self.ids.astype(np.uint16), self.frequencies)
+        return self.place
+
+    @staticmethod
+    def of(ids: np.ndarray) -> Prior:
+        """From the ids themselves; each that occurs has a frequency of 1 at least."""
+        counts = np.bincount(ids, minlength=1)
+        some = np.flatnonzero(counts)
+        bits = min(20, max(12, int(len(some)).bit_length() + 6))
+        left = (1 << bits) - len(some)
+        share = counts[some].astype(_I)
+        whole = max(int(share.sum()), 1)
+        extra = share * left // whole
+        missing = left - int(extra.sum())  # fewer than there are ids
+        extra[np.argsort(-share, kind="stable")[:missing]] += 1
+        return Prior(some, extra + 1, bits)
+
+    def packed(self) -> bytes:
+        body = zlib.compress(np.diff(self.ids, prepend=0).astype("<u2").tobytes() + self.frequencies.astype("<u4").tobytes(), 9)
+        return TABLE_HEADER.pack(TABLE_MAGIC, self.bits, len(self.ids), zlib.crc32(body)) + body
+
+    @staticmethod
+    def unpacked(data: bytes) -> Prior:
+        if len(data) < TABLE_HEADER.size:
+            raise CorruptBlock("the table is cut off")
+        magic, bits, n, crc = TABLE_HEADER.unpack_from(data)
+        body = data[TABLE_HEADER.size :]
+        if magic != TABLE_MAGIC or zlib.crc32(body) != crc or bits > 20:
+            raise CorruptBlock("the table doesn't match its checksum")
+        plain = zlib.decompress(body)
+        return Prior(np.cumsum(np.frombuffer(plain, "<u2", n).astype(_I)), np.frombuffer(plain, "<u4", n, 2 * n).astype(_I), bits)
+
+
 class _Model:
     """State of all lanes. ``predict`` sets the mixture; ``learn`` takes the ids of the lanes.
 
-    Row 0 of the stacked arrays is order 1, row 1 is order 2.
+    Row 0 of the stacked arrays is order 1, row 1 is order 2. A cell of a table holds prediction << 12,
+    check of the context << 2 and confidence.
     """
 
-    def __init__(self, lanes: int, inverse: bool):
+    def __init__(self, lanes: int):
         lane = np.arange(lanes, dtype=_I)
-        # prediction * 4 + confidence; order 2's tables follow those of order 1
         self.table = np.zeros((lanes << _T1) + (lanes << _T2), np.int32)
         self.base = np.stack([lane << _T1, (lanes << _T1) + (lane << _T2)])
-        # of 65536: chance that order 2 is right, and that order 1 is where order 2 is wrong
-        first = np.array([[1000, 8000, 20000, 40000] * 8, np.repeat([1000, 6000, 14000, 28000] * 2, 4)], np.int32)
+        # of 65536: chance that order 2 is right, and that order 1 is where order 2 is wrong; by agreement and both confidences
+        first = np.array([np.repeat([64, 4000, 12000, 24000] * 2, 4), [64, 8000, 24000, 44000] * 8], np.int32)
         self.chance = np.tile(first[:, None, :], (1, lanes, 1)).ravel()
         self.cell = np.stack([lane << 5, (lanes + lane) << 5])
-        self.count = np.zeros((2, lanes << 8), np.int32)
-        self.sums = np.tile(np.arange(257, dtype=_I) * (_TOTAL // 256), (2, lanes))
-        self.symbol = np.tile(np.repeat(np.arange(256, dtype=np.uint8), _TOTAL // 256), (2, lanes)) if inverse else None
-        self.keys = np.zeros((2, lanes), _I)  # hashes of the last id, and of the last two
+        self.at, self.check = self.base.copy(), np.zeros((2, lanes), np.int32)
         self.old = np.zeros(lanes, _I)
-        self.steps, self.due = 0, 8
 
     def predict(self, n: int) -> None:
-        """For the first n lanes: predictions p, and cumulated shares a (order 2) and b (order 2 and 1)."""
-        self.at = self.base[:, :n] + self.keys[:, :n]
-        cells = self.table.take(self.at)
-        self.p, self.c = cells >> 2, cells & 3
+        """For the first n lanes: predictions p (-1: none), and cumulated shares a (order 2) and b (order 2 and 1)."""
+        cells = self.table.take(self.at[:, :n])
+        off = cells ^ self.check[:, :n]
+        known = (off & 0xFFC) == 0
+        self.c = np.where(known, off & 3, 0)
+        self.p = np.where(known, cells >> 12, -1)
+        self.cells = cells
+        context = (self.c[0] << 2) + self.c[1]
         same = self.p[0] == self.p[1]
-        self.ctx = self.cell[:, :n] + ((same << 4) + (self.c[0] << 2) + self.c[1])
+        context += same.view(np.int8) << 4
+        self.ctx = self.cell[:, :n] + context
         self.x = self.chance.take(self.ctx)
         x1, x2 = self.x
-        self.b = x2 + ((((65536 - x2) >> 2) * (x1 >> 2)) >> 12)
+        self.b = x2 + (((65536 - x2) * (x1 >> 1)) >> 15)
         self.a = np.where(same, self.b, x2)
 
-    def learn(self, n: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, rest: np.ndarray) -> None:
-        """rest: lanes whose id came from order 0. Chances stay within 64 and 60000."""
-        hits = np.stack([hit1, hit2])
-        moved = self.x + ((np.where(hits, 60000, 64) - self.x) >> 5)
-        moved[0] = np.where(hit2, self.x[0], moved[0])
+    def learn(self, n: int, ids: np.ndarray, hit2: np.ndarray, hits: np.ndarray) -> None:
+        """hits: rows of whether order 1, and order 2, was right. Chances stay within 64 and 60000."""
+        moved = self.x + ((np.where(hits, 60031, 64) - self.x) >> 5)
+        np.copyto(moved[0], self.x[0], where=hit2)  # order 1 wasn't asked
         self.chance[self.ctx] = moved
-        right = self.p == ids
-        kept = (self.p << 2) + np.where(right, _UP.take(self.c), _DOWN.take(self.c))
-        self.table[self.at] = np.where(right | (self.c > 0), kept, (ids << 2) + 1)
-        if len(rest):
-            value, base = ids.take(rest), rest << 8
-            self.count[0][base + (value >> 8)] += _RISE
-            self.count[1][base + (value & 255)] += _RISE
-        self.keys[0, :n] = (ids * 40503) >> 4 & ((1 << _T1) - 1)
-        self.keys[1, :n] = ((ids * 40503) ^ self.old[:n]) >> 4 & ((1 << _T2) - 1)
-        self.old[:n] = ids * 60493
-        self.steps += 1
-        if self.steps == self.due:
-            self.due += min(256, self.due)
-            for k in range(2):
-                rows = np.cumsum(self.count[k].reshape(-1, 256)[:n], axis=1, dtype=_I)
-                whole = np.maximum(rows[:, -1:], 1)
-                sums = self.sums[k].reshape(-1, 257)[:n]
-                sums[:, 1:] = rows * (_TOTAL - 256) // whole + np.arange(1, 257)
-                sums[rows[:, -1] == 0] = np.arange(257) * (_TOTAL // 256)
-                if self.symbol is not None:
-                    self.symbol[k, : n << _BITS] = np.repeat(np.tile(np.arange(256, dtype=np.uint8), n), np.diff(sums, axis=1).ravel())
-
-
-def _pack(blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lane order by falling length, lengths in that order, and ids by step and lane."""
+        short = ids.astype(np.int32)
+        right = self.p == short
+        later = _NEXT.take((self.c << 1) + right)
+        fresh = (short << 12) + 1 + self.check[:, :n]
+        self.table[self.at[:, :n]] = np.where(later > 0, (self.cells & -4) + later, fresh)
+        one = (ids * 0x9E3779B1) & 0xFFFFFFFF
+        two = ((one ^ self.old[:n]) * 0x85EBCA6B) & 0xFFFFFFFF
+        np.add(self.base[0, :n], one >> (32 - _T1), out=self.at[0, :n])
+        np.add(self.base[1, :n], two >> (32 - _T2), out=self.at[1, :n])
+        self.check[0, :n] = (one >> 9) & 0xFFC
+        self.check[1, :n] = (two >> 8) & 0xFFC
+        self.old[:n] = (one >> 3) + 1
+
+
+def _counts(sizes: np.ndarray) -> list[int]:
+    """Lanes still at work at each step; sizes fall."""
+    return np.searchsorted(-sizes, -np.arange(int(sizes[0])), "left").tolist()
+
+
+def _encode(blocks: list[np.ndarray], prior: Prior) -> list[np.ndarray]:
+    """The 16-bit words of each block; no block is empty."""
     sizes = np.array([len(b) for b in blocks], _I)
     order = np.argsort(-sizes, kind="stable")
-    sizes = sizes[order]
-    ids = np.zeros((len(blocks), int(sizes[0])), np.uint16)
+    sizes, lanes = sizes[order], len(blocks)
+    steps = np.zeros((lanes, int(sizes[0])), np.uint16)
     for k, i in enumerate(order.tolist()):
-        ids[k, : sizes[k]] = blocks[i]
-    return order, sizes, np.ascontiguousarray(ids.T)
-
-
-def _encode(blocks: list[np.ndarray]) -> list[np.ndarray]:
-    """The 16-bit words of each block; no block is empty."""
-    order, sizes, steps = _pack(blocks)
-    lanes = len(blocks)
-    width = 3 * len(steps) + 8
+        steps[k, : sizes[k]] = blocks[i]
+    steps = np.ascontiguousarray(steps.T)
+    width = 2 * len(steps) + 8
     out = np.zeros(lanes * width, np.uint16)
     base = np.arange(lanes, dtype=_I) * width
     to = base.copy()
-    low, span = np.zeros(lanes, _I), np.full(lanes, 1 << 48, _I)
-    model = _Model(lanes, inverse=False)
+    low, span = np.zeros(lanes, _I), np.full(lanes, 1 << _HIGH + 16, _I)
+    model = _Model(lanes)
 
     def put(which: np.ndarray) -> None:
         """Write out the top words of these lanes; a carry runs back through words that are full."""
-        value = low[which]
-        carry = which[value >> 48 > 0]
-        at = to[carry] - 1
-        while len(at):
-            out[at] += 1
-            at = at[out[at] == 0] - 1
-        out[to[which]] = (value >> 32) & 0xFFFF
-        to[which] += 1
-        low[which] = (value & 0xFFFFFFFF) << 16
-
-    def code(which: np.ndarray | slice, start: np.ndarray, size: np.ndarray, bits: int) -> None:
-        r = span[which] >> bits
-        low[which] += r * start
-        r *= size
-        span[which] = r
-        short = np.flatnonzero(r < 1 << 32)
-        if len(short):
-            short = short if isinstance(which, slice) else which[short]
-            put(short)
-            span[short] <<= 16
-
-    counts = np.searchsorted(-sizes, -np.arange(len(steps)), "left")
-    for t, n in enumerate(counts.tolist()):
+        value, at = low.take(which), to.take(which)
+        over = value >> _HIGH + 16
+        if over.any():
+            back = at[over > 0] - 1
+            while len(back):
+                out[back] += 1
+                back = back[out[back] == 0] - 1
+        out[at] = (value >> _HIGH) & 0xFFFF
+        to[which] = at + 1
+        low[which] = (value & (1 << _HIGH) - 1) << 16
+
+    for t, n in enumerate(_counts(sizes)):
         ids = steps[t, :n].astype(_I)
         model.predict(n)
-        p1, p2 = model.p
-        hit2 = p2 == ids
-        hit1 = (p1 == ids) & ~hit2
-        start = np.where(hit2, 0, np.where(hit1, model.a, model.b))
-        end = np.where(hit2, model.a, np.where(hit1, model.b, 65536))
-        code(slice(0, n), start, end - start, 16)
-        rest = np.flatnonzero(~(hit2 | hit1))
-        if len(rest):
-            row, value = rest * 257, ids.take(rest)
-            for sums, byte in zip(model.sums, (value >> 8, value & 255), strict=True):
-                at = row + byte
-                start = sums.take(at)
-                code(rest, start, sums.take(at + 1) - start, _BITS)
-        model.learn(n, ids, hit2, hit1, rest)
+        hits = model.p == ids
+        hit2 = hits[1]
+        hits[0] &= ~hit2
+        some = hits[0] | hit2
+        start = np.where(hit2, 0, np.where(some, model.a, model.b)).astype(_I)
+        end = np.where(hit2, model.a, np.where(some, model.b, 65536))
+        r = span[:n] >> 16
+        add, size = r * start, r * (end - start)
+        # order 0 for the others
+        r = size >> prior.bits
+        add += np.where(some, 0, r * prior.start.take(ids))
+        span[:n] = size = np.where(some, size, r * prior.size.take(ids))
+        low[:n] += add
+        model.learn(n, ids, hit2, hits)
+        short = np.flatnonzero(size < 1 << _HIGH)
+        while len(short):
+            put(short)
+            size = span.take(short) << 16
+            span[short] = size
+            short = short[size < 1 << _HIGH]
     every = np.arange(lanes)
     for _ in range(3):
         put(every)
@@ -175,62 +210,55 @@ def _encode(blocks: list[np.ndarray]) -> list[np.ndarray]:
     return done
 
 
-def _decode(words: list[np.ndarray], lengths: list[int]) -> list[np.ndarray]:
+def _decode(words: list[np.ndarray], lengths: list[int], prior: Prior) -> list[np.ndarray]:
     sizes = np.array(lengths, _I)
     order = np.argsort(-sizes, kind="stable")
-    sizes = sizes[order]
-    lanes, n_steps = len(words), int(sizes[0])
+    sizes, lanes = sizes[order], len(words)
     # a damaged block may ask for more words than there are: it reads zeros
     given = np.array([len(words[i]) for i in order], _I)
     starts = np.concatenate([[0], np.cumsum(given + 4)])
-    source = np.zeros(int(starts[-1]), _I)
+    source = np.zeros(int(starts[-1]), np.uint16)
     for k, i in enumerate(order.tolist()):
         source[starts[k] : starts[k] + given[k]] = words[i]
     at, stop = starts[:-1].copy(), starts[1:] - 1
-    value = source[at] << 32 | source[at + 1] << 16 | source[at + 2]
+    value = source[at].astype(_I) << 32 | source[at + 1].astype(_I) << 16 | source[at + 2]
     at += 3
-    span = np.full(lanes, 1 << 48, _I)
-    model = _Model(lanes, inverse=True)
-    out = np.zeros((n_steps, lanes), np.uint16)
-
-    def take(which: np.ndarray | slice, start: np.ndarray, size: np.ndarray, r: np.ndarray) -> None:
-        value[which] -= r * start
-        r = r * size
-        span[which] = r
-        short = np.flatnonzero(r < 1 << 32)
-        if len(short):
-            short = short if isinstance(which, slice) else which[short]
-            here = np.minimum(at[short], stop[short])
-            value[short] = (value[short] & 0xFFFFFFFF) << 16 | source[here]
-            at[short] = here + 1
-            span[short] <<= 16
-
-    counts = np.searchsorted(-sizes, -np.arange(n_steps), "left")
-    for t, n in enumerate(counts.tolist()):
+    span = np.full(lanes, 1 << _HIGH + 16, _I)
+    model, inverse = _Model(lanes), prior.inverse()
+    last = len(inverse) - 1
+    out = np.zeros((int(sizes[0]), lanes), np.uint16)
+    for t, n in enumerate(_counts(sizes)):
         model.predict(n)
-        r = span[:n] >> 16
-        v = value[:n]
-        in2, in1 = v < r * model.a, v < r * model.b
-        hit1 = in1 & ~in2
-        start = np.where(in2, 0, np.where(in1, model.a, model.b))
-        end = np.where(in2, model.a, np.where(in1, model.b, 65536))
-        take(slice(0, n), start, end - start, r)
-        ids = np.where(in2, model.p[1], model.p[0]).astype(_I)
-        rest = np.flatnonzero(~in1)
+        r, v = span[:n] >> 16, value[:n]
+        cut2, cut1 = r * model.a, r * model.b
+        hit2, some = v < cut2, v < cut1
+        start = np.where(hit2, 0, np.where(some, cut2, cut1))
+        size = np.where(hit2, cut2, np.where(some, cut1, r << 16)) - start
+        left = v - start
+        ids = np.where(hit2, model.p[1], model.p[0]).astype(_I)
+        rest = np.flatnonzero(~some)
         if len(rest):
-            row, lane = rest * 257, rest << _BITS
-            whole = 0
-            for sums, symbol in zip(model.sums, model.symbol, strict=True):
-                r = span.take(rest) >> _BITS
-                target = np.minimum((value.take(rest) / r).astype(_I), _TOTAL - 1)
-                byte = symbol.take(lane + target).astype(_I)
-                cell = row + byte
-                start = sums.take(cell)
-                take(rest, start, sums.take(cell + 1) - start, r)
-                whole = whole << 8 | byte
-            ids[rest] = whole
+            r = size.take(rest) >> prior.bits
+            v = left.take(rest)
+            # a quotient of doubles is at most one too high
+            place = (v / np.maximum(r, 1)).astype(_I)
+            place -= place * r > v
+            found = inverse.take(np.minimum(place, last))
+            left[rest] = v - r * prior.start.take(found)
+            size[rest] = r * prior.size.take(found)
+            ids[rest] = found
+        ids &= 0xFFFF
+        value[:n], span[:n] = left, size
         out[t, :n] = ids
-        model.learn(n, ids, in2, hit1, rest)
+        model.learn(n, ids, hit2, np.stack([some & ~hit2, hit2]))
+        short = np.flatnonzero(size < 1 << _HIGH)
+        while len(short):
+            here = np.minimum(at.take(short), stop.take(short))
+            value[short] = (value.take(short) & (1 << _HIGH) - 1) << 16 | source.take(here)
+            at[short] = here + 1
+            size = np.maximum(span.take(short), 1) << 16
+            span[short] = size
+            short = short[size < 1 << _HIGH]
     done = [np.zeros(0, np.uint16)] * lanes
     columns = np.ascontiguousarray(out.T)
     for k, i in enumerate(order.tolist()):
@@ -242,28 +270,30 @@ def checksum(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def compress(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
-    """Frames of blocks of ``block`` ids."""
+def compress(ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, list[bytes]]:
+    """The table of the ids, and frames of blocks of ``block`` of them."""
     if len(ids) and (int(ids.min()) < 0 or int(ids.max()) > 0xFFFF):
         raise ValueError("ids must be from 0 to 65535")
+    prior = Prior.of(ids)
     parts = [ids[i : i + block].astype(np.uint16) for i in range(0, len(ids), block)]
     frames = []
     for i in range(0, len(parts), LANES):
         group = parts[i : i + LANES]
-        for part, words in zip(group, _encode(group), strict=True):
+        for part, words in zip(group, _encode(group, prior), strict=True):
             frames.append(HEADER.pack(MAGIC, len(part), len(words), checksum(part)) + words.astype("<u2").tobytes())
-    return frames
+    return prior.packed(), frames
 
 
-def decompress(data: bytes) -> np.ndarray:
-    """The ids of frames that follow one another. CorruptBlock if a header or a checksum doesn't hold."""
+def decompress(table: bytes, data: bytes) -> np.ndarray:
+    """The ids of frames that follow one another. CorruptBlock if the table, a header or a checksum doesn't hold."""
+    prior = Prior.unpacked(table)
     sizes, sums, words, at = [], [], [], 0
     while at < len(data):
         if at + HEADER.size > len(data):
             raise CorruptBlock(f"a header is cut off at byte {at}")
         magic, n, n_words, crc = HEADER.unpack_from(data, at)
         at += HEADER.size
-        if magic != MAGIC or not n or at + 2 * n_words > len(data):
+        if magic != MAGIC or not n or at + 2 * n_words > len(data) or not len(prior.ids):
             raise CorruptBlock(f"no valid header before byte {at}")
         sizes.append(n)
         sums.append(crc)
@@ -271,7 +301,7 @@ def decompress(data: bytes) -> np.ndarray:
         at += 2 * n_words
     out = []
     for i in range(0, len(sizes), LANES):
-        for k, ids in enumerate(_decode(words[i : i + LANES], sizes[i : i + LANES]), i):
+        for k, ids in enumerate(_decode(words[i : i + LANES], sizes[i : i + LANES], prior), i):
             if checksum(ids) != sums[k]:
                 raise CorruptBlock(f"block {k} doesn't match its checksum")
             out.append(ids)

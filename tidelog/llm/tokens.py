@@ -1,9 +1,10 @@
 """Token-id output: documents as files of compressed token ids, and reading them back.
 
 Documents are dealt to shards by ranges of their id, so shards and documents within a shard are in
-ascending order. A shard is a run of segments; a segment holds whole documents, about SEGMENT ids
-of them, as an index of lengths and the frames of the context-mixing coder (see coder.py). Segments
-are rows of a table in the shared folder, so a lost executor costs its tasks only.
+ascending order; the number of shards grows with the table's bytes. A shard is a run of segments; a
+segment holds whole documents, about SEGMENT ids of them, as an index of lengths, the table of its ids'
+frequencies and the frames of the context-mixing coder (see coder.py). Segments are rows of a table in
+the shared folder, so a lost executor costs its tasks only.
 
 The tokenizer is one of the given vocabularies. Its rules never join characters across white
 space, so a text's ids are those of its white-space-separated pieces in turn, which are kept.
@@ -31,7 +32,10 @@ MEMORY = 8 << 20
 #: Stands between pieces that are encoded in one call; a control character that is one token of its own.
 PART, TOGETHER = "\x01", 512
 
-SCHEMA = "shard int, segment int, shard_start long, n_ids long, doc_ids binary, known binary, lengths binary, frames binary"
+#: Bytes of a shard as the table's files or plan hold them, at most about.
+SHARD_BYTES = 32 << 20
+
+SCHEMA = "shard int, segment int, shard_start long, n_ids long, doc_ids binary, known binary, lengths binary, prior binary, frames binary"
 
 
 class Tokenizer:
@@ -59,19 +63,27 @@ class Tokenizer:
         """Ids of UTF-8 texts, each with the end id."""
         # ASCII white space only: all of it is white space to the tokenizer as well
         pieces = [t.split() for t in texts]
-        fresh = list(set(chain.from_iterable(pieces)).difference(self.known))
+        get, end = self.known.__getitem__, np.uint16(END).tobytes()
+        whole: list[bytes] = []
+        open_: list[int] = []  # texts with a piece that isn't known
+        for i, p in enumerate(pieces):
+            try:
+                whole.append(b"".join(map(get, p)))
+            except KeyError:
+                whole.append(b"")
+                open_.append(i)
+        fresh = list(set(chain.from_iterable(pieces[i] for i in open_)).difference(self.known))
         for i in range(0, len(fresh), TOGETHER):
             some = fresh[i : i + TOGETHER]
             self.known.update(zip(some, self.encoded(some), strict=True))
-        get = self.known.__getitem__
-        end = np.uint16(END).tobytes()
-        out = [np.frombuffer(b"".join(map(get, p)) + end, np.uint16) for p in pieces]
+        for i in open_:
+            whole[i] = b"".join(map(get, pieces[i]))
         if self.held < MEMORY:
             self.held += sum(map(len, fresh))
         else:
             for p in fresh:
                 del self.known[p]
-        return out
+        return [np.frombuffer(w + end, np.uint16) for w in whole]
 
 
 _tokenizers: dict[str, Tokenizer] = {}
@@ -89,12 +101,16 @@ def tokenizer(path: str) -> Tokenizer:
 def write(docs: DataFrame, path: str, vocabulary: str, shards: int | None = None, segment: int = SEGMENT) -> None:
     """Segments of (doc_id, text) as a table at ``path``.
 
-    Null and empty texts are the end id alone. Rows that share a doc_id are in order of their texts;
-    a null doc_id comes first. Other columns are left out. An empty table gives a table of no rows.
+    Null and empty texts are the end id alone. A null doc_id comes first. Rows that share a doc_id are in
+    order of the hash of their text, then of the text, so that they can lie in several shards; rows alike
+    in both are one after the other. Other columns are left out. An empty table gives a table of no rows.
+    A text is tokenized whole; its ids are held twice, and the text's pieces once, in its task.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    shards = shards or tk.parallelism(docs.sparkSession)
-    ranged = rows.repartitionByRange(shards, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    shards = shards or max(tk.parallelism(docs.sparkSession), -(-tk.size_of(docs) // SHARD_BYTES))
+    # rows alike in id and text may be of any number: their own number deals them out and changes nothing else
+    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("number", F.monotonically_increasing_id())
+    ranged = rows.repartitionByRange(shards, "doc_id", "hash", "number").sortWithinPartitions("doc_id", "hash", "text").drop("hash", "number")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, number, start = TaskContext.get().partitionId(), 0, 0
@@ -104,11 +120,11 @@ def write(docs: DataFrame, path: str, vocabulary: str, shards: int | None = None
 
         def flush() -> pa.RecordBatch:
             lengths = np.array([len(d) for d in docs], np.int64)
-            frames = b"".join(coder.compress(np.concatenate(docs)))
+            prior, frames = coder.compress(np.concatenate(docs))
             numbers = np.array([i for i, _ in ids], np.int64)
             known = np.array([k for _, k in ids], np.uint8)
-            cells = [[shard], [number], [start], [held], [numbers.tobytes()], [known.tobytes()], [lengths.tobytes()], [frames]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+            cells = [[shard], [number], [start], [held], [numbers.tobytes()], [known.tobytes()], [lengths.tobytes()], [prior], [b"".join(frames)]]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
 
         for b in batches:
@@ -147,7 +163,7 @@ def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                tokens = coder.decompress(r["frames"])
+                tokens = coder.decompress(r["prior"], r["frames"])
                 lengths = np.frombuffer(r["lengths"], np.int64)
                 if len(tokens) != lengths.sum():
                     raise coder.CorruptBlock("the index and the frames differ in length")
