@@ -25,7 +25,7 @@ class NoConsumersError(LogError):
     """A run without consumers."""
 
 
-class InvalidPartitionConfigError(LogError):
+class InvalidPartitionConfigError(LogError, ValueError):
     """A segment number outside the total."""
 
 
@@ -57,3 +57,16 @@ def is_unique_violation(error: BaseException | None) -> bool:
             return True
     text = str(error).lower()
     return "duplicate key" in text or "unique constraint" in text
+
+
+def is_transient(error: BaseException) -> bool:
+    """Errors that a retry can clear: lost races, and those that carry SQLSTATE 40001 or 40P01, of a class 08 connection, or say so."""
+    seen: BaseException | None = error
+    while seen is not None:
+        if isinstance(seen, CommitConflict | ConnectionError | TimeoutError):
+            return True
+        state = getattr(seen, "sqlstate", None) or getattr(seen, "pgcode", None) or ""
+        if isinstance(state, str) and (state in ("40001", "40P01") or state.startswith("08")):
+            return True
+        seen = seen.__cause__
+    return False

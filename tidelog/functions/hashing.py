@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidelog.errors import InvalidPartitionConfigError
+
 # fixed values of 32-bit FNV-1a
 OFFSET, PRIME = 2166136261, 16777619
 
@@ -35,4 +37,6 @@ def segment_of(aggregate_id: Column, total: int) -> Column:
 
 def in_segment(aggregate_id: Column, segment: int, total: int) -> Column:
     """The default partition strategy as a predicate."""
+    if not 0 <= segment < max(total, 1):
+        raise InvalidPartitionConfigError(f"segment {segment} of {total}")
     return F.lit(True) if total <= 1 else segment_of(aggregate_id, total) == segment

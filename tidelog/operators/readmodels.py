@@ -40,12 +40,31 @@ def last_event(events: DataFrame) -> DataFrame:
 
 
 def status(segments: DataFrame, events: DataFrame) -> DataFrame:
-    """Lag of each consumer behind the log: its lowest checkpoint against the last position, with a verdict and a percentage."""
+    """Lag of each consumer behind the log: its lowest checkpoint against the last position, with its state and a percentage.
+
+    state: not started at checkpoint 0, caught up at the last position or beyond, else behind.
+    """
     top = events.agg(F.coalesce(F.max("global_position"), F.lit(0).cast("long")).alias("head"))
     rows = segments.groupBy("consumer_name").agg(F.min("checkpoint").alias("checkpoint")).crossJoin(F.broadcast(top))
     lag = F.col("head") - F.col("checkpoint")
-    health = F.when(lag <= 0, "CAUGHT_UP").when(lag < 100, "HEALTHY").when(lag < 1000, "BEHIND").otherwise("CRITICAL")
-    return rows.select("consumer_name", "checkpoint", lag.alias("lag"), health.alias("health"), F.when(F.col("head") == 0, 100.0).otherwise(F.round(100.0 * F.col("checkpoint") / F.col("head"), 2)).alias("percent"))
+    state = F.when(F.col("checkpoint") == 0, "NOT_STARTED").when(lag <= 0, "CAUGHT_UP").otherwise("BEHIND")
+    return rows.select("consumer_name", "checkpoint", lag.alias("lag"), state.alias("state"), F.when(F.col("head") == 0, 100.0).otherwise(F.round(100.0 * F.col("checkpoint") / F.col("head"), 2)).alias("percent"))
+
+
+def health(checkpoints: DataFrame, events: DataFrame, now: Column, stale_seconds: float = 300.0) -> DataFrame:
+    """(consumer_name, checkpoint, updated_at) with ``health``: STALE if untouched for five minutes, else CAUGHT_UP at the last position or PROCESSING."""
+    top = events.agg(F.coalesce(F.max("global_position"), F.lit(0).cast("long")).alias("head"))
+    old = F.col("updated_at") < now - F.expr(f"make_dt_interval(0, 0, 0, {stale_seconds})")
+    verdict = F.when(old, "STALE").when(F.col("checkpoint") >= F.col("head"), "CAUGHT_UP").otherwise("PROCESSING")
+    return checkpoints.crossJoin(F.broadcast(top)).select(*checkpoints.columns, verdict.alias("health"))
+
+
+def caused_by(events: DataFrame, correlation: str | None = None, causation: str | None = None) -> DataFrame:
+    """Events of one correlation, and of one cause, in order."""
+    for column, value in (("correlation_id", correlation), ("causation_id", causation)):
+        if value is not None:
+            events = events.where(F.col(column) == value)
+    return events.orderBy("global_position")
 
 
 def latest(events: DataFrame, *keys: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.errors import SegmentNotOwnedError
+from tidelog.functions.pacing import fair_share
 from tidelog.schema import SEGMENT_SCHEMA, WORKER_SCHEMA
 
 def _free() -> Column:
@@ -20,10 +21,12 @@ def _mine(consumer: str) -> Column:
 
 
 def initialized(segments: DataFrame, consumer: str, total: int) -> DataFrame:
-    """Segments 0 to total - 1 of a consumer where missing, free and at checkpoint 0; what is there stays."""
+    """Segments 0 to total - 1 of a consumer where missing, free and at checkpoint 0; what is there keeps owner and
+    checkpoint and takes the new total, so those at or beyond it are known to be out of use."""
     wanted = segments.sparkSession.range(total).select(F.lit(consumer).alias("consumer_name"), F.col("id").cast("int").alias("segment_id"), F.lit(total).alias("total_segments"), _free().alias("owner_id"), F.lit(0).cast("long").alias("checkpoint"))
     missing = wanted.join(segments.select("consumer_name", "segment_id"), ["consumer_name", "segment_id"], "left_anti")
-    return segments.unionByName(missing.select(*SEGMENT_SCHEMA.names))
+    same = segments.withColumn("total_segments", F.when(_mine(consumer), F.lit(total)).otherwise(F.col("total_segments")))
+    return same.select(*SEGMENT_SCHEMA.names).unionByName(missing.select(*SEGMENT_SCHEMA.names))
 
 
 def of_consumer(segments: DataFrame, consumer: str) -> DataFrame:
@@ -31,8 +34,8 @@ def of_consumer(segments: DataFrame, consumer: str) -> DataFrame:
 
 
 def next_free(segments: DataFrame, consumer: str, n: int = 1) -> DataFrame:
-    """The n lowest segments without owner."""
-    return segments.where(_mine(consumer) & F.col("owner_id").isNull()).orderBy("segment_id").limit(n).select("consumer_name", "segment_id")
+    """The n lowest segments without owner; none at or beyond the total, to which no aggregate belongs."""
+    return segments.where(_mine(consumer) & F.col("owner_id").isNull() & (F.col("segment_id") < F.col("total_segments"))).orderBy("segment_id").limit(n).select("consumer_name", "segment_id")
 
 
 def _owned_by(segments: DataFrame, chosen: DataFrame, owner: Column) -> DataFrame:
@@ -123,8 +126,6 @@ def rebalanced(segments: DataFrame, workers: DataFrame, consumer: str, worker: s
     """
     free = reclaimed(segments, workers, consumer, now, stale_seconds)
     names = [r.worker_id for r in active(workers, consumer, now, stale_seconds).collect()]
-    from tidelog.functions.pacing import fair_share
-
     share = fair_share(worker, names, total)
     less = _owned_by(free, excess(free, consumer, worker, share), _free())
     held = less.where(_mine(consumer) & (F.col("owner_id") == worker)).count()

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +13,10 @@ from pyspark.sql import functions as F
 from tidelog.functions.hashing import segment_of
 from tidelog.operators import append, readmodels, scans, segments
 from tidelog.plans.scope import Scope
-from tidelog.schema import AGGREGATE, SEGMENT_SCHEMA, WORKER_SCHEMA
+from tidelog.schema import AGGREGATE, EVENT_INPUT_SCHEMA, SEGMENT_SCHEMA, WORKER_SCHEMA
 from tidelog.sources.derived import activity_log, order_log
+from tidelog.sources.log import EventLog, init_store
+from tidelog.streaming.consumer import ONE_OFF, Consumer, Worker, WorkerConfig
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -99,7 +103,7 @@ def aggregate_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NEW = """new AS (SELECT CASE o_custkey % 2 WHEN 0 THEN 'Identity' ELSE 'Sales' END AS bounded_context, CASE o_custkey % 2 WHEN 0 THEN 'User' ELSE 'Order' END AS aggregate_type,
   CAST(o_custkey AS VARCHAR) AS aggregate_id, CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE 'n-' || o_orderkey END AS event_id, o_orderkey AS ordinal,
-  CASE o_custkey % 3 WHEN 0 THEN -1 WHEN 1 THEN 0 ELSE 2 END AS expected_version FROM orders WHERE o_orderkey <= 4000),
+  CASE o_custkey % 3 WHEN 0 THEN -1 WHEN 1 THEN 0 ELSE 2 END AS expected_version FROM orders),
 heads AS (SELECT bounded_context, aggregate_type, aggregate_id, max(aggregate_version) AS head FROM log GROUP BY ALL)"""
 
 
@@ -195,10 +199,38 @@ def _on_state(name: str, sql: str, f: Callable[[DataFrame, DataFrame], DataFrame
     query(f"{_STATE}\n{sql}", log=False)(g)
 
 
+#: Three more states: nobody at work, one worker that holds everything, and a consumer whose total was lowered.
+_MORE = {
+    "idle": ([("orders", i, 5, None, 10 * i) for i in range(5)], [("orders", "w2", _NOW), ("orders", "w4", _NOW)]),
+    "full": ([("orders", i, 7, "w1", i) for i in range(7)] + [("audit", 0, 1, "w2", 3)], [("orders", w, _NOW - dt.timedelta(seconds=i)) for i, w in enumerate(["w1", "w2", "w5"])]),
+    "shrunk": ([("orders", i, 3, [None, "w2", None, "ghost", None][i], 4) for i in range(5)], [("orders", "w2", _NOW), ("audit", "w1", _NOW)]),
+}
+_STATES = {"first": (_SEGMENTS, _WORKERS), **_MORE}
+
+
+def _on_states(name: str, sql: str, f: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    """Like _on_state, on all states; the SQL has their rows with the state's name."""
+
+    def g(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = None
+        for state, (s, w) in _STATES.items():
+            rows = f(spark.createDataFrame(s, SEGMENT_SCHEMA), spark.createDataFrame(w, "consumer_name string, worker_id string, last_heartbeat timestamp_ntz")).withColumn("state", F.lit(state))
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+    g.__name__ = name
+    segments_, workers_ = ([(k, *r) for k, v in _STATES.items() for r in v[i]] for i in range(2))
+    query(f"""WITH raw AS (WITH {_values("t", ["state", *SEGMENT_SCHEMA.names], segments_)} SELECT * FROM t),
+segments AS (SELECT state, consumer_name, segment_id::INTEGER AS segment_id, total_segments::INTEGER AS total_segments, owner_id, checkpoint::BIGINT AS checkpoint FROM raw),
+{_values("workers", ["state", *WORKER_SCHEMA.names], workers_)}{sql}""", log=False)(g)
+
+
 _SET = "SELECT consumer_name, segment_id, total_segments, {owner} AS owner_id, {checkpoint} AS checkpoint FROM segments"
-_on_state("init_segments", "SELECT * FROM segments UNION ALL SELECT 'audit', i::INTEGER, 4::INTEGER, NULL, 0::BIGINT FROM range(4) r(i) WHERE i NOT IN (SELECT segment_id FROM segments WHERE consumer_name = 'audit')", lambda s, w: segments.initialized(s, "audit", 4))
+_on_state("init_segments", "SELECT consumer_name, segment_id, CASE consumer_name WHEN 'audit' THEN 4 ELSE total_segments END::INTEGER AS total_segments, owner_id, checkpoint FROM segments UNION ALL SELECT 'audit', i::INTEGER, 4::INTEGER, NULL, 0::BIGINT FROM range(4) r(i) WHERE i NOT IN (SELECT segment_id FROM segments WHERE consumer_name = 'audit')", lambda s, w: segments.initialized(s, "audit", 4))
 _on_state("segments_of_consumer", "SELECT * FROM segments WHERE consumer_name = 'orders' ORDER BY segment_id", lambda s, w: segments.of_consumer(s, "orders"))
-_on_state("claim_segment", _SET.format(owner="CASE WHEN consumer_name = 'orders' AND segment_id = 4 THEN 'w2' ELSE owner_id END", checkpoint="checkpoint"), lambda s, w: segments.claimed(s, "orders", "w2"))
+_on_states("claim_segment", """,
+free AS (SELECT state, min(segment_id) AS segment_id FROM segments WHERE consumer_name = 'orders' AND owner_id IS NULL AND segment_id < total_segments GROUP BY state)
+SELECT s.state, consumer_name, s.segment_id, total_segments, CASE WHEN consumer_name = 'orders' AND f.segment_id = s.segment_id THEN 'w2' ELSE owner_id END AS owner_id, checkpoint FROM segments s LEFT JOIN free f USING (state)""", lambda s, w: segments.claimed(s, "orders", "w2"))
 _on_state("release_segment", _SET.format(owner="CASE WHEN consumer_name = 'orders' AND segment_id = 1 AND owner_id = 'w1' THEN NULL ELSE owner_id END", checkpoint="checkpoint"), lambda s, w: segments.released(s, "orders", 1, "w1"))
 _on_state("release_not_owned", "SELECT * FROM segments", lambda s, w: segments.released(s, "orders", 1, "w2"))
 _on_state("reclaim_stale", _SET.format(owner=f"CASE WHEN consumer_name = 'orders' AND owner_id NOT IN (SELECT worker_id FROM workers WHERE consumer_name = 'orders' AND last_heartbeat >= {_LIMIT}) THEN NULL ELSE owner_id END", checkpoint="checkpoint"), lambda s, w: segments.reclaimed(s, w, "orders", _now(), _STALE))
@@ -214,8 +246,15 @@ _on_state("deregister_worker", "SELECT * FROM workers WHERE NOT (consumer_name =
 _on_state("purge_stale_workers", f"SELECT * FROM workers WHERE NOT (consumer_name = 'orders' AND last_heartbeat < {_LIMIT})", lambda s, w: segments.purged(w, "orders", _now(), _STALE))
 _on_state("fair_share", "SELECT consumer_name, worker_id, (16 // n + CASE WHEN r < 16 % n THEN 1 ELSE 0 END)::BIGINT AS share FROM (SELECT *, row_number() OVER (PARTITION BY consumer_name ORDER BY worker_id) - 1 AS r, count(*) OVER (PARTITION BY consumer_name) AS n FROM workers)", lambda s, w: segments.fair_shares(w, 16))
 _on_state("release_excess", "SELECT consumer_name, segment_id FROM (SELECT *, row_number() OVER (ORDER BY segment_id) AS r FROM segments WHERE consumer_name = 'orders' AND owner_id = 'w1') WHERE r > 2", lambda s, w: segments.excess(s, "orders", "w1", 2))
-_on_state("claim_available", "SELECT consumer_name, segment_id FROM segments WHERE owner_id IS NULL AND consumer_name = 'orders' ORDER BY segment_id LIMIT 3", lambda s, w: segments.next_free(s, "orders", 3))
-_on_state("rebalance", _SET.format(owner="CASE WHEN consumer_name = 'orders' THEN CASE WHEN segment_id <= 2 THEN 'w1' WHEN segment_id <= 5 THEN 'w2' END ELSE owner_id END", checkpoint="checkpoint"), lambda s, w: segments.rebalanced(s, w, "orders", "w2", 6, _now(), _STALE))
+_on_state("claim_available", "SELECT consumer_name, segment_id FROM segments WHERE owner_id IS NULL AND consumer_name = 'orders' AND segment_id < total_segments ORDER BY segment_id LIMIT 3", lambda s, w: segments.next_free(s, "orders", 3))
+_on_states("rebalance", f""",
+alive AS (SELECT state, worker_id, row_number() OVER (PARTITION BY state ORDER BY worker_id) - 1 AS place, count(*) OVER (PARTITION BY state) AS n FROM workers WHERE consumer_name = 'orders' AND last_heartbeat >= {_LIMIT}),
+share AS (SELECT state, 6 // n + CASE WHEN place < 6 % n THEN 1 ELSE 0 END AS share FROM alive WHERE worker_id = 'w2'),
+held AS (SELECT s.*, CASE WHEN consumer_name <> 'orders' OR EXISTS (SELECT 1 FROM alive a WHERE a.state = s.state AND a.worker_id = s.owner_id) THEN owner_id END AS held_by FROM segments s),
+mine AS (SELECT *, CASE WHEN consumer_name = 'orders' AND held_by = 'w2' AND row_number() OVER (PARTITION BY state, consumer_name, held_by ORDER BY segment_id) > share THEN NULL ELSE held_by END AS left_by FROM held LEFT JOIN share USING (state)),
+counted AS (SELECT *, count(*) FILTER (WHERE consumer_name = 'orders' AND left_by = 'w2') OVER (PARTITION BY state) AS n_held,
+  sum(CASE WHEN consumer_name = 'orders' AND left_by IS NULL AND segment_id < total_segments THEN 1 ELSE 0 END) OVER (PARTITION BY state ORDER BY consumer_name = 'orders', segment_id ROWS UNBOUNDED PRECEDING) AS nth_free FROM mine)
+SELECT state, consumer_name, segment_id, total_segments, CASE WHEN consumer_name = 'orders' AND left_by IS NULL AND segment_id < total_segments AND nth_free <= share - n_held THEN 'w2' ELSE left_by END AS owner_id, checkpoint FROM counted""", lambda s, w: segments.rebalanced(s, w, "orders", "w2", 6, _now(), _STALE))
 _on_state("owned_per_worker", "SELECT owner_id, count(*) AS n FROM segments WHERE owner_id IS NOT NULL AND consumer_name = 'orders' GROUP BY owner_id", lambda s, w: s.where("owner_id IS NOT NULL AND consumer_name = 'orders'").groupBy("owner_id").agg(F.count("*").alias("n")))
 
 
@@ -233,8 +272,21 @@ def _statuses(name: str, columns: str, *keep: str) -> None:
 
 
 _statuses("lag_by_consumer", "checkpoint, head - checkpoint AS lag", "checkpoint", "lag")
-_statuses("health_status", "CASE WHEN head - checkpoint <= 0 THEN 'CAUGHT_UP' WHEN head - checkpoint < 100 THEN 'HEALTHY' WHEN head - checkpoint < 1000 THEN 'BEHIND' ELSE 'CRITICAL' END AS health", "health")
-_statuses("status_pct", "CASE WHEN head = 0 THEN 100.0 ELSE round(100.0 * checkpoint / head, 2) END::DOUBLE AS percent", "percent")
+_statuses("status_pct", "CASE WHEN checkpoint = 0 THEN 'NOT_STARTED' WHEN checkpoint >= head THEN 'CAUGHT_UP' ELSE 'BEHIND' END AS state, CASE WHEN head = 0 THEN 100.0 ELSE round(100.0 * checkpoint / head, 2) END::DOUBLE AS percent", "state", "percent")
+
+_CHECKPOINTS = [("old", 10**12, _NOW - dt.timedelta(minutes=6)), ("edge", 7, _NOW - dt.timedelta(minutes=5)), ("done", 10**12, _NOW), ("busy", 3, _NOW - dt.timedelta(seconds=1))]
+
+
+@query("-- with " + _values("checkpoints", ["consumer_name", "checkpoint", "updated_at"], _CHECKPOINTS) + f"""
+SELECT consumer_name, checkpoint::BIGINT AS checkpoint, updated_at, CASE WHEN updated_at < TIMESTAMP '{_NOW}' - INTERVAL 5 MINUTE THEN 'STALE' WHEN checkpoint >= (SELECT max(global_position) FROM log) THEN 'CAUGHT_UP' ELSE 'PROCESSING' END AS health FROM checkpoints""")
+def health_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checkpoints = spark.createDataFrame(_CHECKPOINTS, "consumer_name string, checkpoint long, updated_at timestamp_ntz")
+    return readmodels.health(checkpoints, activity_log(spark, sf_dir), _now())
+
+
+@query(f"SELECT {_COLUMNS} FROM log WHERE correlation_id = 'corr-7' ORDER BY global_position")
+def correlated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readmodels.caused_by(activity_log(spark, sf_dir), correlation="corr-7").drop("amount")
 
 
 # --- read models
@@ -303,16 +355,57 @@ def dedupe_event_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readmodels.once(log.unionByName(again)).select("event_id", "global_position")
 
 
-# --- consumption: what a scoped consumer of 4 segments has read, and at which checkpoint
+# --- consumption: the log as a store, read by a worker of 4 segments that is scoped to one context
+
 
+def _stored(spark: SparkSession, sf_dir: str) -> EventLog:
+    """The derived log appended to a new store in the shared folder, in one batch."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidelog-")
+    log = init_store(spark, f"{root.rstrip('/')}/store-{uuid.uuid4().hex}")
+    rows = activity_log(spark, sf_dir)
+    log.append_batch(rows.select(*EVENT_INPUT_SCHEMA.names, F.col("global_position").alias("ordinal"), F.lit(-1).alias("expected_version")).withColumn("payload", F.col("payload").cast("binary")))
+    return log
 
-@query(f"SELECT {_FNV.format(n=4)} AS segment, count(*) AS n_processed, max(global_position)::BIGINT AS checkpoint FROM log WHERE bounded_context = 'Identity' GROUP BY 1")
+
+_SCOPE = Scope(("Identity",))
+
+
+def _consumed(log: EventLog) -> tuple[Consumer, Worker]:
+    def handle(events: DataFrame, models: dict[str, DataFrame]) -> None:
+        models["seen"] = events.select("global_position", segment_of(F.col("aggregate_id"), 4).alias("segment"))
+
+    worker = Worker(log, WorkerConfig(total_segments=4, batch_size=1_000_000, run_mode=ONE_OFF))
+    return Consumer("identity", handle, _SCOPE), worker
+
+
+@query(f"SELECT s.segment::INTEGER AS segment, coalesce(n_processed, 0)::BIGINT AS n_processed, (SELECT max(global_position) FROM log)::BIGINT AS checkpoint FROM range(4) s(segment) LEFT JOIN (SELECT {_FNV.format(n=4)} AS segment, count(*) AS n_processed FROM log WHERE bounded_context = 'Identity' GROUP BY 1) USING (segment)")
 def oneoff_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = Scope(("Identity",)).apply(activity_log(spark, sf_dir))
-    return rows.groupBy(segment_of(F.col("aggregate_id"), 4).alias("segment")).agg(F.count("*").alias("n_processed"), F.max("global_position").alias("checkpoint"))
+    """A worker runs once: what its handler put into a read model, and the checkpoints it left, at the log's head."""
+    log = _stored(spark, sf_dir)
+    consumer, worker = _consumed(log)
+    worker.run(consumer)
+    seen = log.model("seen").groupBy("segment").agg(F.count("*").alias("n_processed"))
+    return log.segments().select(F.col("segment_id").alias("segment"), "checkpoint").join(seen, "segment", "left").select("segment", F.coalesce("n_processed", F.lit(0).cast("long")).alias("n_processed"), "checkpoint")
 
 
-@query(f"SELECT {_COLUMNS} FROM log WHERE global_position > 120 AND bounded_context = 'Identity' AND {_FNV.format(n=4)} = 1 ORDER BY global_position")
+@query(f"SELECT global_position, {_FNV.format(n=4)} AS segment FROM log WHERE global_position > 120 AND bounded_context = 'Identity'")
 def resume_from_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = Scope(("Identity",)).apply(activity_log(spark, sf_dir).where("global_position > 120"))
-    return rows.where(segment_of(F.col("aggregate_id"), 4) == 1).drop("amount").orderBy("global_position")
+    """A worker finds checkpoints at 120 and handles what comes after, once."""
+    log = _stored(spark, sf_dir)
+    consumer, worker = _consumed(log)
+    log.transition(lambda s, w: (segments.initialized(s, consumer.name, 4).withColumn("checkpoint", F.lit(120).cast("long")), w))
+    worker.run(consumer)
+    return log.model("seen")
+
+
+def _store_reads(name: str, sql: str, f: Callable[[EventLog], DataFrame]) -> None:
+    def g(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(_stored(spark, sf_dir))
+
+    g.__name__ = name
+    query(sql)(g)
+
+
+_store_reads("store_events_from", f"SELECT {_COLUMNS} FROM log WHERE global_position > 250 AND bounded_context IN ('Sales', 'Ops') ORDER BY global_position LIMIT 100", lambda log: log.read_events(250, 100, Scope(("Sales", "Ops"))))
+_store_reads("store_stream", f"SELECT {_COLUMNS} FROM log WHERE bounded_context = 'Identity' AND aggregate_type = 'User' AND aggregate_id = '7' AND aggregate_version >= 2 ORDER BY aggregate_version", lambda log: log.read_stream("Identity", "User", "7", 2).events)
+_store_reads("store_heads", "SELECT bounded_context, aggregate_type, aggregate_id, max(aggregate_version) AS aggregate_version, max(created_at) AS updated_at FROM log GROUP BY ALL", lambda log: log.heads())
