@@ -18,7 +18,7 @@ def brute(docs, items):
     for item, text in items:
         w = words(text)
         for i in range(max(1, len(w) - 9)) if w else ():
-            windows.setdefault(tuple(w[i : i + 10]), set()).add(item)
+            windows.setdefault(tuple(w[i : i + 10]), set()).update([] if item is None else [item])
     out = []
     for doc, text in docs:
         w, hit, found = words(text), set(), set()
@@ -38,8 +38,8 @@ def check(spark, docs, items, **options):
     assert got == brute(docs, items)
 
 
-ITEMS = [(1, "The quick brown Fox jumps over the lazy dog and runs far away"), (2, "Äpfel über 9 Bäume"), (3, None), (4, " .,! "), (10, "fox jumps over the lazy dog and runs far away"), (1, "one"), (5, "fox jumps over the lazy dog and runs far away home")]
-DOCS = [(1, "So the QUICK, brown fox\njumps over the lazy dog and runs far away home."), (2, None), (3, ""), (4, "äpfel äpfel Äpfel über 9-Bäume!"), (5, "two one. one-two anyone"), (5, "two one. one-two anyone"), (None, "one"), (6, "?!"), (7, "x " * 5000 + "one")]
+ITEMS = [(1, "The quick brown Fox jumps over the lazy dog and runs far away"), (2, "Äpfel über 9 Bäume"), (3, None), (4, " .,! "), (10, "fox jumps over the lazy dog and runs far away"), (1, "one"), (5, "fox jumps over the lazy dog and runs far away home"), (None, "nameless passage"), (None, "one")]
+DOCS = [(1, "So the QUICK, brown fox\njumps over the lazy dog and runs far away home."), (2, None), (3, ""), (4, "äpfel äpfel Äpfel über 9-Bäume!"), (5, "two one. one-two anyone"), (5, "two one. one-two anyone"), (None, "one"), (6, "?!"), (8, "a Nameless-passage here"), (7, "x " * 5000 + "one")]
 
 
 @pytest.mark.parametrize("most", [900, 1 << 20])

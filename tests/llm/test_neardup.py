@@ -63,8 +63,8 @@ def test_pipeline_stage_finds_planted_copies(spark):
     assert kept == {d for d, first in brute(rows).items() if d == first} == {2 * k for k in range(7)} | {11, 13}
 
 
-@pytest.mark.parametrize("hot,rounds,sample", [(2, 0, 4000), (3, 2, 4000), (64, 2, 20)])
-def test_against_all_pairs(spark, hot, rounds, sample):
+@pytest.mark.parametrize("hot,block,sample", [(2, 4, 4000), (3, 2048, 4000), (64, 5, 20)])
+def test_against_all_pairs(spark, hot, block, sample):
     rng = random.Random(hot)
     passage, rows = words(rng, 60), [(0, None), (1, ""), (2, "one"), (3, "ONE"), (4, "a b c d e"), (5, "A  b c\nd e")]
     for _ in range(8):
@@ -75,7 +75,7 @@ def test_against_all_pairs(spark, hot, rounds, sample):
                 w[rng.randrange(len(w))] = "x"
             rows.append((len(rows), " ".join(w + passage * rng.randrange(2))))
     df = spark.createDataFrame(rows, SCHEMA)
-    got = {r.doc_id: r.component_id for r in neardup.groups(df, hot=hot, rounds=rounds, sample=sample).collect()}
+    got = {r.doc_id: r.component_id for r in neardup.groups(df, hot=hot, block=block, sample=sample).collect()}
     assert got == brute(rows)
     assert neardup.leaders(df.where("false")).count() == 0
 

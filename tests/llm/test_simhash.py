@@ -63,8 +63,23 @@ def test_whole_table(spark, sf_dir):
     check(spark, [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()])
 
 
-@pytest.mark.parametrize("hot", [1, 8, 10_000])
-def test_links_of_crowded_fingerprints(spark, hot):
+def test_segments_grow_with_the_table():
+    sizes = [simhash.segments_for(n) for n in (0, 10**5, 10**8, 10**9, 10**10, 10**12)]
+    assert sizes[0] == 5 and sizes == sorted(sizes) and sizes[-1] == simhash.MOST_SEGMENTS
+    for n in (10**8, 10**9):
+        m = simhash.segments_for(n)
+        assert n / 2 ** (64 * (m // 2) // m) <= simhash.PER_KEY
+
+
+def test_extra_columns_and_a_long_text(spark):
+    rows = [(1, "a b " * 150_000, "x", 1), (2, "a b " * 150_000, "y", 2), (None, "q", None, 3)]
+    got = simhash.digest(spark.createDataFrame(rows, "doc_id long, text string, fingerprint string, fp long"))
+    assert got.columns == ["doc_id", "fingerprint", "component_id"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(brute_components([(d, brute_print(t)) for d, t, _, _ in rows]), key=str)
+
+
+@pytest.mark.parametrize("hot,segments", [(1, None), (8, 7), (10_000, 15)])
+def test_links_of_crowded_fingerprints(spark, hot, segments):
     rng = random.Random(hot)
     centre = rng.getrandbits(64)
     prints = {centre}
@@ -75,7 +90,7 @@ def test_links_of_crowded_fingerprints(spark, hot):
         prints.add(x)
     prints = sorted(prints)
     df = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in prints], "fp long")
-    roots = {r.node: r.root for r in simhash.components(simhash.links(df, hot=hot)).collect()}
+    roots = {r.node: r.root for r in simhash.components(simhash.links(df, hot=hot, segments=segments)).collect()}
     want = {p: c for p, (_, _, c) in zip(prints, brute_components(list(enumerate(prints))), strict=True)}
     signed = {p: int(np.uint64(p).astype(np.int64)) for p in prints}
     got = {p: roots.get(s, s) for p, s in signed.items()}

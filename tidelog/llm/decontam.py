@@ -43,11 +43,13 @@ _made: dict[int, ahocorasick.Automaton] = {}
 class Patterns:
     """Windows with the items that hold them; the automaton is made once a worker."""
 
-    def __init__(self, items: Iterable[tuple[int, str | None]], window: int = WINDOW):
+    def __init__(self, items: Iterable[tuple[int | None, str | None]], window: int = WINDOW):
         owners: dict[str, set[int]] = {}
         for item, text in items:
             for w in windows_of(words_of(text), window):
-                owners.setdefault(w, set()).add(item)
+                found = owners.setdefault(w, set())
+                if item is not None:
+                    found.add(item)
         self.windows = sorted(owners)
         self.owners = [tuple(sorted(owners[w])) for w in self.windows]
         self.key = int.from_bytes(hashlib.blake2b("\n".join(f"{w}{o}" for w, o in zip(self.windows, self.owners, strict=True)).encode(), digest_size=8).digest(), "big")
@@ -104,7 +106,7 @@ def _union(a: list[int], b: list[int]) -> list[int]:
 
 def _pattern_slices(benchmark: DataFrame, window: int, most: int) -> Iterator[Patterns]:
     """Patterns of all items, or of hashed slices of them if they are more than ``most`` characters."""
-    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("item_id is not null")
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
     # each word is in up to ``window`` patterns
     size = window * tk.bytes_of(items)
     n = max(1, -(-size // most))
@@ -116,8 +118,9 @@ def _pattern_slices(benchmark: DataFrame, window: int, most: int) -> Iterator[Pa
 def scanned(docs: DataFrame, benchmark: DataFrame, columns: tuple[str, ...] = ("doc_id",), window: int = WINDOW, most: int = MAX_PATTERN_CHARS) -> DataFrame:
     """The columns named, and n_words, ``hits`` (flat word places), ``spans`` (flat code points) and ``items``.
 
-    Null and empty texts have no words; items without words or without id have no windows; an item
-    in several rows counts once; an empty benchmark hits nothing.
+    Null and empty texts have no words; items without words have no windows; those without id have
+    windows, whose words are hit, and are no item; an item in several rows counts once; an empty
+    benchmark hits nothing. Repeated rows each keep their row; other columns are left out unless named.
     """
     start = docs.select(*columns, F.col("text").cast("string").alias("__text")).withColumn("n_words", F.lit(0).cast("long"))
     for c, kind in (("hits", "array<int>"), ("spans", "array<int>"), ("items", "array<long>")):
@@ -167,7 +170,7 @@ def sql(window: int = WINDOW) -> str:
     words = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
     return f"""
 WITH d AS (SELECT doc_id, {words} AS w FROM documents),
-b AS (SELECT item_id, {words} AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT item_id, {words} AS w FROM benchmark),
 patterns AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT item_id, w, least(len(w), {window}) AS k, unnest(range(1, greatest(len(w) - {window}, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
 places AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM patterns) WHERE len(w) >= k),
 found AS (SELECT doc_id, i, places.k, item_id FROM places JOIN patterns ON places.k = patterns.k AND array_to_string(w[i:i + places.k - 1], ' ') = s),

@@ -14,9 +14,10 @@ documents share come last. Any order is exact; the sample only makes keys rare,
 aren't: those are never dealt to one task.
 
 Equal sets are one node from the start. A key of up to HOT nodes gives its pairs in one pass over sorted
-rows. The nodes of a larger one are held against a few pivots of the key, which links the copies of one
-document in a number of pairs that grows with the group and not with its square. What is still in
-different components of a key after ROUNDS of that is paired across the components, so this is exact as well.
+rows. The nodes of a larger one are held against each other in arrays, in blocks of BLOCK nodes, and no pair
+is put out that the filters reject. Of what passes, a node is first settled with one other only, the first in
+an order that all nodes share: that joins the copies of one document in as many steps as there are copies.
+What passes and is still in different components then is settled as well, so this is exact.
 """
 
 from __future__ import annotations
@@ -32,8 +33,11 @@ from pyspark.sql import types as T
 
 from tidelog.llm import simhash
 from tidelog.llm import textkit as tk
+from tidelog.llm.simhash import has_chain
 
-SHINGLE, HOT, PIVOTS, ROUNDS, SEGMENTS = 5, 64, 4, 2, 16
+SHINGLE, HOT, BLOCK, SEGMENTS = 5, 64, 2048, 16
+#: Pieces of a chain in the filter, at most; and pairs that are held against each other at once.
+CHAIN, AT_ONCE = 4, 1 << 16
 #: Documents from which the order of the shingles is taken, about; and the share of them that makes a key a crowd.
 SAMPLE, CROWD = 4_000, 1 / 256
 
@@ -159,11 +163,6 @@ def prints_of(rows: DataFrame, shingle: int = SHINGLE, sample: int = SAMPLE) ->
     return rows.mapInArrow(work, schema)
 
 
-def _near(n: str | Column, m: str | Column) -> Column:
-    """Sizes that allow the similarity."""
-    return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
-
-
 class _Runs:
     """Pairs and crowds of rows that come sorted by key; a run of over ``hot`` rows goes on as it comes."""
 
@@ -199,9 +198,10 @@ class _Runs:
         return pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(c) for c in np.concatenate([pairs, crowds], axis=1))], ["kind", "key", "a", "b"])
 
 
-def candidates(distinct: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
-    """(u, v) of nodes that share a key of up to ``hot`` nodes, and (key, node, n) of the others, from node, n, prefix and crowd."""
-    keyed = distinct.select(F.explode("prefix").alias("key"), "node", "n").repartition("key").sortWithinPartitions("key", "node")
+def candidates(prints: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(u, v) of nodes that share a key of up to ``hot`` nodes, and (key, node) of the others, from node, n, prefix and crowd."""
+    once = prints.groupBy("node").agg(*(F.any_value(c).alias(c) for c in ("n", "prefix")))
+    keyed = once.select(F.explode("prefix").alias("key"), "node", "n").repartition("key").sortWithinPartitions("key", "node")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = _Runs(hot)
@@ -210,33 +210,85 @@ def candidates(distinct: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
         yield runs.take(*[np.zeros(0, np.int64)] * 3, last=True)
 
     found = tk.written(keyed.mapInArrow(work, "kind byte, key long, a long, b long"), "runs")
-    known = distinct.select(F.explode("crowd").alias("key"), "node", "n")
-    crowds = found.where("kind = 1").select("key", F.col("a").alias("node"), F.col("b").cast("int").alias("n")).unionByName(known)
+    known = prints.where(F.size("crowd") > 0).select(F.explode("crowd").alias("key"), "node").distinct()
+    crowds = found.where("kind = 1").select("key", F.col("a").alias("node")).unionByName(known)
     return found.where("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), crowds
 
 
+def passing(one: np.ndarray, two: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of parities pass the pigeonring filter and then the whole Hamming check, and how surely: 0 well within the bound, else 1."""
+    most = (n + m) // 9
+    differ = np.bitwise_count(one ^ two)
+    keep = np.flatnonzero(has_chain(differ, most, CHAIN))
+    total = differ[keep].sum(axis=1, dtype=np.int64)
+    good = total <= most[keep]
+    return keep[good], (4 * total[good] > 3 * most[keep[good]]).astype(np.int8)
+
+
+PAIRS = "u long, v long, doubt byte"
+
+
 def _pruned(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """The pairs that pass the pigeonring filter and then the whole Hamming check on the parities."""
+    """(u, v, doubt) of the pairs that pass the filters."""
     a, b = (distinct.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}")) for end in ("u", "v"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            one, two = (x.column(c).flatten().to_numpy().reshape(-1, SEGMENTS).view(np.uint64) for c in ("bits_u", "bits_v"))
-            most = (x.column("n_u").to_numpy().astype(np.int64) + x.column("n_v").to_numpy()) // 9
-            differ = np.bitwise_count(one ^ two).astype(np.int64)
-            keep = np.flatnonzero(simhash.has_chain(differ, most))
-            keep = keep[differ[keep].sum(axis=1) <= most[keep]]
-            yield pa.RecordBatch.from_arrays([x.column(c).take(pa.array(keep)) for c in ("u", "v")], ["u", "v"])
+            one, two = (_bits(x.column(f"bits_{c}")) for c in "uv")
+            keep, doubt = passing(one, two, *(x.column(f"n_{c}").to_numpy().astype(np.int64) for c in "uv"))
+            yield pa.RecordBatch.from_arrays([*(x.column(c).take(pa.array(keep)) for c in "uv"), pa.array(doubt)], ["u", "v", "doubt"])
 
-    return pairs.join(a, "u").join(b, "v").mapInArrow(work, "u long, v long")
+    return pairs.join(a, "u").join(b, "v").mapInArrow(work, PAIRS)
+
+
+def _bits(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy().reshape(-1, SEGMENTS).view(np.uint64)
+
+
+def _crowded(rows: DataFrame, leads: bool, block: int) -> DataFrame:
+    """(u, v, doubt) of nodes of different roots that share a key and pass the filters, from key, node, n, bits and root.
+
+    ``leads``: for each node of a key only the first of its partners, the surer ones before others, in an order
+    that all nodes share. A key's nodes are dealt to blocks, and each pair of blocks is a task's.
+    """
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+
+    def work(group: tuple, t: pa.Table) -> pa.Table:
+        node, n, root, mine = (t.column(c).to_numpy().astype(np.int64) for c in ("node", "n", "root", "mine"))
+        bits, i, j = _bits(t.column("bits")), group[1].as_py(), group[2].as_py()
+        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        found = [np.zeros((3, 0), np.int64)]
+        for at in range(0, len(left), max(1, AT_ONCE // max(len(right), 1))):
+            rows_ = left[at : at + max(1, AT_ONCE // max(len(right), 1))]
+            apart = (root[rows_, None] != root[right]) & (5 * np.minimum(n[rows_, None], n[right]) >= 4 * np.maximum(n[rows_, None], n[right]))
+            if i == j:
+                apart &= node[rows_, None] > node[right]
+            p, q = np.nonzero(apart)
+            p, q = rows_[p], right[q]
+            keep, doubt = passing(bits[p], bits[q], n[p], n[q])
+            found.append(np.stack([p[keep], q[keep], doubt.astype(np.int64)]))
+        p, q, doubt = np.concatenate(found, axis=1)
+        if leads:
+            rank = tk.mix(node.view(np.uint64))
+            a, b, d = np.concatenate([p, q]), np.concatenate([q, p]), np.concatenate([doubt, doubt])
+            order = np.lexsort((rank[b], d, a))
+            first = order[np.concatenate([[True], a[order][1:] != a[order][:-1]])] if len(order) else order
+            p, q, doubt = a[first], b[first], d[first]
+        u, v = np.maximum(node[p], node[q]), np.minimum(node[p], node[q])
+        return pa.table({"u": u, "v": v, "doubt": pa.array(doubt.astype(np.int8))})
+
+    return dealt.select("key", "i", "j", "mine", "node", "n", "root", "bits").groupBy("key", "i", "j").applyInArrow(work, PAIRS)
 
 
 def _settled(rows: DataFrame, distinct: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (u, v) with a similarity of 0.8 or more: 9 times the common shingles are at least 4 times all of both.
+    """The pairs (u, v), a written table, with a similarity of 0.8 or more: 9 times the common shingles are at least 4 times all of both.
 
     Texts travel and not sets, which take several times the room; one text stands for each node.
     """
-    pairs = tk.written(_pruned(pairs, distinct), "pairs")
     asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     some = tk.written(distinct.join(asked, "node", "left_semi").select("node", F.col("first.r1").alias("r1"), F.col("first.r2").alias("r2")), "asked")
     # rows alike in all columns all come, and one of them goes on
@@ -255,44 +307,49 @@ def _settled(rows: DataFrame, distinct: DataFrame, pairs: DataFrame, shingle: in
             keep = [9 * len(np.intersect1d(p, q, assume_unique=True)) >= 4 * (len(p) + len(q)) for p, q in zip(*sets, strict=True)]
             yield pa.RecordBatch.from_arrays([x.column(c).filter(pa.array(keep, pa.bool_())) for c in ("u", "v")], ["u", "v"])
 
-    return pairs.join(a, "u").join(b, "v").mapInArrow(work, "u long, v long")
+    return tk.written(pairs.join(a, "u").join(b, "v").mapInArrow(work, "u long, v long"), "near")
 
 
-def roots_of(rows: DataFrame, distinct: DataFrame, shingle: int = SHINGLE, hot: int = HOT, rounds: int = ROUNDS) -> DataFrame:
+def roots_of(rows: DataFrame, prints: DataFrame, distinct: DataFrame, shingle: int = SHINGLE, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """(node, root) of all nodes in links: the components of all pairs as similar as asked."""
-    pairs, crowds = candidates(distinct, hot)
-    crowds = tk.written(crowds, "crowds")
-    if crowds.isEmpty():
-        return simhash.components(tk.written(_settled(rows, distinct, pairs, shingle), "near"))
-    ends = crowds.select("key", "node", "n", F.col("node").alias("root"))
-    edges = None
-    for k in range(rounds + 1):
-        if k < rounds:  # the same few nodes lead in all keys that hold them
-            leads = (F.min(F.struct(F.xxhash64("node", F.lit(k * PIVOTS + j)), "node", "n", "root")) for j in range(PIVOTS))
-            chosen = ends.groupBy("key").agg(F.array_distinct(F.array(*leads)).alias("p")).select("key", F.explode("p").alias("p")).select("key", F.col("p.node").alias("v"), F.col("p.n").alias("m"), F.col("p.root").alias("r"))
-        else:
-            chosen = ends.select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("r"))
-        more = ends.join(chosen, "key").where((F.col("root") != F.col("r")) & _near("n", "m")).select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
-        fresh = _settled(rows, distinct, more if edges is not None else pairs.unionByName(more).distinct(), shingle)
-        edges = tk.written(fresh if edges is None else edges.unionByName(fresh), "near")
-        roots = simhash.components(edges)
-        if k == rounds:
-            break
-        rooted = crowds.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-        unlike = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-        ends = tk.written(rooted.join(unlike, "key", "left_semi"), "unlike")
-        if ends.isEmpty():
-            break
-    return roots
-
-
-def grouped(docs: DataFrame, shingle: int = SHINGLE, hot: int = HOT, rounds: int = ROUNDS, sample: int = SAMPLE) -> DataFrame:
+    pairs, crowds = candidates(prints, hot)
+    pruned = tk.written(_pruned(pairs, distinct), "pruned")
+    crowds = tk.written(crowds.join(distinct.select("node", "n", "bits"), "node"), "crowds")
+    crowded = not crowds.isEmpty()
+
+    def ends(found: DataFrame) -> DataFrame:
+        return found.select("doubt", F.col("u").alias("node"), F.col("v").alias("other")).unionByName(found.select("doubt", F.col("v").alias("node"), F.col("u").alias("other")))
+
+    led = pruned.unionByName(_crowded(crowds.withColumn("root", F.col("node")), True, block)) if crowded else pruned
+    # each node with one other, the same for all that can have it
+    first = ends(led).groupBy("node").agg(F.min(F.struct("doubt", F.xxhash64("other").alias("rank"), "other")).alias("lead")).select("node", F.col("lead.other").alias("other"))
+    tested = tk.written(first.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct(), "tested")
+    edges = _settled(rows, distinct, tested, shingle)
+    roots = tk.written(simhash.components(edges), "roots")
+
+    def rooted(df: DataFrame, end: str, name: str) -> DataFrame:
+        return df.join(roots.select(F.col("node").alias(end), F.col("root").alias(name)), end, "left").withColumn(name, F.coalesce(name, end))
+
+    rest = rooted(rooted(pruned.select("u", "v"), "u", "a"), "v", "b").where("a <> b").select("u", "v")
+    if crowded:
+        apart = rooted(crowds, "node", "root")
+        unlike = apart.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+        apart = tk.written(apart.join(unlike, "key", "left_semi"), "apart")
+        if not apart.isEmpty():
+            rest = rest.unionByName(_crowded(apart, False, block).select("u", "v"))
+    rest = tk.written(rest.distinct().join(tested, ["u", "v"], "left_anti"), "rest")
+    if rest.isEmpty():
+        return roots
+    return simhash.components(edges.unionByName(_settled(rows, distinct, rest, shingle)))
+
+
+def grouped(docs: DataFrame, shingle: int = SHINGLE, hot: int = HOT, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
     """doc_id, r1 and r2 (hashes of the row) and ``leader``, the first (unknown, doc_id, r1, r2) of its component."""
     rows = _rows(docs)
     prints = tk.written(prints_of(rows, shingle, sample), "prints")
     first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "r1", "r2")
-    distinct = tk.written(prints.groupBy("node").agg(F.min(first).alias("first"), F.min("hash").alias("hash"), *(F.any_value(c).alias(c) for c in ("n", "prefix", "crowd", "bits"))), "distinct")
-    roots = roots_of(rows, distinct, shingle, hot, rounds)
+    distinct = tk.written(prints.groupBy("node").agg(F.min(first).alias("first"), *(F.any_value(c).alias(c) for c in ("n", "bits"))), "distinct")
+    roots = roots_of(rows, prints, distinct, shingle, hot, block)
     rooted = distinct.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("leader"))
     # copies share a node, so a node may have any share of the rows: AQE splits its partition
@@ -314,11 +371,12 @@ def leaders(docs: DataFrame, **options: object) -> DataFrame:
 
     Rows that differ in other columns alone are copies and go like others. (Columns of maps are no part of the hash.)
     """
-    found = tk.written(grouped(docs, **options), "groups")
-    same = (F.col("r1") == F.col("leader.r1")) & (F.col("r2") == F.col("leader.r2")) & F.col("doc_id").eqNullSafe(F.col("leader.doc_id"))
-    gone = found.where(~same).select("r1", "r2")
-    again = tk.written(found.where(same).groupBy("r1", "r2").count().where("count > 1").select("r1", "r2"), "again")
-    some = tk.written(gone.unionByName(again).distinct(), "gone")
+    with tk.scratch(docs.sparkSession):
+        found = tk.written(grouped(docs, **options), "groups")
+        same = (F.col("r1") == F.col("leader.r1")) & (F.col("r2") == F.col("leader.r2")) & F.col("doc_id").eqNullSafe(F.col("leader.doc_id"))
+        gone = found.where(~same).select("r1", "r2")
+        again = tk.written(found.where(same).groupBy("r1", "r2").count().where("count > 1").select("r1", "r2"), "again", keep=True)
+        some = tk.written(gone.unionByName(again).distinct(), "gone", keep=True)
     names = docs.columns
     plain = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names))).alias("row"), *_row_hashes(docs))
     kept = plain.join(tk.small(some), ["r1", "r2"], "left_anti").select("row")

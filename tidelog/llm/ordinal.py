@@ -128,16 +128,16 @@ def fit(texts: list[str | None], grades: np.ndarray, n_grades: int, bits: int =
 
 
 def grade_of(quality: str = "quality", toxic: str = "toxic") -> Column:
-    """Graded ratings from the two labels: 0 poor, 1 good but toxic, 2 good."""
-    return F.when(F.col(quality) == 0, 0).when(F.col(toxic) == 1, 1).otherwise(2)
+    """Graded ratings from the two labels: 0 poor, 1 good but toxic, 2 good; null where they don't tell."""
+    q, t = F.col(quality), F.col(toxic)
+    return F.when(q == 0, 0).when(q.isNotNull() & (t == 1), 1).when(q.isNotNull() & (t == 0), 2)
 
 
 def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample: int = SAMPLE) -> Model:
-    """From (doc_id, grade) ratings; nulls in either are left out."""
-    chosen = ratings.select("doc_id", F.col("grade").cast("int").alias("__grade")).dropna().orderBy(F.xxhash64("doc_id"), "doc_id", "__grade").limit(sample)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("__text")).join(F.broadcast(chosen), "doc_id").toPandas()
-    rows = rows.sort_values(["doc_id", "__grade", "__text"], kind="stable").sample(frac=1, random_state=5)
-    return fit(rows["__text"].tolist(), rows["__grade"].to_numpy(np.int64), n_grades)
+    """From (doc_id, grade) ratings; nulls in either are left out. Documents that share an id all take its ratings, those
+    with several ratings all of them, within the bounds of ``sampled``. No ratings: even chances."""
+    texts, grades = tk.sampled(docs, ratings.select("doc_id", F.col("grade").cast("double").alias("y")), sample, seed=5)
+    return fit(texts, np.array(grades, np.int64), n_grades)
 
 
 def graded(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -156,7 +156,11 @@ def graded(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",)
 
 
 def digest(docs: DataFrame, labels: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id, expected_grade, tail_prob (of grade 1 and above), top_prob (of grade 2) and kept: tail_prob at least ``least``."""
-    model = train(docs, labels.select("doc_id", F.when(F.col("quality").isNotNull(), grade_of()).alias("grade")))
+    """doc_id, expected_grade, tail_prob (of grade 1 and above), top_prob (of grade 2) and kept: tail_prob at least ``least``.
+
+    One row for each row of ``docs``, repeated ones included; null texts are graded as empty ones, null
+    ids stay; other columns of either table are ignored; an empty table gives no rows.
+    """
+    model = train(docs, labels.select("doc_id", grade_of().alias("grade")))
     tails = F.col("tails")
     return graded(docs, model).select("doc_id", "expected_grade", tails[0].alias("tail_prob"), tails[1].alias("top_prob"), (tails[0] >= least).alias("kept"))

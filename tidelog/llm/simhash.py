@@ -6,10 +6,14 @@ differs in at most t*l/SEGMENTS bits. The longest chain whose budget is below on
 exactly and is the join key; the budgets of the longer chains prune before the last one, which is
 the whole Hamming distance.
 
-Equal fingerprints are one row from the start. A key with over HOT fingerprints is not joined with
-itself: its fingerprints are linked through their neighbours at one bit, of which each has 65; two
-fingerprints within two bits share one, and no neighbour has over 65 members. So no group is ever
-paired out, and no link is lost. Components come from star contraction over written tables.
+The more pieces, the longer the chain that must agree (25 bits of 64 with 5 pieces, 30 with 15), so
+their number follows the number of fingerprints, and keys of unlike ones stay small at any size.
+
+Equal fingerprints are one row from the start. A key can then be large only where fingerprints crowd,
+as those of near copies do. A key with over HOT of them is not joined with itself: its fingerprints are
+linked through their neighbours at one bit, of which each has 65; two fingerprints within two bits share
+one, and no neighbour has over 65 members. So no group is ever paired out, and no link is lost.
+Components come from star contraction over written tables; AQE splits the partitions of star centres.
 """
 
 from __future__ import annotations
@@ -24,7 +28,9 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import textkit as tk
 
-SHINGLE, MAX_BITS, SEGMENTS, HOT, SEED = 3, 2, 5, 64, 42
+SHINGLE, MAX_BITS, HOT, SEED = 3, 2, 64, 42
+#: Fingerprints of a key, on average, that the number of pieces is chosen for; and the most pieces.
+PER_KEY, MOST_SEGMENTS = 4, 15
 
 
 def fingerprints_of(batch: tk.Batch, shingle: int = SHINGLE) -> np.ndarray:
@@ -75,7 +81,16 @@ def _mask(first: int, length: int, segments: int) -> int:
     return bits - (1 << 64) if bits >> 63 else bits
 
 
-def links(prints: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS, hot: int = HOT) -> DataFrame:
+def segments_for(n: int, max_bits: int = MAX_BITS) -> int:
+    """The fewest pieces with which n fingerprints that are not alike come to PER_KEY a key at most."""
+    for segments in range(2 * max_bits + 1, MOST_SEGMENTS, max_bits):
+        exact = -(-segments // max_bits) - 1
+        if n <= PER_KEY << (64 * exact // segments):
+            return segments
+    return MOST_SEGMENTS
+
+
+def links(prints: DataFrame, max_bits: int = MAX_BITS, segments: int | None = None, hot: int = HOT) -> DataFrame:
     """Edges (u, v), u > v, between the distinct fingerprints in ``fp``: they join all that lie within max_bits.
 
     Within keys of up to ``hot`` fingerprints these are all pairs within max_bits; within larger ones
@@ -83,6 +98,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS,
     """
     if max_bits != 2:
         raise ValueError("the neighbour scheme for large keys is for two bits")
+    segments = segments or segments_for(prints.count(), max_bits)
     exact = -(-segments // max_bits) - 1
     if exact < 1:
         raise ValueError("too few segments for a chain without differences")
@@ -112,16 +128,18 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS,
     return cold.unionByName(warm).distinct()
 
 
-def has_chain(differ: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Pigeonring on rows of differing bits by segment: whether from some segment on every chain stays within its share of ``most``.
+def has_chain(differ: np.ndarray, most: np.ndarray, longest: int | None = None) -> np.ndarray:
+    """Pigeonring on rows of differing bits by segment: whether from some segment on every chain, up to the ``longest``
+    asked for, stays within its share of ``most``.
 
     True wherever a row adds up to ``most`` at most; false for many that don't.
     """
     n, segments = differ.shape
-    sums = np.cumsum(np.concatenate([np.zeros((n, 1), np.int64), differ, differ], axis=1), axis=1)
-    alive = np.ones((n, segments), bool)
-    for length in range(1, segments + 1):
-        alive &= segments * (sums[:, length : length + segments] - sums[:, :segments]) <= length * most[:, None]
+    ring = np.concatenate([differ, differ], axis=1).astype(np.int32)
+    total, alive, most = np.zeros((n, segments), np.int32), np.ones((n, segments), bool), most.astype(np.int32)[:, None]
+    for length in range(1, (longest or segments) + 1):
+        total += ring[:, length - 1 : length - 1 + segments]
+        alive &= segments * total <= length * most
     return alive.any(axis=1)
 
 
@@ -142,11 +160,12 @@ def components(edges: DataFrame) -> DataFrame:
         edges = tk.written(small, "stars")
 
 
-def groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, segments: int = SEGMENTS, hot: int = HOT) -> DataFrame:
+def groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, segments: int | None = None, hot: int = HOT) -> DataFrame:
     """doc_id, fp and component_id, one row per row of (doc_id, text).
 
     Null, empty and blank texts have fingerprint zero and are linked like any other. Repeated rows
-    each keep their row. A null doc_id is never a component_id unless its component has no other.
+    each keep their row. A null doc_id is never a component_id unless its component has no other. Other
+    columns are ignored, whatever their names; a text is hashed whole; an empty table gives no rows.
     """
     prints = tk.written(with_fingerprints(docs, shingle), "prints")
     distinct = tk.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")

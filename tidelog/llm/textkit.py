@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 #: Bytes of text that kernels take at once; a longer document is a batch of its own.
 BATCH_BYTES = 2 << 20
 
+#: Characters of labelled texts that a model is fitted on, at most.
+SAMPLE_BYTES = 64 << 20
 #: Rows of keys that are sent to all tasks at most, some 24 bytes each.
 SMALL_ROWS = 1_000_000
 
@@ -192,17 +195,37 @@ def renamed(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder in the cluster's shared folder; a temporary one only where none is set, as in tests."""
+    """A new folder in the cluster's shared folder. Where none is set, a temporary one of this machine in local mode, and
+    else an error: executors on other machines would each write to a folder of their own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="tidelog-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written within are deleted at the end, but those marked to be kept: for steps whose result is written itself."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in _scratch.pop():
+            hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop(path), True)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """The rows as a table in the shared folder, which cuts lineage and survives lost executors."""
     path = shared_path(df.sparkSession, name)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -216,6 +239,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sampled(docs: DataFrame, labels: DataFrame, rows: int, seed: int, most_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[float]]:
+    """Texts and labels y of labelled documents, shuffled: those of the smallest hashes of doc_id, up to ``rows`` of them
+    and ``most_bytes`` of text. They come to the driver one after the other, so it never holds more."""
+    place = [F.xxhash64("doc_id"), "doc_id"]
+    chosen = labels.select("doc_id", "y").dropna().orderBy(*place, "y").limit(rows)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    found = docs.select("doc_id", text.alias("__text")).join(F.broadcast(chosen), "doc_id").orderBy(*place, "y", "__text").limit(rows)
+    texts, ys, held = [], [], 0
+    for r in found.select("__text", "y").toLocalIterator():
+        held += len(r["__text"])
+        if held > most_bytes and texts:
+            break
+        texts.append(r["__text"])
+        ys.append(r["y"])
+    order = np.random.default_rng(seed).permutation(len(texts)).tolist()
+    return [texts[i] for i in order], [ys[i] for i in order]
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tidelog.llm import textkit as tk
 
 #: Labelled documents that the model is fitted on, at most; those with the smallest hash of doc_id.
-SAMPLE = 8_000
+SAMPLE = 12_000
 BITS, FOLDS = 20, 5
 
 _U = np.uint64
@@ -89,11 +89,11 @@ def held_out() -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """From (doc_id, toxic) labels outside the held-out fold; nulls in either are left out."""
-    chosen = labels.select("doc_id", F.col("toxic").cast("double").alias("__y")).dropna().where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id", "__y").limit(sample)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("__text")).join(F.broadcast(chosen), "doc_id").toPandas()
-    rows = rows.sort_values(["doc_id", "__y", "__text"], kind="stable").sample(frac=1, random_state=7)
-    return fit(rows["__text"].tolist(), rows["__y"].to_numpy(np.float64))
+    """From (doc_id, toxic) labels outside the held-out fold; nulls in either are left out. Documents that share an id all
+    take its labels, those with several labels all of them, within the bounds of ``sampled``."""
+    known = labels.select("doc_id", F.col("toxic").cast("double").alias("y")).where(~held_out())
+    texts, y = tk.sampled(docs, known, sample, seed=7)
+    return fit(texts, np.array(y, np.float64))
 
 
 def scored(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -110,4 +110,9 @@ def scored(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted (1 from a score of one half on).
+
+    One row for each row of ``docs``, repeated ones included; null texts score as empty ones, null ids
+    stay and are held out; other columns of either table are ignored; an empty table gives no rows.
+    """
     return scored(docs, train(docs, labels)).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
