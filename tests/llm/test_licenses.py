@@ -1,3 +1,5 @@
+import textwrap
+
 import duckdb
 import pytest
 
@@ -6,18 +8,39 @@ from tidelog.llm import licenses
 MIT = "\n\n".join(licenses.SENTENCES[n] for n in ("mit-title-2", "mit-grant", "mit-notice", "mit-as-is")) + " " + licenses.SENTENCES["mit-liable"]
 WRAPPED = licenses.SENTENCES["isc-grant"].replace("software for any", "software\n   for any").replace("hereby granted", "hereby\ngranted")
 
+def commented(names, leader="# ", width=30):
+    """Sentences wrapped as in a source file's header."""
+    lines = textwrap.wrap(" ".join(licenses.SENTENCES[n] for n in names), width)
+    return "\n".join(leader + x for x in lines)
+
+
+def by(*names, glue=" "):
+    return glue.join(licenses.SENTENCES[n] for n in names)
+
+
+BSD3 = by("bsd-redistribution", "bsd-source", "bsd-binary") + " Neither the name of Ace Inc. " + by("bsd-names")
 CASES = {
     None: "", "": "", " \n.": "", "No licence here. None at all!": "",
     "Some prose.\nLicensed under CC BY-NC 4.0.\nMore.": "CC-BY-NC-4.0",
-    "So licensed UNDER the Apache license,   version 2.0. Released under the MIT License": "MIT",
+    "So licensed UNDER the Apache license,   version 2.0. Released under the MIT License": "Apache-2.0,MIT",
     "licensed UNDER -- the Apache license,   version 2.0": "Apache-2.0",
-    "x. Licensed under the Apache License, Version 2.0. Released under the MIT License.": "Apache-2.0,MIT",
+    "not licensed under the Apache license, version 2.0.5 or version 21.0": "Apache-2.0",
+    "unlicensed under the Apache license, version 2.0": "",
     MIT: "MIT", WRAPPED: "ISC",
     "Released under the MIT License.\nReleased under the MIT License.": "MIT",
-    " ".join(licenses.SENTENCES[n] for n in ("bsd-redistribution", "bsd-source", "bsd-binary")): "BSD-2-Clause",
-    "\n".join(licenses.SENTENCES[n] for n in ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-names")): "BSD-3-Clause",
-    "\n".join(licenses.SENTENCES[n] for n in ("bsd-source", "bsd-redistribution", "bsd-binary")): "",
-    "\n".join(licenses.SENTENCES[n] for n in ("gpl-free", "gpl3-later", "gpl-hope", "gpl-even", "gpl-see")): "GPL-3.0-or-later",
+    by("bsd-redistribution", "bsd-source", "bsd-binary"): "BSD-2-Clause",
+    by("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-names", glue="\n"): "BSD-3-Clause",
+    BSD3: "BSD-3-Clause",
+    by("bsd-source", "bsd-redistribution", "bsd-binary", glue="\n"): "",
+    by("gpl3-later", "gpl-hope", "gpl-even", "gpl-see", glue="\n"): "GPL-3.0-or-later",
+    commented(["gpl2-later", "gpl-hope"], " * "): "GPL-2.0-or-later",
+    commented(["lgpl21-later"], "// "): "LGPL-2.1-or-later", commented(["agpl3-later"], "-- "): "AGPL-3.0-or-later",
+    commented(["mit-grant", "mit-notice"], "# "): "MIT", commented(["apache-header", "apache-may-not"], ";; "): "Apache-2.0",
+    commented(["bsd-redistribution", "bsd-source", "bsd-binary"], "dnl "): "",
+    "/* SPDX-License-Identifier: Apache-2.0 */": "Apache-2.0", "SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0-or-later", "SPDX-License-Identifier: GPL-2.0": "GPL-2.0",
+    by("epl2-terms"): "EPL-2.0", by("bsl-short"): "BSL-1.0", by("zlib-as-is", "zlib-grant"): "Zlib",
+    by("mit-grant") + " few words between " + by("mit-notice"): "MIT",
+    by("mit-grant") + " word" * 200 + " " + by("mit-notice"): "",
     "word " * 20000 + ".\nLicensed under CC0 1.0.": "CC0-1.0",
 }
 
@@ -29,7 +52,7 @@ def docs(spark):
 
 
 def test_cases(docs):
-    got = {r.doc_id: r.licences for r in licenses.digest(docs).where("doc_id is not null").orderBy("n_sentences").collect()}
+    got = {r.doc_id: r.licences for r in licenses.digest(docs).where("doc_id is not null").collect()}
     want = dict(enumerate(CASES.values()))
     assert {k: v for k, v in got.items() if k != 1} == {k: v for k, v in want.items() if k != 1}
     assert licenses.digest(docs).count() == docs.count()
@@ -51,4 +74,6 @@ def test_no_python_in_the_plan(docs):
 
 
 def test_rules_are_of_known_sentences():
+    assert all(any(x in licenses.SENTENCES[n].lower() for x in licenses.SIGNS) for n in licenses.SENTENCES)
+    assert set(licenses.TAGS) <= {x for x, _ in licenses.RULES}
     assert all(n in licenses.SENTENCES for _, names in licenses.RULES for n in names)
