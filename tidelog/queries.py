@@ -360,7 +360,11 @@ def dedupe_event_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stored(spark: SparkSession, sf_dir: str) -> EventLog:
     """The derived log appended to a new store in the shared folder, in one batch."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidelog-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        root = tempfile.mkdtemp(prefix="tidelog-")
     log = init_store(spark, f"{root.rstrip('/')}/store-{uuid.uuid4().hex}")
     rows = activity_log(spark, sf_dir)
     log.append_batch(rows.select(*EVENT_INPUT_SCHEMA.names, F.col("global_position").alias("ordinal"), F.lit(-1).alias("expected_version")).withColumn("payload", F.col("payload").cast("binary")))
@@ -400,7 +404,9 @@ def resume_from_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _store_reads(name: str, sql: str, f: Callable[[EventLog], DataFrame]) -> None:
     def g(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return f(_stored(spark, sf_dir))
+        rows = f(_stored(spark, sf_dir))
+        # payloads are bytes in the store
+        return rows.withColumn("payload", F.col("payload").cast("string")) if "payload" in rows.columns else rows
 
     g.__name__ = name
     query(sql)(g)
