@@ -15,9 +15,9 @@ aren't: those are never dealt to one task.
 
 Equal sets are one node from the start. A key of up to HOT nodes gives its pairs in one pass over sorted
 rows. The nodes of a larger one are held against each other in arrays, in blocks of BLOCK nodes, and no pair
-is put out that the filters reject. Of what passes, a node is first settled with one other only, the first in
-an order that all nodes share: that joins the copies of one document in as many steps as there are copies.
-What passes and is still in different components then is settled as well, so this is exact.
+is put out that the filters reject. Of what passes, a node of a crowd is first settled with one other of each key,
+the first in an order that all nodes share: that joins the copies of one document with as many pairs as
+there are copies. What passes and is still in different components then is settled as well, so this is exact.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from tidelog.llm import simhash
 from tidelog.llm import textkit as tk
 from tidelog.llm.simhash import has_chain
 
-SHINGLE, HOT, BLOCK, SEGMENTS = 5, 64, 2048, 16
+SHINGLE, HOT, BLOCK, SEGMENTS, BLOCK_BYTES = 5, 64, 2048, 16, 16 << 20
 #: Pieces of a chain in the filter, at most; and pairs that are held against each other at once.
 CHAIN, AT_ONCE = 4, 1 << 16
 #: Documents from which the order of the shingles is taken, about; and the share of them that makes a key a crowd.
@@ -116,9 +116,9 @@ def _row_hashes(docs: DataFrame) -> list[Column]:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id, two hashes of the whole row, the text and its hash."""
+    """doc_id, two hashes of the whole row, the text, its hash and its bytes."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("doc_id", *_row_hashes(docs), text.alias("__text"), F.xxhash64(text).alias("hash"))
+    return docs.select("doc_id", *_row_hashes(docs), text.alias("__text"), F.xxhash64(text).alias("hash"), F.octet_length(text).cast("long").alias("size"))
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -142,9 +142,9 @@ def _order(rows: DataFrame, shingle: int, sample: int) -> Order:
 
 
 def prints_of(rows: DataFrame, shingle: int = SHINGLE, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, r1, r2, hash (of the text), node, n (its shingles), ``prefix`` and ``crowd`` (the prefix in two lists), and ``bits``, its parities."""
+    """doc_id, r1, r2, size (bytes of the text), node, n (its shingles), ``prefix`` and ``crowd`` (the prefix in two lists), and ``bits``, its parities."""
     shared = rows.sparkSession.sparkContext.broadcast(_order(rows, shingle, sample))
-    same = ("doc_id", "r1", "r2", "hash")
+    same = ("doc_id", "r1", "r2", "size")
     schema = rows.select(*same).schema.add("node", "long").add("n", "integer")
     for c in ("prefix", "crowd", "bits"):
         schema = schema.add(c, T.ArrayType(T.LongType()))
@@ -284,30 +284,49 @@ def _crowded(rows: DataFrame, leads: bool, block: int) -> DataFrame:
     return dealt.select("key", "i", "j", "mine", "node", "n", "root", "bits").groupBy("key", "i", "j").applyInArrow(work, PAIRS)
 
 
-def _settled(rows: DataFrame, distinct: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (u, v), a written table, with a similarity of 0.8 or more: 9 times the common shingles are at least 4 times all of both.
+def _settled(rows: DataFrame, distinct: DataFrame, pairs: DataFrame, shingle: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Edges (u, v) that join what the pairs (u, v), a written table, with a similarity of 0.8 or more join: 9 times the common
+    shingles are at least 4 times all of both.
 
-    Texts travel and not sets, which take several times the room; one text stands for each node.
+    Pairs are settled by components of the pairs. A component's nodes are dealt to blocks of about ``block_bytes``
+    of text, and a task has the texts of two blocks, each once however many pairs it is in: only those that a
+    pair of the two asks for. Texts travel and not sets, which take several times the room.
     """
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    some = tk.written(distinct.join(asked, "node", "left_semi").select("node", F.col("first.r1").alias("r1"), F.col("first.r2").alias("r2")), "asked")
+    found = simhash.components(pairs)
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(found, "node", "left").select("node", F.coalesce("root", "node").alias("part"))
+    nodes = tk.written(nodes.join(distinct.select("node", "size", F.col("first.r1").alias("r1"), F.col("first.r2").alias("r2")), "node"), "nodes")
+    blocks = nodes.groupBy("part").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / block_bytes)).alias("blocks"))
+    placed = nodes.join(blocks, "part").select("node", "part", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
+    a, b = (placed.select(F.col("node").alias(end), *([] if end == "v" else ["part"]), F.col("block").alias(f"block_{end}")) for end in ("u", "v"))
+    low, high = F.least("block_u", "block_v").alias("i"), F.greatest("block_u", "block_v").alias("j")
+    cut = tk.written(pairs.join(a, "u").join(b, "v").select("part", low, high, "u", "v"), "cut")
     # rows alike in all columns all come, and one of them goes on
-    texts = rows.select("r1", "r2", "__text").join(tk.small(some), ["r1", "r2"]).groupBy("node").agg(F.any_value("__text").alias("__text"))
-    a, b = (texts.select(F.col("node").alias(end), F.col("__text").alias(f"text_{end}")) for end in ("u", "v"))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            sets = []
-            for c in ("text_u", "text_v"):
-                own: list[np.ndarray] = []
-                for _, _, batch in tk.batches(x.column(c)):
-                    key, at = shingles_of(batch, shingle)
-                    own += np.split(key, at[1:-1])
-                sets.append(own)
-            keep = [9 * len(np.intersect1d(p, q, assume_unique=True)) >= 4 * (len(p) + len(q)) for p, q in zip(*sets, strict=True)]
-            yield pa.RecordBatch.from_arrays([x.column(c).filter(pa.array(keep, pa.bool_())) for c in ("u", "v")], ["u", "v"])
-
-    return tk.written(pairs.join(a, "u").join(b, "v").mapInArrow(work, "u long, v long"), "near")
+    texts = rows.select("r1", "r2", "__text").join(tk.small(nodes.select("node", "r1", "r2")), ["r1", "r2"]).groupBy("node").agg(F.any_value("__text").alias("__text"))
+    asked = cut.select(F.col("part").alias("its_part"), F.col("i").alias("its_i"), F.col("j").alias("its_j"), F.explode(F.array("u", "v")).alias("node")).distinct()
+
+    def work(key: tuple, t: pa.Table, p: pa.Table) -> pa.Table:
+        node, sets = t.column("node").to_numpy(), []
+        for _, _, batch in tk.batches(t.column("__text")):
+            keys, at = shingles_of(batch, shingle)
+            sets += np.split(keys, at[1:-1])
+        order = np.argsort(node)
+        ends = [order[np.searchsorted(node, p.column(c).to_numpy(), sorter=order)].tolist() for c in ("u", "v")]
+        parent, edges = list(range(len(node))), []
+
+        def top(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = i = parent[parent[i]]
+            return i
+
+        for x, y in zip(*ends, strict=True):
+            i, j = top(x), top(y)
+            if i != j and 9 * len(np.intersect1d(sets[x], sets[y], assume_unique=True)) >= 4 * (len(sets[x]) + len(sets[y])):
+                parent[i] = j
+                edges.append((x, y))
+        both = node[np.array(edges, np.int64).reshape(-1, 2)]
+        return pa.table({"u": both[:, 0], "v": both[:, 1]})
+
+    return tk.written(asked.join(texts, "node").groupBy("its_part", "its_i", "its_j").cogroup(cut.groupBy("part", "i", "j")).applyInArrow(work, "u long, v long"), "near")
 
 
 def roots_of(rows: DataFrame, prints: DataFrame, distinct: DataFrame, shingle: int = SHINGLE, hot: int = HOT, block: int = BLOCK) -> DataFrame:
@@ -317,27 +336,22 @@ def roots_of(rows: DataFrame, prints: DataFrame, distinct: DataFrame, shingle: i
     crowds = tk.written(crowds.join(distinct.select("node", "n", "bits"), "node"), "crowds")
     crowded = not crowds.isEmpty()
 
-    def ends(found: DataFrame) -> DataFrame:
-        return found.select("doubt", F.col("u").alias("node"), F.col("v").alias("other")).unionByName(found.select("doubt", F.col("v").alias("node"), F.col("u").alias("other")))
-
-    led = pruned.unionByName(_crowded(crowds.withColumn("root", F.col("node")), True, block)) if crowded else pruned
-    # each node with one other, the same for all that can have it
-    first = ends(led).groupBy("node").agg(F.min(F.struct("doubt", F.xxhash64("other").alias("rank"), "other")).alias("lead")).select("node", F.col("lead.other").alias("other"))
-    tested = tk.written(first.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct(), "tested")
+    led = pruned.select("u", "v").unionByName(_crowded(crowds.withColumn("root", F.col("node")), True, block).select("u", "v")).distinct() if crowded else pruned.select("u", "v")
+    tested = tk.written(led, "tested")
     edges = _settled(rows, distinct, tested, shingle)
+    if not crowded:
+        return simhash.components(edges)
     roots = tk.written(simhash.components(edges), "roots")
 
     def rooted(df: DataFrame, end: str, name: str) -> DataFrame:
         return df.join(roots.select(F.col("node").alias(end), F.col("root").alias(name)), end, "left").withColumn(name, F.coalesce(name, end))
 
-    rest = rooted(rooted(pruned.select("u", "v"), "u", "a"), "v", "b").where("a <> b").select("u", "v")
-    if crowded:
-        apart = rooted(crowds, "node", "root")
-        unlike = apart.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-        apart = tk.written(apart.join(unlike, "key", "left_semi"), "apart")
-        if not apart.isEmpty():
-            rest = rest.unionByName(_crowded(apart, False, block).select("u", "v"))
-    rest = tk.written(rest.distinct().join(tested, ["u", "v"], "left_anti"), "rest")
+    apart = rooted(crowds, "node", "root")
+    unlike = apart.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    apart = tk.written(apart.join(unlike, "key", "left_semi"), "apart")
+    if apart.isEmpty():
+        return roots
+    rest = tk.written(_crowded(apart, False, block).select("u", "v").distinct().join(tested, ["u", "v"], "left_anti"), "rest")
     if rest.isEmpty():
         return roots
     return simhash.components(edges.unionByName(_settled(rows, distinct, rest, shingle)))
@@ -348,7 +362,7 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, hot: int = HOT, block: int
     rows = _rows(docs)
     prints = tk.written(prints_of(rows, shingle, sample), "prints")
     first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "r1", "r2")
-    distinct = tk.written(prints.groupBy("node").agg(F.min(first).alias("first"), *(F.any_value(c).alias(c) for c in ("n", "bits"))), "distinct")
+    distinct = tk.written(prints.groupBy("node").agg(F.min(first).alias("first"), *(F.any_value(c).alias(c) for c in ("n", "size", "bits"))), "distinct")
     roots = roots_of(rows, prints, distinct, shingle, hot, block)
     rooted = distinct.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("leader"))
