@@ -54,3 +54,24 @@ def test_stages(spark, sf_dir):
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 0
+
+
+def test_edges(spark, tmp_path):
+    """Empty tables, and tables of nulls, repeated rows and clashing columns, go through all stages."""
+    text = " ".join(f"word{i} of{i % 7}" for i in range(60))
+    docs = spark.createDataFrame([(1, text, "a", 1), (1, text, "a", 1), (2, text + " end", "a", 2), (None, text[::-1], None, 3), (3, None, None, None), (4, "", "b", 0)], "doc_id long, text string, source string, `row.r1` long")
+    docs = docs.selectExpr("*", "1 AS node", "'x' AS copies", "2.0 AS n_words", "3 AS hash")
+    labels = spark.createDataFrame([(1, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, None), (None, "nothing that occurs")], "item_id long, text string")
+    for name, tables in (("some", (docs, labels, bench)), ("none", (docs, labels.where("false"), bench.where("false"))), ("empty", (docs.where("false"), labels, bench))):
+        for table_, t in zip(("documents", "labels", "benchmark"), tables, strict=True):
+            t.write.parquet(str(tmp_path / name / f"{table_}.parquet"))
+        at = str(tmp_path / name)
+        now = table(spark, at, "documents")
+        columns = now.columns
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            now = written(f(spark, now, at), stage)
+            assert now.columns == columns
+        last = corpus_pipeline.STAGES[-1][1](spark, now, at).collect()
+        # the two texts of words that are no copies of each other, once each or more
+        assert {r.doc_id for r in last} == (set() if name == "empty" else {1, None})

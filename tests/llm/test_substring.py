@@ -4,6 +4,7 @@ import random
 
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import types as T
 
 from tidelog.llm import substring
@@ -12,10 +13,16 @@ from tidelog.llm import textkit as tk
 SCHEMA = "doc_id long, text string"
 
 
+def hash_of(text):
+    """Spark's xxhash64: seed 42, signed; the seed itself for null."""
+    h = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def brute(rows, window=20):
-    docs = sorted((-(1 << 63) if i is None else i, (t or ""), i) for i, t in rows)
+    docs = sorted((-(1 << 63) if i is None else i, hash_of(t), t or "", i) for i, t in rows)
     first, out = {}, []
-    words = [t.encode().split() for _, t, _ in docs]
+    words = [t.encode().split() for _, _, t, _ in docs]
     for d, w in enumerate(words):
         for p in range(len(w) - window + 1):
             first.setdefault(tuple(w[p : p + window]), (d, p))
@@ -25,7 +32,7 @@ def brute(rows, window=20):
             if first[tuple(w[p : p + window])] != (d, p):
                 gone.update(range(p, p + window))
         kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
-        out.append((docs[d][2], len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+        out.append((docs[d][3], len(w), len(gone), hashlib.sha256(kept).hexdigest()))
     return sorted(out, key=str)
 
 
@@ -43,6 +50,9 @@ def test_small_cases(spark):
         k = rng.randrange(len(w) + 1)
         cut = rng.randrange(14)
         rows.append((i, "  ".join(w[:k] + passage[cut : cut + rng.randrange(18, 24)] + w[k:])))
+    # rows that share an id, or have none, in several chunks
+    for i in (None, 8):
+        rows += [(i, " ".join(passage[k:] + [f"t{i}{k}"])) for k in range(12)]
     rows += [(7, "x y z " * 30), (7, "x y z " * 30), (61, "é" * 40 + " " + "w " * 90)]
     assert run(spark, rows, chunk_bytes=300, bucket_bytes=500) == brute(rows)
 

@@ -225,18 +225,18 @@ def passing(one: np.ndarray, two: np.ndarray, n: np.ndarray, m: np.ndarray) -> t
     return keep[good], (4 * total[good] > 3 * most[keep[good]]).astype(np.int8)
 
 
-PAIRS = "u long, v long, doubt byte"
+PAIRS = "u long, v long"
 
 
 def _pruned(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(u, v, doubt) of the pairs that pass the filters."""
+    """The pairs that pass the filters."""
     a, b = (distinct.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}")) for end in ("u", "v"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             one, two = (_bits(x.column(f"bits_{c}")) for c in "uv")
-            keep, doubt = passing(one, two, *(x.column(f"n_{c}").to_numpy().astype(np.int64) for c in "uv"))
-            yield pa.RecordBatch.from_arrays([*(x.column(c).take(pa.array(keep)) for c in "uv"), pa.array(doubt)], ["u", "v", "doubt"])
+            keep, _ = passing(one, two, *(x.column(f"n_{c}").to_numpy().astype(np.int64) for c in "uv"))
+            yield pa.RecordBatch.from_arrays([x.column(c).take(pa.array(keep)) for c in "uv"], ["u", "v"])
 
     return pairs.join(a, "u").join(b, "v").mapInArrow(work, PAIRS)
 
@@ -248,7 +248,7 @@ def _bits(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def _crowded(rows: DataFrame, leads: bool, block: int) -> DataFrame:
-    """(u, v, doubt) of nodes of different roots that share a key and pass the filters, from key, node, n, bits and root.
+    """(u, v) of nodes of different roots that share a key and pass the filters, from key, node, n, bits and root.
 
     ``leads``: for each node of a key only the first of its partners, the surer ones before others, in an order
     that all nodes share. A key's nodes are dealt to blocks, and each pair of blocks is a task's.
@@ -277,9 +277,8 @@ def _crowded(rows: DataFrame, leads: bool, block: int) -> DataFrame:
             a, b, d = np.concatenate([p, q]), np.concatenate([q, p]), np.concatenate([doubt, doubt])
             order = np.lexsort((rank[b], d, a))
             first = order[np.concatenate([[True], a[order][1:] != a[order][:-1]])] if len(order) else order
-            p, q, doubt = a[first], b[first], d[first]
-        u, v = np.maximum(node[p], node[q]), np.minimum(node[p], node[q])
-        return pa.table({"u": u, "v": v, "doubt": pa.array(doubt.astype(np.int8))})
+            p, q = a[first], b[first]
+        return pa.table({"u": np.maximum(node[p], node[q]), "v": np.minimum(node[p], node[q])})
 
     return dealt.select("key", "i", "j", "mine", "node", "n", "root", "bits").groupBy("key", "i", "j").applyInArrow(work, PAIRS)
 
@@ -336,7 +335,7 @@ def roots_of(rows: DataFrame, prints: DataFrame, distinct: DataFrame, shingle: i
     crowds = tk.written(crowds.join(distinct.select("node", "n", "bits"), "node"), "crowds")
     crowded = not crowds.isEmpty()
 
-    led = pruned.select("u", "v").unionByName(_crowded(crowds.withColumn("root", F.col("node")), True, block).select("u", "v")).distinct() if crowded else pruned.select("u", "v")
+    led = pruned.unionByName(_crowded(crowds.withColumn("root", F.col("node")), True, block)).distinct() if crowded else pruned
     tested = tk.written(led, "tested")
     edges = _settled(rows, distinct, tested, shingle)
     if not crowded:
@@ -351,7 +350,7 @@ def roots_of(rows: DataFrame, prints: DataFrame, distinct: DataFrame, shingle: i
     apart = tk.written(apart.join(unlike, "key", "left_semi"), "apart")
     if apart.isEmpty():
         return roots
-    rest = tk.written(_crowded(apart, False, block).select("u", "v").distinct().join(tested, ["u", "v"], "left_anti"), "rest")
+    rest = tk.written(_crowded(apart, False, block).distinct().join(tested, ["u", "v"], "left_anti"), "rest")
     if rest.isEmpty():
         return roots
     return simhash.components(edges.unionByName(_settled(rows, distinct, rest, shingle)))

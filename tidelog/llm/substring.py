@@ -7,7 +7,8 @@ only anchors at cover places need be exchanged. An anchor seen twice is then ext
 window of WINDOW words that holds it is a candidate, and candidates are settled by a 128-bit hash
 of the whole window, exchanged once more to find where each starts first.
 
-Documents are dealt to chunks by a hash of their id. A chunk sends each anchor and each candidate
+Documents are dealt to chunks by a hash of id and text, so rows that share an id (or have none) are spread
+as others are. A chunk sends each anchor and each candidate
 once, whatever its number of copies, so a passage held by a third of all documents costs one
 entry a chunk. Entries travel packed by hash bucket, eight bytes an anchor; nothing is collected.
 """
@@ -45,17 +46,19 @@ def _packed(keys: np.ndarray, n_buckets: int, *columns: np.ndarray) -> tuple[np.
 
 
 class _Chunk:
-    """The documents of a chunk in the order of their ids, as words."""
+    """The documents of a chunk in the order of their ids, as words; those that share an id by the hash of their text, then by it."""
 
     def __init__(self, table: pa.Table, window: int):
         ids = table.column("doc_id").combine_chunks()
         texts = tk.text_array(table.column("text"))
         known = ids.is_valid().to_numpy(zero_copy_only=False)
         number = ids.fill_null(_FIRST).to_numpy()
-        order = np.argsort(number, kind="stable")
-        if (number[order][1:] == number[order][:-1]).any():  # rows that share an id: by text
-            order = np.array(sorted(range(len(number)), key=lambda i: (number[i], known[i], texts[i].as_py())), np.int64)
-        self.known, self.ids = known[order], number[order]
+        rank = table.column("rank").to_numpy()
+        order = np.lexsort((rank, number))
+        same = (number[order][1:] == number[order][:-1]) & (rank[order][1:] == rank[order][:-1])
+        if same.any():  # alike but for chance: by the text itself
+            order = np.array(sorted(range(len(number)), key=lambda i: (number[i], rank[i], texts[i].as_py())), np.int64)
+        self.known, self.ids, self.rank = known[order], number[order], rank[order]
         data, offsets = tk.raw(texts.take(pa.array(order)))
         self.batch = tk.Batch(data, offsets)
         self.batch.words(tk.SPACE_NOT)
@@ -110,14 +113,15 @@ def remove_repeats(docs: DataFrame, finish: Callable, schema: str, window: int =
     """Apply ``finish(ids, words, removed)`` to each document of (doc_id, text), words as bytes.
 
     Null texts have no words; a null doc_id sorts before all others; rows that share a doc_id are
-    separate documents, ordered by text; other columns are ignored; an empty table gives no rows.
+    separate documents, ordered by the hash of their text, then by it; rows alike in both lie in one chunk;
+    other columns are ignored; an empty table gives no rows.
     """
     if {(a - b) % period for a in cover for b in cover} != set(range(period)) or window < period:
         raise ValueError("cover is no difference cover of the period, or the window is shorter than it")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = tk.bytes_of(docs)
     n_chunks, n_buckets = max(LEAST, -(-size // chunk_bytes)), max(LEAST, -(-size // bucket_bytes))
-    chunked = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).cast("int"))
+    chunked = docs.withColumn("rank", F.xxhash64("text")).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "rank"), F.lit(n_chunks)).cast("int"))
 
     def send_anchors(key: tuple, t: pa.Table) -> pa.Table:
         _, keys = _Chunk(t, window).anchors(window, period, cover)
@@ -149,14 +153,14 @@ def remove_repeats(docs: DataFrame, finish: Callable, schema: str, window: int =
         order, new = _distinct(one, two)
         lead = order[new]  # a stable sort: the earliest start of each window in this chunk
         doc = np.searchsorted(c.batch.at, starts[lead], "right") - 1
-        buckets, (a, b, ids) = _packed(one[lead], n_buckets, one[lead], two[lead], c.ids[doc])
-        return pa.table({"bucket": pa.array(buckets, pa.int32()), "chunk": pa.array(np.full(len(buckets), key[0].as_py()), pa.int32()), "one": pa.array(a, pa.binary()), "two": pa.array(b, pa.binary()), "ids": pa.array(ids, pa.binary())})
+        buckets, (a, b, ids, ranks) = _packed(one[lead], n_buckets, one[lead], two[lead], c.ids[doc], c.rank[doc])
+        return pa.table({"bucket": pa.array(buckets, pa.int32()), "chunk": pa.array(np.full(len(buckets), key[0].as_py()), pa.int32()), "one": pa.array(a, pa.binary()), "two": pa.array(b, pa.binary()), "ids": pa.array(ids, pa.binary()), "ranks": pa.array(ranks, pa.binary())})
 
     def find_later(key: tuple, t: pa.Table) -> pa.Table:
         one, sizes = _blobs(t.column("one"), _U)
-        two, ids = _blobs(t.column("two"), _U)[0], _blobs(t.column("ids"), np.int64)[0]
+        two, ids, ranks = _blobs(t.column("two"), _U)[0], *(_blobs(t.column(x), np.int64)[0] for x in ("ids", "ranks"))
         owner = np.repeat(t.column("chunk").to_numpy(), sizes)
-        order = np.lexsort((ids, two, one))
+        order = np.lexsort((ranks, ids, two, one))
         one, two, owner = one[order], two[order], owner[order]
         later = np.zeros(len(one), bool)
         later[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
@@ -184,7 +188,7 @@ def remove_repeats(docs: DataFrame, finish: Callable, schema: str, window: int =
     anchors = chunked.groupBy("chunk").applyInArrow(send_anchors, "bucket int, chunk int, keys binary")
     shared = anchors.groupBy("bucket").applyInArrow(find_shared, "chunk int, keys binary")
     shared = tk.written(shared, "anchors")
-    windows = chunked.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(send_windows, "bucket int, chunk int, one binary, two binary, ids binary")
+    windows = chunked.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(send_windows, "bucket int, chunk int, one binary, two binary, ids binary, ranks binary")
     later = windows.groupBy("bucket").applyInArrow(find_later, "chunk int, keys binary")
     news = shared.withColumn("later", F.lit(False)).unionByName(later.withColumn("later", F.lit(True)))
 
