@@ -35,7 +35,7 @@ from tidelog.llm import simhash
 from tidelog.llm import textkit as tk
 from tidelog.llm.simhash import has_chain
 
-SHINGLE, HOT, BLOCK, SEGMENTS, BLOCK_BYTES = 5, 64, 2048, 16, 16 << 20
+SHINGLE, HOT, BLOCK, SEGMENTS, BLOCK_BYTES = 5, 64, 2048, 16, 8 << 20
 #: Pieces of a chain in the filter, at most; and pairs that are held against each other at once.
 CHAIN, AT_ONCE = 4, 1 << 16
 #: Documents from which the order of the shingles is taken, about; and the share of them that makes a key a crowd.
@@ -287,21 +287,24 @@ def _settled(rows: DataFrame, distinct: DataFrame, pairs: DataFrame, shingle: in
     """Edges (u, v) that join what the pairs (u, v), a written table, with a similarity of 0.8 or more join: 9 times the common
     shingles are at least 4 times all of both.
 
-    Pairs are settled by components of the pairs. A component's nodes are dealt to blocks of about ``block_bytes``
-    of text, and a task has the texts of two blocks, each once however many pairs it is in: only those that a
-    pair of the two asks for. Texts travel and not sets, which take several times the room.
+    A node's place is that of the first of it and its partners, in an order that all nodes share, so copies of
+    one document mostly have the same; a place is dealt to blocks of about ``block_bytes`` of text. A task has the
+    texts of two blocks, each once however many pairs it is in: only those that a pair of the two asks for.
+    Texts travel and not sets, which take several times the room.
     """
-    found = simhash.components(pairs)
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(found, "node", "left").select("node", F.coalesce("root", "node").alias("part"))
+    ends = pairs.select(F.col("u").alias("node"), F.col("v").alias("other")).unionByName(pairs.select(F.col("v").alias("node"), F.col("u").alias("other")))
+    rank = lambda c: F.struct(F.xxhash64(c).alias("rank"), F.col(c).alias("node"))
+    nodes = ends.groupBy("node").agg(F.min(rank("other")).alias("lead")).select("node", F.least(rank("node"), F.col("lead")).getField("node").alias("part"))
     nodes = tk.written(nodes.join(distinct.select("node", "size", F.col("first.r1").alias("r1"), F.col("first.r2").alias("r2")), "node"), "nodes")
     blocks = nodes.groupBy("part").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / block_bytes)).alias("blocks"))
-    placed = nodes.join(blocks, "part").select("node", "part", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
-    a, b = (placed.select(F.col("node").alias(end), *([] if end == "v" else ["part"]), F.col("block").alias(f"block_{end}")) for end in ("u", "v"))
-    low, high = F.least("block_u", "block_v").alias("i"), F.greatest("block_u", "block_v").alias("j")
-    cut = tk.written(pairs.join(a, "u").join(b, "v").select("part", low, high, "u", "v"), "cut")
+    placed = nodes.join(blocks, "part").select("node", F.struct("part", F.pmod(F.xxhash64("node"), "blocks").alias("block")).alias("place"))
+    a, b = (placed.select(F.col("node").alias(end), F.col("place").alias(f"place_{end}")) for end in ("u", "v"))
+    low, high = F.least("place_u", "place_v"), F.greatest("place_u", "place_v")
+    where = [low["part"].alias("a"), low["block"].alias("i"), high["part"].alias("b"), high["block"].alias("j")]
+    cut = tk.written(pairs.join(a, "u").join(b, "v").select(*where, "u", "v"), "cut")
     # rows alike in all columns all come, and one of them goes on
     texts = rows.select("r1", "r2", "__text").join(tk.small(nodes.select("node", "r1", "r2")), ["r1", "r2"]).groupBy("node").agg(F.any_value("__text").alias("__text"))
-    asked = cut.select(F.col("part").alias("its_part"), F.col("i").alias("its_i"), F.col("j").alias("its_j"), F.explode(F.array("u", "v")).alias("node")).distinct()
+    asked = cut.select(*(F.col(c).alias(f"its_{c}") for c in "aibj"), F.explode(F.array("u", "v")).alias("node")).distinct()
 
     def work(key: tuple, t: pa.Table, p: pa.Table) -> pa.Table:
         node, sets = t.column("node").to_numpy(), []
@@ -325,7 +328,7 @@ def _settled(rows: DataFrame, distinct: DataFrame, pairs: DataFrame, shingle: in
         both = node[np.array(edges, np.int64).reshape(-1, 2)]
         return pa.table({"u": both[:, 0], "v": both[:, 1]})
 
-    return tk.written(asked.join(texts, "node").groupBy("its_part", "its_i", "its_j").cogroup(cut.groupBy("part", "i", "j")).applyInArrow(work, "u long, v long"), "near")
+    return tk.written(asked.join(texts, "node").groupBy(*(f"its_{c}" for c in "aibj")).cogroup(cut.groupBy(*"aibj")).applyInArrow(work, "u long, v long"), "near")
 
 
 def roots_of(rows: DataFrame, prints: DataFrame, distinct: DataFrame, shingle: int = SHINGLE, hot: int = HOT, block: int = BLOCK) -> DataFrame:

@@ -28,7 +28,7 @@ from tidelog.llm import textkit as tk
 END = 2
 SEGMENT = coder.BLOCK * coder.LANES
 #: Characters of the pieces that a worker remembers: those it meets first. Others are kept for their batch.
-MEMORY = 8 << 20
+MEMORY = 5 << 20
 #: Stands between pieces that are encoded in one call; a control character that is one token of its own.
 PART, TOGETHER = "\x01", 512
 
