@@ -113,6 +113,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, shards: int | None = None
     ranged = rows.repartitionByRange(shards, "doc_id", "hash", "number").sortWithinPartitions("doc_id", "hash", "text").drop("hash", "number")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what earlier tasks of this worker held
         shard, number, start = TaskContext.get().partitionId(), 0, 0
         docs: list[np.ndarray] = []
         ids: list[tuple[int, bool]] = []
@@ -161,6 +162,7 @@ def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()
         for b in batches:
             for r in b.to_pylist():
                 tokens = coder.decompress(r["prior"], r["frames"])
