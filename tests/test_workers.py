@@ -91,8 +91,8 @@ def test_two_workers_share_and_hand_over(log):
 def test_a_slow_handler_keeps_its_segments(log):
     """Heartbeats go on while a handler takes longer than the stale threshold."""
     fill(log, 2, 1)
-    config = WorkerConfig(**{**CONFIG, "total_segments": 1, "stale_threshold": 1.5})
-    busy = Running(Worker(log, config, "w1"), Consumer("c", lambda events, models: time.sleep(6)))
+    config = WorkerConfig(**{**CONFIG, "total_segments": 1, "stale_threshold": 3.0})
+    busy = Running(Worker(log, config, "w1"), Consumer("c", lambda events, models: time.sleep(10)))
     until(lambda: owners(log) == ["w1"])
     other = Running(Worker(log, config, "w2"), Consumer("c", lambda events, models: None))
     until(lambda: log.state().segments[0][4] == 2)

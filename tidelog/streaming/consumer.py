@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 import threading
 import time
@@ -192,7 +193,8 @@ class _Run:
         return self.worker.stopping.is_set() or self.error is not None
 
     def _balanced(self, s: DataFrame, w: DataFrame) -> tuple[DataFrame, DataFrame]:
-        cfg, name, me, now = self.config, self.consumer.name, self.worker.id, F.current_timestamp()
+        # the time of the state that was read, not that of the jobs to come
+        cfg, name, me, now = self.config, self.consumer.name, self.worker.id, F.lit(dt.datetime.now(dt.UTC))
         if cfg.run_mode == ONE_OFF:  # all that is free, whatever the share
             return segments.claimed(s, name, me, cfg.total_segments), w
         w = segments.purged(segments.registered(w, name, me, now), name, now, cfg.stale_threshold)
