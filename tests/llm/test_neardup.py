@@ -133,3 +133,51 @@ def test_chains():
         assert ok == any(all(6 * sum((d + d)[s : s + n]) <= n * most for n in range(1, 7)) for s in range(6))
         assert ok or sum(d) > most
     assert not all(got)
+
+
+def test_long_unlike_sets_are_rejected(spark):
+    """Of long texts that share a passage, only pairs as similar as asked go on to have their texts compared, whatever their lengths."""
+    rng = random.Random(8)
+    passage, rows = words(rng, 60), []
+    for n in (900, 1100, 2600, 3000, 3300, 5000, 5200):
+        base = words(rng, n)
+        copy = base[: -n // 12] + words(rng, n // 20)
+        rows += [(len(rows), " ".join(base + passage)), (len(rows) + 1, " ".join(copy + passage))]
+    prints = neardup.prints_of(neardup._rows(spark.createDataFrame(rows, SCHEMA)))
+    distinct = prints.select("node", "n", "bits")
+    node = {r.doc_id: r.node for r in prints.select("doc_id", "node").collect()}
+    sets = {d: shingles(t) for d, t in rows}
+    # candidates are of like sizes
+    every = [(node[a], node[b]) for a in node for b in node if a > b and 4 * len(sets[a]) <= 5 * len(sets[b]) <= 25 * len(sets[a]) / 4]
+    got = {tuple(r) for r in neardup._pruned(spark.createDataFrame(every, "u long, v long"), distinct).collect()}
+    alike = {(node[a], node[b]) for a in sets for b in sets if a > b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert got == alike == {(node[d + 1], node[d]) for d in range(0, len(rows), 2)}
+
+
+def test_widths_and_places():
+    """Parities of unlike widths differ in no more places than the sets do; similar sets have enough left from the first shingle that they share."""
+    rng = np.random.default_rng(4)
+    sets, similar = [], 0
+    for n in (1, 30, 1000, 1030, 2040, 2060, 9000):
+        a = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
+        for share in (1.0, 0.97, 0.9, 0.5):
+            sets.append(np.unique(np.concatenate([rng.permutation(a)[: int(n * share)], rng.integers(-(1 << 62), 1 << 62, n // 50)])))
+    sets = [s for s in sets if len(s)]
+    values, at = neardup.vectors_of(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
+    vectors = neardup.Vectors(neardup._lists(values, at))
+    assert all(w == 16 or 32 * w < len(s) <= 64 * w for w, s in zip(vectors.words.tolist(), sets, strict=True)) and len(set(vectors.words.tolist())) > 2
+    p, q = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    n = np.array([len(s) for s in sets])
+    keep, _ = neardup.passing(vectors, vectors, p, q, n[p], n[q])
+    keep = set(keep.tolist())
+    for k, (i, j) in enumerate(zip(p.tolist(), q.tolist(), strict=True)):
+        both = np.intersect1d(sets[i], sets[j])
+        words_ = int(min(vectors.words[i], vectors.words[j]))
+        (row, x) = vectors.folded(words_)
+        assert np.bitwise_count(x[row[i]] ^ x[row[j]]).sum() <= n[i] + n[j] - 2 * len(both)
+        if 9 * len(both) >= 4 * (n[i] + n[j]):
+            similar += i != j
+            assert k in keep
+            rest = [n[y] - np.searchsorted(sets[y], both[0]) for y in (i, j)]
+            assert neardup.enough(n[i], rest[0], n[j], rest[1])
+    assert similar > 20

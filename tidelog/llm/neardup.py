@@ -2,13 +2,16 @@
 
 Similar sets A and B differ in at most (|A| + |B|) / 9 shingles. That makes the similarity a Hamming
 distance with a bound, to which the pigeonring filter of ``simhash`` applies: the parities of the
-shingles in SEGMENTS pieces of 64 places are a vector in which no more bits can differ than shingles
-do, so around the ring there is a piece from which every chain of pieces stays within its share of the
-bound. Candidates must have such a piece, then pass the whole Hamming check, and are settled by the
-sets themselves: no link is lost or made up.
+shingles in SEGMENTS pieces are a vector in which no more bits can differ than shingles do, so around
+the ring there is a piece from which every chain of pieces stays within its share of the bound. Candidates
+must have such a piece, then pass the whole Hamming check, and are settled by the sets themselves: no
+link is lost or made up. The vector has as many places as the set has shingles, or more, as in one much
+shorter any two sets differ in less than the bound; of two widths, the wider is folded to the other.
 
 Candidates share a shingle of their prefixes. All shingles stand in one order; of a set of n, the first
-n - ceil(0.8 n) + 1 are its prefix, and two sets as similar as asked share a shingle of both. The order
+n - ceil(0.8 n) + 1 are its prefix, and two sets as similar as asked share a shingle of both. Of the first
+that they share, as much must follow in each as they need in common, so a key gives no pair of which one
+has it too late: if they are similar, an earlier key gives them. The order
 is by the number of documents of a sample that hold the shingle, then by hash, so passages that many
 documents share come last. Any order is exact; the sample only makes keys rare, and tells which keys
 aren't: those are never dealt to one task.
@@ -75,12 +78,49 @@ def prefix_size(n: np.ndarray | int) -> np.ndarray | int:
     return n - (4 * n + 4) // 5 + (n > 0)
 
 
-def parities_of(key: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """SEGMENTS longs for each set; a bit says whether an odd number of the shingles falls there."""
-    n, width = len(at) - 1, 64 * SEGMENTS
+def parities_of(key: np.ndarray, at: np.ndarray, words: int = SEGMENTS) -> np.ndarray:
+    """``words`` longs for each set; a bit says whether an odd number of the shingles falls there."""
+    n, width = len(at) - 1, 64 * words
     place = ((key.view(np.uint64) >> np.uint64(20)) % np.uint64(width)).astype(np.int64)
     flags = np.bincount(np.repeat(np.arange(n), np.diff(at)) * width + place, minlength=n * width) & 1
-    return np.packbits(flags.astype(np.uint8)).view(np.int64).reshape(n, SEGMENTS)
+    return np.packbits(flags.astype(np.uint8)).view(np.int64).reshape(n, words)
+
+
+def vectors_of(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parities of each set, in SEGMENTS longs or twice, four times ... as many, so that it has a bit a shingle; and where each set's begin."""
+    sizes = np.diff(at)
+    words = SEGMENTS << np.ceil(np.log2(np.maximum(sizes / (64 * SEGMENTS), 1))).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(words)])
+    out = np.empty(ends[-1], np.int64)
+    for wide in np.unique(words).tolist():
+        some = np.flatnonzero(words == wide)
+        own = key[np.repeat(at[:-1][some], sizes[some]) + tk.counted(sizes[some])]
+        out[ends[:-1][some][:, None] + np.arange(wide)] = parities_of(own, np.concatenate([[0], np.cumsum(sizes[some])]), wide)
+    return out, ends
+
+
+class Vectors:
+    """Parities of sets, from a column of lists."""
+
+    def __init__(self, column: pa.Array | pa.ChunkedArray):
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        self.values, self.words = column.flatten().to_numpy().view(np.uint64), column.value_lengths().to_numpy().astype(np.int64)
+        self.first = np.cumsum(self.words) - self.words
+        self.made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def folded(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers of the sets, and rows of those that have ``words`` longs or more, as parities in so many."""
+        if words not in self.made:
+            row, rows, n = np.zeros(len(self.words), np.int64), [], 0
+            for wide in np.unique(self.words[self.words >= words]).tolist():
+                some = np.flatnonzero(self.words == wide)
+                parts = self.values[self.first[some][:, None] + np.arange(wide)].reshape(len(some), wide // words, words)
+                rows.append(np.bitwise_xor.reduce(parts, axis=1))
+                row[some] = n + np.arange(len(some))
+                n += len(some)
+            self.made[words] = row, np.concatenate(rows)
+        return self.made[words]
 
 
 class Order:
@@ -156,15 +196,30 @@ def prints_of(rows: DataFrame, shingle: int = SHINGLE, sample: int = SAMPLE) ->
                 nodes = [node_of(key[p:q]) for p, q in zip(at[:-1], at[1:], strict=True)]
                 prefix, ends, crowd = shared.value.prefixes(key, at)
                 some = np.concatenate([[0], np.cumsum(crowd)])[ends]
-                bits = parities_of(key, at)
-                out = [_lists(prefix[~crowd], ends - some), _lists(prefix[crowd], some), _lists(bits.ravel(), np.arange(len(bits) + 1) * SEGMENTS)]
+                out = [_lists(prefix[~crowd], ends - some), _lists(prefix[crowd], some), _lists(*vectors_of(key, at))]
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in same), pa.array(nodes, pa.int64()), pa.array(np.diff(at), pa.int32()), *out], schema.names)
 
     return rows.mapInArrow(work, schema)
 
 
+def _placed(place: Column) -> Column:
+    """n, and above it the key's place in the order of the set."""
+    return F.shiftleft(place.cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("n")
+
+
+def _parts(placed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """n, and how many shingles there are from the key on."""
+    n = placed & 0xFFFFFFFF
+    return n, n - (placed >> 32)
+
+
+def enough(n: np.ndarray, rest: np.ndarray, m: np.ndarray, rest_m: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m can be similar if they share none before the last ``rest`` of each."""
+    return 9 * np.minimum(rest, rest_m) >= 4 * (n + m)
+
+
 class _Runs:
-    """Pairs and crowds of rows that come sorted by key; a run of over ``hot`` rows goes on as it comes."""
+    """Pairs and crowds of rows that come sorted by key; a run of over ``hot`` rows goes on as it comes. n is as ``_placed`` gives it."""
 
     def __init__(self, hot: int):
         self.hot = hot
@@ -191,7 +246,7 @@ class _Runs:
             long = few[sizes[few] > back]
             where = np.repeat(starts[long] + back, sizes[long] - back) + tk.counted(sizes[long] - back)
             u, v = node[where], node[where - back]
-            good = 5 * np.minimum(n[where], n[where - back]) >= 4 * np.maximum(n[where], n[where - back])
+            good = enough(*_parts(n[where]), *_parts(n[where - back]))
             out.append(np.stack([np.zeros(int(good.sum()), np.int64), np.maximum(u, v)[good], np.minimum(u, v)[good]]))
         pairs = np.unique(np.concatenate(out, axis=1), axis=1)
         kind = np.concatenate([np.zeros(pairs.shape[1], np.int8), np.ones(crowds.shape[1], np.int8)])
@@ -199,9 +254,9 @@ class _Runs:
 
 
 def candidates(prints: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
-    """(u, v) of nodes that share a key of up to ``hot`` nodes, and (key, node) of the others, from node, n, prefix and crowd."""
+    """(u, v) of nodes that share a key of up to ``hot`` nodes, and (key, node, rest) of the others, from node, n, prefix and crowd; ``rest``: shingles from the key on."""
     once = prints.groupBy("node").agg(*(F.any_value(c).alias(c) for c in ("n", "prefix")))
-    keyed = once.select(F.explode("prefix").alias("key"), "node", "n").repartition("key").sortWithinPartitions("key", "node")
+    keyed = once.select(F.posexplode("prefix").alias("place", "key"), "node", "n").select("key", "node", _placed(F.col("place"))).repartition("key").sortWithinPartitions("key", "node")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = _Runs(hot)
@@ -210,15 +265,25 @@ def candidates(prints: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
         yield runs.take(*[np.zeros(0, np.int64)] * 3, last=True)
 
     found = tk.written(keyed.mapInArrow(work, "kind byte, key long, a long, b long"), "runs")
-    known = prints.where(F.size("crowd") > 0).select(F.explode("crowd").alias("key"), "node").distinct()
-    crowds = found.where("kind = 1").select("key", F.col("a").alias("node")).unionByName(known)
+    # in the order of a set, the keys of crowds follow the others of its prefix
+    known = prints.where(F.size("crowd") > 0).select(F.posexplode("crowd").alias("place", "key"), "node", "n", F.size("prefix").alias("before"))
+    known = known.select("key", "node", (F.col("n") - F.col("before") - F.col("place")).cast("long").alias("rest")).distinct()
+    rest = F.col("b").bitwiseAND(F.lit(0xFFFFFFFF)) - F.shiftright("b", 32)
+    crowds = found.where("kind = 1").select("key", F.col("a").alias("node"), rest.alias("rest")).unionByName(known)
     return found.where("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), crowds
 
 
-def passing(one: np.ndarray, two: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows of parities pass the pigeonring filter and then the whole Hamming check, and how surely: 0 well within the bound, else 1."""
-    most = (n + m) // 9
-    differ = np.bitwise_count(one ^ two)
+def passing(one: Vectors, two: Vectors, p: np.ndarray, q: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of sets p and q pass the pigeonring filter and then the whole Hamming check, and how surely: 0 well within the bound, else 1."""
+    most, words = (n + m) // 9, np.minimum(one.words[p], two.words[q])
+    differ = np.empty((len(p), SEGMENTS), np.int32)
+    for wide in np.unique(words).tolist():
+        some, (row, x), (row_2, y) = np.flatnonzero(words == wide), one.folded(wide), two.folded(wide)
+        step = max(1, AT_ONCE * SEGMENTS // wide)
+        for at in range(0, len(some), step):
+            k = some[at : at + step]
+            apart = np.bitwise_count(x[row[p[k]]] ^ y[row_2[q[k]]])
+            differ[k] = apart if wide == SEGMENTS else apart.reshape(len(k), SEGMENTS, -1).sum(axis=2, dtype=np.int32)
     keep = np.flatnonzero(has_chain(differ, most, CHAIN))
     total = differ[keep].sum(axis=1, dtype=np.int64)
     good = total <= most[keep]
@@ -234,21 +299,15 @@ def _pruned(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            one, two = (_bits(x.column(f"bits_{c}")) for c in "uv")
-            keep, _ = passing(one, two, *(x.column(f"n_{c}").to_numpy().astype(np.int64) for c in "uv"))
+            every = np.arange(x.num_rows)
+            keep, _ = passing(*(Vectors(x.column(f"bits_{c}")) for c in "uv"), every, every, *(x.column(f"n_{c}").to_numpy().astype(np.int64) for c in "uv"))
             yield pa.RecordBatch.from_arrays([x.column(c).take(pa.array(keep)) for c in "uv"], ["u", "v"])
 
     return pairs.join(a, "u").join(b, "v").mapInArrow(work, PAIRS)
 
 
-def _bits(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column.flatten().to_numpy().reshape(-1, SEGMENTS).view(np.uint64)
-
-
 def _crowded(rows: DataFrame, leads: bool, block: int) -> DataFrame:
-    """(u, v) of nodes of different roots that share a key and pass the filters, from key, node, n, bits and root.
+    """(u, v) of nodes of different roots that share a key and pass the filters, from key, node, rest, n, bits and root.
 
     ``leads``: for each node of a key only the first of its partners, the surer ones before others, in an order
     that all nodes share. A key's nodes are dealt to blocks, and each pair of blocks is a task's.
@@ -258,18 +317,18 @@ def _crowded(rows: DataFrame, leads: bool, block: int) -> DataFrame:
     dealt = dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
 
     def work(group: tuple, t: pa.Table) -> pa.Table:
-        node, n, root, mine = (t.column(c).to_numpy().astype(np.int64) for c in ("node", "n", "root", "mine"))
-        bits, i, j = _bits(t.column("bits")), group[1].as_py(), group[2].as_py()
+        node, n, rest, root, mine = (t.column(c).to_numpy().astype(np.int64) for c in ("node", "n", "rest", "root", "mine"))
+        bits, i, j = Vectors(t.column("bits")), group[1].as_py(), group[2].as_py()
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
         found = [np.zeros((3, 0), np.int64)]
         for at in range(0, len(left), max(1, AT_ONCE // max(len(right), 1))):
             rows_ = left[at : at + max(1, AT_ONCE // max(len(right), 1))]
-            apart = (root[rows_, None] != root[right]) & (5 * np.minimum(n[rows_, None], n[right]) >= 4 * np.maximum(n[rows_, None], n[right]))
+            apart = (root[rows_, None] != root[right]) & enough(n[rows_, None], rest[rows_, None], n[right], rest[right])
             if i == j:
                 apart &= node[rows_, None] > node[right]
             p, q = np.nonzero(apart)
             p, q = rows_[p], right[q]
-            keep, doubt = passing(bits[p], bits[q], n[p], n[q])
+            keep, doubt = passing(bits, bits, p, q, n[p], n[q])
             found.append(np.stack([p[keep], q[keep], doubt.astype(np.int64)]))
         p, q, doubt = np.concatenate(found, axis=1)
         if leads:
@@ -280,7 +339,7 @@ def _crowded(rows: DataFrame, leads: bool, block: int) -> DataFrame:
             p, q = a[first], b[first]
         return pa.table({"u": np.maximum(node[p], node[q]), "v": np.minimum(node[p], node[q])})
 
-    return dealt.select("key", "i", "j", "mine", "node", "n", "root", "bits").groupBy("key", "i", "j").applyInArrow(work, PAIRS)
+    return dealt.select("key", "i", "j", "mine", "node", "n", "rest", "root", "bits").groupBy("key", "i", "j").applyInArrow(work, PAIRS)
 
 
 def _settled(rows: DataFrame, distinct: DataFrame, pairs: DataFrame, shingle: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
