@@ -118,3 +118,16 @@ def test_ids_come_back(spark, tmp_path):
     tokens.write(df, str(tmp_path / "t"), vocabulary())
     got = {r.doc_id: r.ids for r in tokens.read(spark, str(tmp_path / "t")).collect()}
     assert got == {1: [*Tokenizer.from_file(vocabulary()).encode("hello world", add_special_tokens=False).ids, 2], 2: [2]}
+
+
+def test_pieces_go_the_way_without_offsets():
+    """Pieces are encoded without the offsets that nobody reads: the slower call is left for those that hold the sign between pieces."""
+
+    class Fast:
+        def __init__(self, library):
+            self.encode_batch_fast = library.encode_batch_fast
+
+    library, own = Tokenizer.from_file(vocabulary()), tokens.Tokenizer(vocabulary())
+    own.library = Fast(own.library)
+    text = "".join(c for c in ALPHABET * 3 if c != tokens.PART) + " one TWO three's <|endoftext|>x " * 2
+    assert own.ids([text.encode()])[0].tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]

@@ -52,7 +52,7 @@ class Tokenizer:
     def encoded(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece as bytes."""
         texts = [p.decode() for p in pieces]
-        ids = np.array(self.library.encode(f" {PART} ".join(texts), add_special_tokens=False).ids, np.int64)
+        ids = np.array(self.library.encode_batch_fast([f" {PART} ".join(texts)], add_special_tokens=False)[0].ids, np.int64)
         cuts = np.flatnonzero(ids == self.part[0]) if len(self.part) == 1 else ids[:0]
         if len(cuts) != len(texts) - 1:  # a piece holds the sign itself
             return [np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint16).tobytes() for t in texts]
