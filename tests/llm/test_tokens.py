@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidelog.llm import coder, tokens
+from tidelog.llm import coder, textkit, tokens
 from tidelog.llm.queries import vocabulary
 
 ALPHABET = "\x01aBé ßİ\x1c\x1f́ \u0085 'sll \n\t\r\x0b\x0c<|endoftext|>1२٣ΣςﬁǅΩ\x00‍汉字😀"
@@ -131,3 +131,14 @@ def test_pieces_go_the_way_without_offsets():
     own.library = Fast(own.library)
     text = "".join(c for c in ALPHABET * 3 if c != tokens.PART) + " one TWO three's <|endoftext|>x " * 2
     assert own.ids([text.encode()])[0].tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_memory_goes_back_between_batches(monkeypatch):
+    """Once before the first batch, and after each when the next is asked for, also the last."""
+    seen = []
+    monkeypatch.setattr(textkit, "release", lambda: seen.append("release"))
+    for b in textkit.lean(iter("ab")):
+        seen.append(b)
+    assert seen == ["release", "a", "release", "b", "release"]
+    monkeypatch.undo()
+    textkit.release()

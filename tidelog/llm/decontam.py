@@ -133,7 +133,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame, columns: tuple[str, ...] = ("
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared, names=names) -> Iterator[pa.RecordBatch]:
             patterns = shared.value
-            for b in batches:
+            for b in tk.lean(batches):
                 n, hits, spans, items = [], [], [], []
                 for text, old, before in zip(b.column("__text"), b.column("hits"), b.column("items"), strict=True):
                     text = text.as_py()

@@ -164,7 +164,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     """node and ``own``, its shingles, for each row."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tk.lean(batches):
             for _, _, x in tk.batches(b.column("__text")):
                 key, at = shingles_of(x, shingle)
                 nodes = [node_of(key[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
@@ -190,7 +190,7 @@ def prints_of(rows: DataFrame, shingle: int = SHINGLE, sample: int = SAMPLE) ->
         schema = schema.add(c, T.ArrayType(T.LongType()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tk.lean(batches):
             for i, j, x in tk.batches(b.column("__text")):
                 key, at = shingles_of(x, shingle)
                 nodes = [node_of(key[p:q]) for p, q in zip(at[:-1], at[1:], strict=True)]
@@ -260,7 +260,7 @@ def candidates(prints: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = _Runs(hot)
-        for b in batches:
+        for b in tk.lean(batches):
             yield runs.take(*(b.column(c).to_numpy().astype(np.int64) for c in ("key", "node", "n")))
         yield runs.take(*[np.zeros(0, np.int64)] * 3, last=True)
 
@@ -298,7 +298,7 @@ def _pruned(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
     a, b = (distinct.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}")) for end in ("u", "v"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in tk.lean(batches):
             every = np.arange(x.num_rows)
             keep, _ = passing(*(Vectors(x.column(f"bits_{c}")) for c in "uv"), every, every, *(x.column(f"n_{c}").to_numpy().astype(np.int64) for c in "uv"))
             yield pa.RecordBatch.from_arrays([x.column(c).take(pa.array(keep)) for c in "uv"], ["u", "v"])

@@ -180,7 +180,7 @@ def with_statistics(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), tre
     schema = schema.add("quality", "double") if trees else schema.add("features", T.ArrayType(T.DoubleType()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tk.lean(batches):
             parts = [statistics(x) for _, _, x in tk.batches(b.column("__text"))]
             got = {k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in (*COUNTS, *FEATURES)}
             rows = np.column_stack([got[k] for k in FEATURES]).astype(np.float64)

@@ -6,6 +6,7 @@ batch at once; the byte classes used are ASCII, so they are safe on UTF-8.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -186,6 +187,23 @@ def batches(column: pa.Array | pa.ChunkedArray, limit: int = BATCH_BYTES) -> Ite
         yield i, j, Batch(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
+def release() -> None:
+    """Gives back to the system what is free: workers outlive their tasks, and wait with all that they hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task; what was held for one is given back before the next and at the end."""
+    release()
+    for b in batches:
+        yield b
+        del b
+        release()
+
+
 def renamed(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """The table under names that can't clash (but for ``text``), and what gives its columns back from
     a table that has the text as ``__text``."""

@@ -113,7 +113,6 @@ def write(docs: DataFrame, path: str, vocabulary: str, shards: int | None = None
     ranged = rows.repartitionByRange(shards, "doc_id", "hash", "number").sortWithinPartitions("doc_id", "hash", "text").drop("hash", "number")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.default_memory_pool().release_unused()  # what earlier tasks of this worker held
         shard, number, start = TaskContext.get().partitionId(), 0, 0
         docs: list[np.ndarray] = []
         ids: list[tuple[int, bool]] = []
@@ -128,7 +127,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, shards: int | None = None
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
 
-        for b in batches:
+        for b in tk.lean(batches):
             texts = tk.text_array(b.column("text"))
             data, at = tk.raw(texts)
             sizes = np.diff(at)
@@ -162,8 +161,7 @@ def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.default_memory_pool().release_unused()
-        for b in batches:
+        for b in tk.lean(batches):
             for r in b.to_pylist():
                 tokens = coder.decompress(r["prior"], r["frames"])
                 lengths = np.frombuffer(r["lengths"], np.int64)
