@@ -142,3 +142,56 @@ def test_memory_goes_back_between_batches(monkeypatch):
     assert seen == ["release", "a", "release", "b", "release"]
     monkeypatch.undo()
     textkit.release()
+
+
+PLAIN = "aBzZàÀéßÿ×÷Þ 'slltT<|>endoftext# 12.,-$_~\x7f\x01\xa0¿́İΣ中\n"
+
+
+@given(st.lists(st.text(st.sampled_from(PLAIN), max_size=40), min_size=1, max_size=8))
+@settings(max_examples=200, deadline=None)
+def test_words_and_whole_pieces_give_the_library_s_ids(texts):
+    own = tokens.tokenizer(vocabulary())
+    assert own.plain
+    got = own.ids([t.encode() for t in texts])
+    assert [g.tolist() for g in got] == [[*own.library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_plain_pieces_skip_the_rules():
+    """The rules, which cost most, run only on pieces that need them, each once."""
+
+    class Asked:
+        def __init__(self, library):
+            self.library, self.texts, self.encode = library, [], library.encode
+
+        def encode_batch_fast(self, texts, **options):
+            self.texts += texts
+            return self.library.encode_batch_fast(texts, **options)
+
+    own = tokens.Tokenizer(vocabulary())
+    own.library = Asked(own.library)
+    text = "One two, THREE (four4) élan Über 汉字 it's"
+    for _ in range(2):
+        assert own.ids([text.encode()])[0].tolist() == [*own.library.encode(text, add_special_tokens=False).ids, 2]
+    assert sorted(own.library.texts[0].split(f" {tokens.PART} ")) == ["it's", "汉字"] and len(own.library.texts) == 1
+
+
+def test_remembered_words_take_few_bytes():
+    own = tokens.Tokenizer(vocabulary())
+    words = ["".join(random.Random(i).choices("abcdefghij", k=8)) for i in range(20_000)]
+    own.ids([" ".join(words).encode()])
+    held = own.known.nbytes + own.stored.nbytes + own.sizes.nbytes
+    assert len(own.known) == len(set(words)) and held < 40 * len(own.known)
+
+
+def test_other_rules_than_the_known_go_through_the_library(tmp_path):
+    import json
+
+    with open(vocabulary()) as f:
+        rules = json.load(f)
+    rules["normalizer"] = None
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(rules))
+    own = tokens.Tokenizer(str(path))
+    assert not own.plain
+    text = "One two, THREE one"
+    assert own.ids([text.encode()])[0].tolist() == [*Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids, 2]

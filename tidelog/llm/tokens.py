@@ -1,7 +1,7 @@
 """Token-id output: documents as files of compressed token ids, and reading them back.
 
 Documents are dealt to shards by ranges of their id, so shards and documents within a shard are in
-ascending order; the number of shards grows with the table's bytes. A shard is a run of segments; a
+ascending order; the number of shards grows with the table's bytes, and is that of the cores at least. A shard is a run of segments; a
 segment holds whole documents, about SEGMENT ids of them, as an index of lengths, the table of its ids'
 frequencies and the frames of the context-mixing coder (see coder.py). Segments are rows of a table in
 the shared folder, so a lost executor costs its tasks only.
@@ -12,12 +12,13 @@ space, so a text's ids are those of its white-space-separated pieces in turn, wh
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,63 +28,160 @@ from tidelog.llm import textkit as tk
 
 END = 2
 SEGMENT = coder.BLOCK * coder.LANES
-#: Characters of the pieces that a worker remembers: those it meets first. Others are kept for their batch.
-MEMORY = 5 << 20
+#: Bytes of the words that a worker remembers: those it meets first, in arrays, some 30 bytes each. Others are kept for their batch.
+MEMORY = 8 << 20
+#: Bytes of texts that are tokenized together.
+TEXTS = 4 << 20
 #: Stands between pieces that are encoded in one call; a control character that is one token of its own.
 PART, TOGETHER = "\x01", 512
 
+#: The rules under which plain pieces can be cut here: lower case, then runs of letters, single digits, runs of signs.
+RULES = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+]
+_DIGIT, _SIGN = 1, 2
+#: Kinds of bytes; 0 are letters, of which those beyond ASCII that are plain are U+00C0 to U+00FF, in UTF-8 0xC3 and one more.
+_KIND = np.full(256, _SIGN, np.uint8)
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 0
+#: Bytes that no plain piece has: apostrophes, controls, the starts of other letters.
+_ODD = np.ones(256, bool)
+_ODD[0x21:0x7F] = _ODD[0x80:0xC0] = _ODD[0xC3] = False
+_ODD[0x27] = True
+#: The letter that stands for each byte in the vocabulary; white space stays.
+_LETTERS = np.arange(256, dtype="<u4")
+_hidden = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+_LETTERS[_hidden] = 256 + np.arange(len(_hidden))
+_LETTERS[0x20] = 0x20
+
 #: Bytes of a shard as the table's files or plan hold them, at most about.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 
 SCHEMA = "shard int, segment int, shard_start long, n_ids long, doc_ids binary, known binary, lengths binary, prior binary, frames binary"
 
 
 class Tokenizer:
-    """Ids of texts from a tokenizers file that splits at white space before anything else."""
+    """Ids of texts from a tokenizers file that splits at white space before anything else.
+
+    Of the distinct pieces between white space, those of plain characters are cut into the words, in lower case, that
+    the file's rules make of them, and only the library's model is asked for a word's ids. Other pieces, and all where
+    the file has other rules, go through the library whole. Ids of words and whole pieces are remembered.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer as Library
+        from tokenizers import pre_tokenizers
 
         self.library = Library.from_file(path)
         self.part = self.library.encode(PART, add_special_tokens=False).ids
-        self.known: dict[bytes, bytes] = {}
+        rules = json.loads(self.library.to_str())
+        self.plain = [rules["normalizer"], rules["pre_tokenizer"]] == RULES and len(self.part) == 1 and all(t["content"].startswith("<|") for t in rules["added_tokens"])
+        del rules
+        self.words = Library(self.library.model)  # the same model, without the rules
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.known = pa.array([], pa.large_binary())
+        self.stored, self.sizes = np.zeros(0, np.uint16), np.zeros(0, np.int32)
         self.held = 0
 
-    def encoded(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of each piece as bytes."""
+    def cut(self, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and their numbers for n parts, from ids with the sign between the parts; none if a part holds the sign."""
+        signs = np.flatnonzero(ids == self.part[0]) if len(self.part) == 1 else ids[:0]
+        if len(signs) != n - 1:
+            return None
+        sizes = np.diff(np.concatenate([[-1], signs, [len(ids)]])) - 1
+        return np.delete(ids, signs).astype(np.uint16), sizes
+
+    def encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces in turn, and how many each has."""
         texts = [p.decode() for p in pieces]
         ids = np.array(self.library.encode_batch_fast([f" {PART} ".join(texts)], add_special_tokens=False)[0].ids, np.int64)
-        cuts = np.flatnonzero(ids == self.part[0]) if len(self.part) == 1 else ids[:0]
-        if len(cuts) != len(texts) - 1:  # a piece holds the sign itself
-            return [np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint16).tobytes() for t in texts]
-        whole = ids.astype(np.uint16).tobytes()
-        return [whole[a:b] for a, b in zip([0, *(2 * cuts + 2).tolist()], [*(2 * cuts).tolist(), len(whole)], strict=True)]
-
-    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        found = self.cut(ids, len(texts))
+        if found is None:
+            each = [self.library.encode(t, add_special_tokens=False).ids for t in texts]
+            found = np.array([i for x in each for i in x], np.uint16), np.array([len(x) for x in each])
+        return found
+
+    def modelled(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of plain words."""
+        text = _LETTERS[np.frombuffer(f" {PART} ".encode().join(words), np.uint8)].tobytes().decode("utf-32-le")
+        return self.cut(np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64), len(words))
+
+    def parts(self, pieces: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Words of plain pieces and other pieces whole; how many parts each piece has; whether a part is a whole piece."""
+        data, at = tk.raw(pieces)
+        lead, after = data == 0xC3, (data & 0xC0) == 0x80
+        behind, ahead = np.zeros(len(data), bool), np.zeros(len(data), bool)
+        behind[1:], ahead[:-1] = lead[:-1], after[1:]
+        odd = _ODD[data] | (after != behind) | (lead & ~ahead) | (after & ((data == 0x97) | (data == 0xB7)))
+        odd[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
+        sizes = np.diff(at)
+        if self.plain:
+            marks = np.concatenate([[0], np.cumsum(odd)])
+            whole = marks[at[1:]] > marks[at[:-1]]
+        else:
+            whole = np.ones(len(sizes), bool)
+        inside = np.repeat(whole, sizes)
+        kind = _KIND[data]
+        first = kind == _DIGIT
+        first[1:] |= kind[1:] != kind[:-1]
+        first &= ~inside
+        first[at[:-1][sizes > 0]] = True
+        lower = tk.LOWER[data] + ((after & (data < 0x9F)).view(np.uint8) << 5)
+        starts = np.append(np.flatnonzero(first), len(data))
+        found = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(np.where(inside, data, lower))])
+        return found, np.diff(np.searchsorted(starts[:-1], at)), inside[starts[:-1]]
+
+    def ids(self, texts: pa.Array | list[bytes]) -> list[np.ndarray]:
         """Ids of UTF-8 texts, each with the end id."""
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.large_binary()).cast(pa.large_string())
         # ASCII white space only: all of it is white space to the tokenizer as well
-        pieces = [t.split() for t in texts]
-        get, end = self.known.__getitem__, np.uint16(END).tobytes()
-        whole: list[bytes] = []
-        open_: list[int] = []  # texts with a piece that isn't known
-        for i, p in enumerate(pieces):
-            try:
-                whole.append(b"".join(map(get, p)))
-            except KeyError:
-                whole.append(b"")
-                open_.append(i)
-        fresh = list(set(chain.from_iterable(pieces[i] for i in open_)).difference(self.known))
-        for i in range(0, len(fresh), TOGETHER):
-            some = fresh[i : i + TOGETHER]
-            self.known.update(zip(some, self.encoded(some), strict=True))
-        for i in open_:
-            whole[i] = b"".join(map(get, pieces[i]))
-        if self.held < MEMORY:
-            self.held += sum(map(len, fresh))
-        else:
-            for p in fresh:
-                del self.known[p]
-        return [np.frombuffer(w + end, np.uint16) for w in whole]
+        split = pc.ascii_split_whitespace(texts)
+        pieces, ends = split.flatten().dictionary_encode(), np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        del split
+        parts, counts, whole = self.parts(pieces.dictionary)
+        parts = parts.dictionary_encode()
+        where, distinct = parts.indices.to_numpy(), parts.dictionary
+        as_piece = np.zeros(len(distinct), bool)
+        as_piece[where[whole]] = True
+        place = pc.index_in(distinct, value_set=self.known)
+        fresh = np.flatnonzero(place.is_null().to_numpy(zero_copy_only=False))
+        fresh = fresh[np.argsort(as_piece[fresh], kind="stable")]
+        n_words = len(fresh) - int(as_piece[fresh].sum())
+        place = place.fill_null(0).to_numpy().copy()
+        place[fresh] = len(self.known) + np.arange(len(fresh))
+        new = distinct.take(pa.array(fresh))
+        found = [(self.stored, self.sizes)]
+        for encode, i, j in ((self.modelled, 0, n_words), (self.encoded, n_words, len(fresh))):
+            found += [encode(new.slice(k, min(TOGETHER, j - k)).to_pylist()) for k in range(i, j, TOGETHER)]
+        stored, sizes = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]).astype(np.int32)
+        # distinct pieces, then the end as one more, then the texts
+        of_piece, n_of_piece = _joined(stored, sizes, place[where], counts)
+        of_piece, n_of_piece = np.append(of_piece, np.uint16(END)), np.append(n_of_piece, np.int32(1))
+        order = np.insert(pieces.indices.to_numpy(), ends, len(n_of_piece) - 1)
+        every, lengths = _joined(of_piece, n_of_piece, order, np.diff(ends + np.arange(1, len(ends) + 1), prepend=0))
+        if self.held < MEMORY and len(fresh):
+            self.held += int(pc.sum(pc.binary_length(new)).as_py())
+            self.known, self.stored, self.sizes = pa.concat_arrays([self.known, new]), stored, sizes
+        return np.split(every, np.cumsum(lengths)[:-1]) if len(lengths) else []
+
+
+def _joined(items: np.ndarray, sizes: np.ndarray, order: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of ``counts`` runs each: the items of run after run in ``order``, and how many each group has."""
+    starts = np.cumsum(sizes, dtype=np.int32) - sizes
+    taken = sizes[order]
+    ends = np.cumsum(taken, dtype=np.int32)
+    places = np.repeat(starts[order] - ends + taken, taken)
+    places += np.arange(len(places), dtype=np.int32)
+    total = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+    return items[places], np.diff(total).astype(np.int32)
 
 
 _tokenizers: dict[str, Tokenizer] = {}
@@ -104,10 +202,11 @@ def write(docs: DataFrame, path: str, vocabulary: str, shards: int | None = None
     Null and empty texts are the end id alone. A null doc_id comes first. Rows that share a doc_id are in
     order of the hash of their text, then of the text, so that they can lie in several shards; rows alike
     in both are one after the other. Other columns are left out. An empty table gives a table of no rows.
-    A text is tokenized whole; its ids are held twice, and the text's pieces once, in its task.
+    A text is tokenized whole; its ids are held twice, and its pieces as arrays once, in its task.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    shards = shards or max(tk.parallelism(docs.sparkSession), -(-tk.size_of(docs) // SHARD_BYTES))
+    # no more than that: the coder's cost falls with the number of blocks that it works on at once
+    shards = shards or max(docs.sparkSession.sparkContext.defaultParallelism, -(-tk.size_of(docs) // SHARD_BYTES))
     # rows alike in id and text may be of any number: their own number deals them out and changes nothing else
     rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("number", F.monotonically_increasing_id())
     ranged = rows.repartitionByRange(shards, "doc_id", "hash", "number").sortWithinPartitions("doc_id", "hash", "text").drop("hash", "number")
@@ -120,7 +219,9 @@ def write(docs: DataFrame, path: str, vocabulary: str, shards: int | None = None
 
         def flush() -> pa.RecordBatch:
             lengths = np.array([len(d) for d in docs], np.int64)
-            prior, frames = coder.compress(np.concatenate(docs))
+            whole = np.concatenate(docs)
+            docs.clear()
+            prior, frames = coder.compress(whole)
             numbers = np.array([i for i, _ in ids], np.int64)
             known = np.array([k for _, k in ids], np.uint8)
             cells = [[shard], [number], [start], [held], [numbers.tobytes()], [known.tobytes()], [lengths.tobytes()], [prior], [b"".join(frames)]]
@@ -129,19 +230,19 @@ def write(docs: DataFrame, path: str, vocabulary: str, shards: int | None = None
 
         for b in tk.lean(batches):
             texts = tk.text_array(b.column("text"))
-            data, at = tk.raw(texts)
-            sizes = np.diff(at)
+            sizes = np.diff(tk.raw(texts)[1])
             keys, valid = b.column("doc_id").fill_null(0).to_pylist(), b.column("doc_id").is_valid().to_pylist()
-            for i, j in tk.pieces(sizes):
-                for k, doc in enumerate(tokenizer(vocabulary).ids([data[at[x] : at[x + 1]].tobytes() for x in range(i, j)]), i):
+            for i, j in tk.pieces(sizes, TEXTS):
+                for k, doc in enumerate(tokenizer(vocabulary).ids(texts.slice(i, j - i)), i):
                     if docs and held + len(doc) > segment:
                         yield flush()
                         number, start, held = number + 1, start + held, 0
-                        docs.clear()
                         ids.clear()
                     docs.append(doc)
                     ids.append((keys[k], valid[k]))
                     held += len(doc)
+                    del doc
+            del texts, sizes, keys, valid, b
         if docs:
             yield flush()
 
