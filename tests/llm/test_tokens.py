@@ -195,3 +195,15 @@ def test_other_rules_than_the_known_go_through_the_library(tmp_path):
     assert not own.plain
     text = "One two, THREE one"
     assert own.ids([text.encode()])[0].tolist() == [*Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_shards_follow_cores_and_bytes(spark, tmp_path):
+    """Not the shuffle partitions: short shards leave the coder few blocks to work on at once."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        df = spark.createDataFrame([(i, f"text {i}") for i in range(1000)], "doc_id long, text string")
+        tokens.write(df, str(tmp_path / "t"), vocabulary())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert spark.read.parquet(str(tmp_path / "t")).select("shard").distinct().count() <= spark.sparkContext.defaultParallelism

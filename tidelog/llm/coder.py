@@ -33,7 +33,9 @@ HEADER, TABLE_HEADER = struct.Struct("<4sIII"), struct.Struct("<4sIII")
 LANES = 4096
 
 _T1, _T2 = 11, 12  # bits of the context tables' sizes
-_I = np.int64
+_I, _U = np.int64, np.uint32
+#: Steps whose order 0 is looked up together.
+_AHEAD = 64
 _HIGH = 32  # the span is at least 1 << _HIGH between ids, and at most 1 << (_HIGH + 16)
 #: Confidence of a prediction: 0 for a context not seen, 1 for a new one, up to 3; by 2 * confidence + right.
 _NEXT = np.array([0, 0, 0, 2, 1, 3, 2, 3], np.int32)
@@ -106,42 +108,78 @@ class _Model:
         self.chance = np.tile(first[:, None, :], (1, lanes, 1)).ravel()
         self.cell = np.stack([lane << 5, (lanes + lane) << 5])
         self.at, self.check = self.base.copy(), np.zeros((2, lanes), np.int32)
-        self.old = np.zeros(lanes, _I)
-
-    def predict(self, n: int) -> None:
-        """For the first n lanes: predictions p (-1: none), and cumulated shares a (order 2) and b (order 2 and 1)."""
-        cells = self.table.take(self.at[:, :n])
-        off = cells ^ self.check[:, :n]
-        known = (off & 0xFFC) == 0
-        self.c = np.where(known, off & 3, 0)
-        self.p = np.where(known, cells >> 12, -1)
-        self.cells = cells
-        context = (self.c[0] << 2) + self.c[1]
-        same = self.p[0] == self.p[1]
-        context += same.view(np.int8) << 4
-        self.ctx = self.cell[:, :n] + context
-        self.x = self.chance.take(self.ctx)
-        x1, x2 = self.x
-        self.b = x2 + (((65536 - x2) * (x1 >> 1)) >> 15)
-        self.a = np.where(same, self.b, x2)
-
-    def learn(self, n: int, ids: np.ndarray, hit2: np.ndarray, hits: np.ndarray) -> None:
-        """hits: rows of whether order 1, and order 2, was right. Chances stay within 64 and 60000."""
-        moved = self.x + ((np.where(hits, 60031, 64) - self.x) >> 5)
-        np.copyto(moved[0], self.x[0], where=hit2)  # order 1 wasn't asked
+        self.old = np.zeros(lanes, np.uint32)
+
+    def narrow(self, n: int) -> None:
+        """From here on only the first n lanes are at work."""
+        self.base, self.cell, self.at, self.check, self.old = (np.ascontiguousarray(x[..., :n]) for x in (self.base, self.cell, self.at, self.check, self.old))
+
+    def predict(self) -> None:
+        """Predictions p (-1: none), and cumulated shares a (order 2) and b (order 2 and 1)."""
+        # masked operations cost several plain ones, so masks are numbers here
+        self.cells = cells = self.table.take(self.at, mode="clip")
+        self.c = c = cells ^ self.check
+        c &= 0xFFF
+        mask = c - 4
+        mask >>= 31  # all bits where the context is the cell's, else none
+        c &= mask
+        np.invert(mask, out=mask)
+        self.p = p = cells >> 12
+        p |= mask
+        same = (p[0] == p[1]).astype(np.int32)
+        context = same << 2
+        context += c[0]
+        context <<= 2
+        context += c[1]
+        self.ctx = self.cell + context
+        self.x = x = self.chance.take(self.ctx, mode="clip")
+        x2 = x[1]
+        a = 65536 - x2
+        a *= x[0] >> 1
+        a >>= 15
+        self.b = a + x2
+        a *= same
+        a += x2
+        self.a = a
+
+    def learn(self, ids: np.ndarray, right: np.ndarray, hits: np.ndarray) -> None:
+        """ids: as int32. right: rows of whether the predictions are the ids; hits: the same, but of order 1 only where order 2
+        was wrong. Chances stay within 64 and 60000."""
+        moved = np.multiply(hits, 59967, dtype=np.int32)
+        moved += 64
+        moved -= self.x
+        moved >>= 5
+        moved[0] *= ~hits[1]  # order 1 wasn't asked
+        moved += self.x
         self.chance[self.ctx] = moved
-        short = ids.astype(np.int32)
-        right = self.p == short
-        later = _NEXT.take((self.c << 1) + right)
-        fresh = (short << 12) + 1 + self.check[:, :n]
-        self.table[self.at[:, :n]] = np.where(later > 0, (self.cells & -4) + later, fresh)
-        one = (ids * 0x9E3779B1) & 0xFFFFFFFF
-        two = ((one ^ self.old[:n]) * 0x85EBCA6B) & 0xFFFFFFFF
-        np.add(self.base[0, :n], one >> (32 - _T1), out=self.at[0, :n])
-        np.add(self.base[1, :n], two >> (32 - _T2), out=self.at[1, :n])
-        self.check[0, :n] = (one >> 9) & 0xFFC
-        self.check[1, :n] = (two >> 8) & 0xFFC
-        self.old[:n] = (one >> 3) + 1
+        later = self.c
+        later <<= 1
+        later += right
+        later = _NEXT.take(later, mode="clip")
+        fresh = ids << 12
+        fresh += 1
+        cells = self.cells
+        cells &= -4
+        cells += later
+        later -= 1
+        later >>= 31  # all bits where the cell is the new context's from now on
+        anew = self.check + fresh
+        anew ^= cells
+        anew &= later
+        cells ^= anew
+        self.table[self.at] = cells
+        one = ids.view(np.uint32) * _U(0x9E3779B1)
+        two = one ^ self.old
+        two *= _U(0x85EBCA6B)
+        np.add(self.base[0], one >> _U(32 - _T1), out=self.at[0])
+        np.add(self.base[1], two >> _U(32 - _T2), out=self.at[1])
+        check = self.check.view(np.uint32)
+        np.right_shift(one, _U(9), out=check[0])
+        np.right_shift(two, _U(8), out=check[1])
+        check &= _U(0xFFC)
+        one >>= _U(3)
+        one += _U(1)
+        self.old = one
 
 
 def _counts(sizes: np.ndarray) -> list[int]:
@@ -165,36 +203,65 @@ def _encode(blocks: list[np.ndarray], prior: Prior) -> list[np.ndarray]:
     low, span = np.zeros(lanes, _I), np.full(lanes, 1 << _HIGH + 16, _I)
     model = _Model(lanes)
 
+    def carried(at: np.ndarray) -> None:
+        """A carry runs back through words that are full."""
+        back = at - 1
+        while len(back):
+            out[back] += 1
+            back = back[out[back] == 0] - 1
+
     def put(which: np.ndarray) -> None:
-        """Write out the top words of these lanes; a carry runs back through words that are full."""
+        """Write out the top words of these lanes."""
         value, at = low.take(which), to.take(which)
         over = value >> _HIGH + 16
         if over.any():
-            back = at[over > 0] - 1
-            while len(back):
-                out[back] += 1
-                back = back[out[back] == 0] - 1
+            carried(at[over > 0])
         out[at] = (value >> _HIGH) & 0xFFFF
         to[which] = at + 1
         low[which] = (value & (1 << _HIGH) - 1) << 16
 
+    most = lanes
     for t, n in enumerate(_counts(sizes)):
-        ids = steps[t, :n].astype(_I)
-        model.predict(n)
-        hits = model.p == ids
-        hit2 = hits[1]
-        hits[0] &= ~hit2
-        some = hits[0] | hit2
-        start = np.where(hit2, 0, np.where(some, model.a, model.b)).astype(_I)
-        end = np.where(hit2, model.a, np.where(some, model.b, 65536))
+        if not t % _AHEAD:
+            ahead = steps[t : t + _AHEAD]
+            firsts, widths = prior.start.take(ahead), prior.size.take(ahead)
+        if n < most:
+            model.narrow(n)
+            most = n
+        ids = steps[t, :n].astype(np.int32)
+        model.predict()
+        right = model.p == ids
+        hits = right.copy()
+        hits[0] &= ~right[1]
+        some = hits[0] | right[1]
+        start, end = np.where(some, model.a, model.b), np.where(some, model.b, 65536)
+        np.copyto(end, model.a, where=right[1])
+        start *= ~right[1]
+        end -= start
         r = span[:n] >> 16
-        add, size = r * start, r * (end - start)
+        add = r * start
+        r *= end
         # order 0 for the others
-        r = size >> prior.bits
-        add += np.where(some, 0, r * prior.start.take(ids))
-        span[:n] = size = np.where(some, size, r * prior.size.take(ids))
-        low[:n] += add
-        model.learn(n, ids, hit2, hits)
+        rest = r >> prior.bits
+        more = rest * firsts[t % _AHEAD, :n]
+        more *= ~some
+        add += more
+        rest *= widths[t % _AHEAD, :n]
+        size = np.where(some, r, rest)
+        value = low[:n]
+        value += add
+        model.learn(ids, right, hits)
+        # a word from each lane that has one, on all lanes: what the others write here is written over
+        due = size < 1 << _HIGH
+        top = value >> _HIGH
+        at = to[:n]
+        if (carry := (top > 0xFFFF) & due).any():
+            carried(at[carry])
+        out[at] = top
+        at += due
+        value[:] = np.where(due, (value & (1 << _HIGH) - 1) << 16, value)
+        size <<= due.astype(_I) << 4
+        span[:n] = size
         short = np.flatnonzero(size < 1 << _HIGH)
         while len(short):
             put(short)
@@ -227,15 +294,26 @@ def _decode(words: list[np.ndarray], lengths: list[int], prior: Prior) -> list[n
     model, inverse = _Model(lanes), prior.inverse()
     last = len(inverse) - 1
     out = np.zeros((int(sizes[0]), lanes), np.uint16)
+    most = lanes
     for t, n in enumerate(_counts(sizes)):
-        model.predict(n)
-        r, v = span[:n] >> 16, value[:n]
+        if n < most:
+            model.narrow(n)
+            most = n
+        model.predict()
+        r = span[:n] >> 16
         cut2, cut1 = r * model.a, r * model.b
-        hit2, some = v < cut2, v < cut1
-        start = np.where(hit2, 0, np.where(some, cut2, cut1))
-        size = np.where(hit2, cut2, np.where(some, cut1, r << 16)) - start
-        left = v - start
-        ids = np.where(hit2, model.p[1], model.p[0]).astype(_I)
+        r <<= 16
+        left = value[:n]
+        hits = np.empty((2, n), bool)
+        some = left < cut1
+        np.less(left, cut2, out=hits[1])
+        np.greater(some, hits[1], out=hits[0])
+        ids = np.where(hits[1], model.p[1], model.p[0])
+        start, size = np.where(some, cut2, cut1), np.where(some, cut1, r)
+        np.copyto(size, cut2, where=hits[1])
+        start *= ~hits[1]
+        size -= start
+        left -= start
         rest = np.flatnonzero(~some)
         if len(rest):
             r = size.take(rest) >> prior.bits
@@ -248,9 +326,18 @@ def _decode(words: list[np.ndarray], lengths: list[int], prior: Prior) -> list[n
             size[rest] = r * prior.size.take(found)
             ids[rest] = found
         ids &= 0xFFFF
-        value[:n], span[:n] = left, size
         out[t, :n] = ids
-        model.learn(n, ids, hit2, np.stack([some & ~hit2, hit2]))
+        model.learn(ids, model.p == ids, hits)
+        due = size < 1 << _HIGH
+        here = at[:n]
+        more = left & (1 << _HIGH) - 1
+        more <<= 16
+        more |= source.take(here, mode="clip")
+        value[:n] = np.where(due, more, left)
+        here += due
+        np.minimum(here, stop[:n], out=here)
+        size <<= due.astype(_I) << 4
+        span[:n] = size
         short = np.flatnonzero(size < 1 << _HIGH)
         while len(short):
             here = np.minimum(at.take(short), stop.take(short))
