@@ -29,8 +29,10 @@ import numpy as np
 BLOCK = 4096
 MAGIC, TABLE_MAGIC = b"TCM2", b"TCT2"
 HEADER, TABLE_HEADER = struct.Struct("<4sIII"), struct.Struct("<4sIII")
-#: Lanes at a time.
-LANES = 4096
+#: Lanes at a time, at most: each holds some 50 KB, most of it its tables.
+LANES = 1536
+#: Ids that are counted at a time.
+_COUNTED = 1 << 20
 
 _T1, _T2 = 11, 12  # bits of the context tables' sizes
 _I, _U = np.int64, np.uint32
@@ -65,7 +67,9 @@ class Prior:
     @staticmethod
     def of(ids: np.ndarray) -> Prior:
         """From the ids themselves; each that occurs has a frequency of 1 at least."""
-        counts = np.bincount(ids, minlength=1)
+        counts = np.zeros(1 << 16, _I)
+        for i in range(0, len(ids), _COUNTED):  # counting makes 64 bits of each id
+            counts += np.bincount(ids[i : i + _COUNTED], minlength=1 << 16)
         some = np.flatnonzero(counts)
         bits = min(20, max(12, int(len(some)).bit_length() + 6))
         left = (1 << bits) - len(some)
@@ -353,6 +357,12 @@ def _decode(words: list[np.ndarray], lengths: list[int], prior: Prior) -> list[n
     return done
 
 
+def _groups(n: int) -> list[tuple[int, int]]:
+    """Ranges of n blocks that are worked on together: as few as LANES allows, of like length."""
+    k = -(-n // LANES)
+    return [(n * i // k, n * (i + 1) // k) for i in range(k)]
+
+
 def checksum(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -362,10 +372,10 @@ def compress(ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, list[bytes]]:
     if len(ids) and (int(ids.min()) < 0 or int(ids.max()) > 0xFFFF):
         raise ValueError("ids must be from 0 to 65535")
     prior = Prior.of(ids)
-    parts = [ids[i : i + block].astype(np.uint16) for i in range(0, len(ids), block)]
+    parts = [ids[i : i + block].astype(np.uint16, copy=False) for i in range(0, len(ids), block)]
     frames = []
-    for i in range(0, len(parts), LANES):
-        group = parts[i : i + LANES]
+    for i, j in _groups(len(parts)):
+        group = parts[i:j]
         for part, words in zip(group, _encode(group, prior), strict=True):
             frames.append(HEADER.pack(MAGIC, len(part), len(words), checksum(part)) + words.astype("<u2").tobytes())
     return prior.packed(), frames
@@ -387,8 +397,8 @@ def decompress(table: bytes, data: bytes) -> np.ndarray:
         words.append(np.frombuffer(data, "<u2", n_words, at))
         at += 2 * n_words
     out = []
-    for i in range(0, len(sizes), LANES):
-        for k, ids in enumerate(_decode(words[i : i + LANES], sizes[i : i + LANES], prior), i):
+    for i, j in _groups(len(sizes)):
+        for k, ids in enumerate(_decode(words[i:j], sizes[i:j], prior), i):
             if checksum(ids) != sums[k]:
                 raise CorruptBlock(f"block {k} doesn't match its checksum")
             out.append(ids)

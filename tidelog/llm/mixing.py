@@ -24,6 +24,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,7 +137,8 @@ def planned(counted: DataFrame, most_sources: int = MOST_SOURCES, **options: obj
         return tk.written(plan_table(totals, **options), "plan").withColumnRenamed("source", "__source")
     p = plan({r.source: r.t for r in rows}, {r.source: r.n for r in rows}, **options)
     names = sorted(p.weight, key=lambda s: (s is not None, s or ""))
-    return F.broadcast(counted.sparkSession.createDataFrame([(s, p.weight[s], p.passes[s], p.blocks[s]) for s in names], "__source string, weight double, passes double, blocks int"))
+    columns = {"weight": pa.array([p.weight[s] for s in names], pa.float64()), "passes": pa.array([p.passes[s] for s in names], pa.float64()), "blocks": pa.array([p.blocks[s] for s in names], pa.int32())}
+    return F.broadcast(tk.values(counted.sparkSession, __source=pa.array(names, pa.string()), **columns))
 
 
 def _dealt(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:

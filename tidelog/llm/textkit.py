@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 #: Bytes of text that kernels take at once; a longer document is a batch of its own.
 BATCH_BYTES = 2 << 20
 
+#: Bytes of rows that Spark hands to a Python worker at once, where the session doesn't say; a longer row goes alone.
+HANDED_BYTES = 4 << 20
+HANDED = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: Characters of labelled texts that a model is fitted on, at most.
 SAMPLE_BYTES = 64 << 20
 #: Rows of keys that are sent to all tasks at most, some 24 bytes each.
@@ -195,15 +199,40 @@ def release() -> None:
         trim(0)
 
 
-def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches of a task; what was held for one is given back before the next and at the end."""
+def lean(batches: Iterator[pa.RecordBatch], every: int = 0) -> Iterator[pa.RecordBatch]:
+    """The batches of a task; what was held for one is given back before the next and at the end. Memory that is given back
+    has to be asked for again, so short batches may go on together until they have ``every`` bytes."""
     release()
+    passed = 0
     for b in batches:
+        passed += b.nbytes if every else 0
         yield b
         del b
+        if passed >= every:
+            release()
+            passed = 0
+    if passed:
         release()
 
 
+def short_batches(spark: SparkSession) -> None:
+    """From here on the session hands rows to Python workers in batches of HANDED_BYTES, unless it has a limit of its own.
+
+    Spark's own limit is 64 MB. Buffers of that size, one for each task at work, leave gaps in an executor's native memory that
+    it never gives back.
+    """
+    if HANDED not in spark.conf.getAll:
+        spark.conf.set(HANDED, str(HANDED_BYTES))
+
+
+def values(spark: SparkSession, **columns: pa.Array) -> DataFrame:
+    """A table of a few values that the driver has.
+
+    They go as Arrow: of Python's rows Spark makes an RDD of pickles, for which executors keep a second daemon with workers.
+    """
+    return spark.createDataFrame(pa.table(columns))
+
+
 def renamed(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """The table under names that can't clash (but for ``text``), and what gives its columns back from
     a table that has the text as ``__text``."""

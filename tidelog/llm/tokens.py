@@ -27,11 +27,13 @@ from tidelog.llm import coder
 from tidelog.llm import textkit as tk
 
 END = 2
-SEGMENT = coder.BLOCK * coder.LANES
+SEGMENT = coder.BLOCK * 4096
 #: Bytes of the words that a worker remembers: those it meets first, in arrays, some 30 bytes each. Others are kept for their batch.
-MEMORY = 8 << 20
+MEMORY = 2 << 20
 #: Bytes of texts that are tokenized together.
-TEXTS = 4 << 20
+TEXTS = 2 << 20
+#: Bytes of texts after which a worker gives back free memory.
+GIVEN_BACK = 16 << 20
 #: Stands between pieces that are encoded in one call; a control character that is one token of its own.
 PART, TOGETHER = "\x01", 512
 
@@ -204,6 +206,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, shards: int | None = None
     in both are one after the other. Other columns are left out. An empty table gives a table of no rows.
     A text is tokenized whole; its ids are held twice, and its pieces as arrays once, in its task.
     """
+    tk.short_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # no more than that: the coder's cost falls with the number of blocks that it works on at once
     shards = shards or max(docs.sparkSession.sparkContext.defaultParallelism, -(-tk.size_of(docs) // SHARD_BYTES))
@@ -228,7 +231,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, shards: int | None = None
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
 
-        for b in tk.lean(batches):
+        for b in tk.lean(batches, GIVEN_BACK):
             texts = tk.text_array(b.column("text"))
             sizes = np.diff(tk.raw(texts)[1])
             keys, valid = b.column("doc_id").fill_null(0).to_pylist(), b.column("doc_id").is_valid().to_pylist()
@@ -258,7 +261,7 @@ def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     # as many rows as shards
     totals = sorted((r.shard, r.n) for r in segments.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect())
     before = np.concatenate([[0], np.cumsum([n for _, n in totals])]).tolist()
-    starts = spark.createDataFrame([(s, b) for (s, _), b in zip(totals, before, strict=False)], "shard int, before long")
+    starts = tk.values(spark, shard=pa.array([s for s, _ in totals], pa.int32()), before=pa.array(before[:-1], pa.int64()))
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
