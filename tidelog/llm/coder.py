@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -36,11 +37,10 @@ _COUNTED = 1 << 20
 
 _T1, _T2 = 11, 12  # bits of the context tables' sizes
 _I, _U = np.int64, np.uint32
-#: Steps whose order 0 is looked up together.
-_AHEAD = 64
+#: Steps whose contexts and shares are computed together.
+_AHEAD = 16
 _HIGH = 32  # the span is at least 1 << _HIGH between ids, and at most 1 << (_HIGH + 16)
-#: Confidence of a prediction: 0 for a context not seen, 1 for a new one, up to 3; by 2 * confidence + right.
-_NEXT = np.array([0, 0, 0, 2, 1, 3, 2, 3], np.int32)
+_NO = 1 << 18  # stands for no prediction
 
 
 class CorruptBlock(ValueError):
@@ -48,17 +48,21 @@ class CorruptBlock(ValueError):
 
 
 class Prior:
-    """Frequencies of ids that add up to 1 << bits, with their sums and the id of each place."""
+    """Frequencies of ids that add up to 1 << bits, with their sums (``places``: sum of those before << 32, frequency) and the id of each place."""
 
     def __init__(self, ids: np.ndarray, frequencies: np.ndarray, bits: int):
         self.ids, self.frequencies, self.bits = ids, frequencies, bits
         ends = np.cumsum(frequencies)
         if len(ids) and (ends[-1] != 1 << bits or frequencies.min() < 1):
             raise CorruptBlock("frequencies don't add up")
-        self.start, self.size = np.zeros(1 << 16, _I), np.zeros(1 << 16, _I)
-        self.start[ids], self.size[ids] = ends - frequencies, frequencies
+        self.places = np.zeros(1 << 16, _I)
+        self.places[ids] = ends - frequencies << 32 | frequencies
         self.place: np.ndarray | None = None
 
+    @property
+    def size(self) -> np.ndarray:
+        return self.places & 0xFFFFFFFF
+
     def inverse(self) -> np.ndarray:
         if self.place is None:
             self.place = np.repeat(self.ids.astype(np.uint16), self.frequencies)
@@ -99,8 +103,8 @@ class Prior:
 class _Model:
     """State of all lanes. ``predict`` sets the mixture; ``learn`` takes the ids of the lanes.
 
-    Row 0 of the stacked arrays is order 1, row 1 is order 2. A cell of a table holds prediction << 12,
-    check of the context << 2 and confidence.
+    Row 0 of the stacked arrays is order 1, row 1 is order 2. A cell of a table holds check of the context << 18,
+    confidence << 16 (0 for a context not seen, 1 for a new one, up to 3) and prediction. A lane's chances are pairs, that of order 2 << 16 and that of order 1.
     """
 
     def __init__(self, lanes: int):
@@ -108,9 +112,9 @@ class _Model:
         self.table = np.zeros((lanes << _T1) + (lanes << _T2), np.int32)
         self.base = np.stack([lane << _T1, (lanes << _T1) + (lane << _T2)])
         # of 65536: chance that order 2 is right, and that order 1 is where order 2 is wrong; by agreement and both confidences
-        first = np.array([np.repeat([64, 4000, 12000, 24000] * 2, 4), [64, 8000, 24000, 44000] * 8], np.int32)
-        self.chance = np.tile(first[:, None, :], (1, lanes, 1)).ravel()
-        self.cell = np.stack([lane << 5, (lanes + lane) << 5])
+        first = np.array([64, 8000, 24000, 44000] * 8, np.uint32) << _U(16) | np.repeat(np.array([64, 4000, 12000, 24000] * 2, np.uint32), 4)
+        self.chance = np.tile(first, lanes).view(np.int32)
+        self.cell = lane << 5
         self.at, self.check = self.base.copy(), np.zeros((2, lanes), np.int32)
         self.old = np.zeros(lanes, np.uint32)
 
@@ -118,77 +122,110 @@ class _Model:
         """From here on only the first n lanes are at work."""
         self.base, self.cell, self.at, self.check, self.old = (np.ascontiguousarray(x[..., :n]) for x in (self.base, self.cell, self.at, self.check, self.old))
 
-    def predict(self) -> None:
-        """Predictions p (-1: none), and cumulated shares a (order 2) and b (order 2 and 1)."""
-        # masked operations cost several plain ones, so masks are numbers here
-        self.cells = cells = self.table.take(self.at, mode="clip")
-        self.c = c = cells ^ self.check
-        c &= 0xFFF
-        mask = c - 4
-        mask >>= 31  # all bits where the context is the cell's, else none
-        c &= mask
-        np.invert(mask, out=mask)
-        self.p = p = cells >> 12
-        p |= mask
-        same = (p[0] == p[1]).astype(np.int32)
-        context = same << 2
+    def predict(self, at: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Predictions p (_NO: none) of the contexts, whether they are the same, and the chances x."""
+        # masks are numbers, all bits or none: masked operations cost several plain ones
+        self.cells = cells = self.table.take(at, mode="clip")
+        self.p = p = cells ^ check
+        np.minimum(p, _NO, out=p)  # the check's bits are left where the context isn't the cell's
+        self.c = c = p >> 16
+        c &= 3
+        p &= _NO | 0xFFFF
+        self.same = (p[0] == p[1]).astype(np.int32)
+        context = self.same << 2
         context += c[0]
         context <<= 2
         context += c[1]
-        self.ctx = self.cell + context
-        self.x = x = self.chance.take(self.ctx, mode="clip")
-        x2 = x[1]
-        a = 65536 - x2
-        a *= x[0] >> 1
-        a >>= 15
-        self.b = a + x2
-        a *= same
-        a += x2
-        self.a = a
-
-    def learn(self, ids: np.ndarray, right: np.ndarray, hits: np.ndarray) -> None:
-        """ids: as int32. right: rows of whether the predictions are the ids; hits: the same, but of order 1 only where order 2
-        was wrong. Chances stay within 64 and 60000."""
-        moved = np.multiply(hits, 59967, dtype=np.int32)
+        self.ctx = ctx = context.astype(_I)
+        ctx += self.cell
+        pair = self.chance.take(ctx, mode="clip")
+        self.x = x = np.empty(p.shape, np.int32)
+        np.bitwise_and(pair, 0xFFFF, out=x[0])
+        np.right_shift(pair, 16, out=x[1])
+        x[1] &= 0xFFFF
+        return x
+
+    def learn(self, at: np.ndarray, check: np.ndarray, ids: np.ndarray, right: np.ndarray, hits: np.ndarray) -> None:
+        """ids: as int32. right: rows of masks, whether the predictions are the ids; hits: the same, but of order 1 only where
+        order 2 was wrong. Chances stay within 64 and 60000."""
+        moved = hits & 59967
         moved += 64
         moved -= self.x
         moved >>= 5
-        moved[0] *= ~hits[1]  # order 1 wasn't asked
+        moved[0] &= ~hits[1]  # order 1 wasn't asked
         moved += self.x
-        self.chance[self.ctx] = moved
-        later = self.c
-        later <<= 1
-        later += right
-        later = _NEXT.take(later, mode="clip")
-        fresh = ids << 12
-        fresh += 1
-        cells = self.cells
-        cells &= -4
-        cells += later
-        later -= 1
-        later >>= 31  # all bits where the cell is the new context's from now on
-        anew = self.check + fresh
-        anew ^= cells
-        anew &= later
-        cells ^= anew
-        self.table[self.at] = cells
-        one = ids.view(np.uint32) * _U(0x9E3779B1)
-        two = one ^ self.old
+        pair = moved[1] << 16
+        pair |= moved[0]
+        self.chance[self.ctx] = pair
+        # one more up to 3 if right, else one less: a cell without confidence is the new context's from now on
+        kept = right << 1
+        np.subtract(self.c, kept, out=kept)
+        np.minimum(kept, 4, out=kept)
+        kept -= 1
+        stays = np.negative(kept)
+        stays >>= 31
+        kept -= self.c
+        kept <<= 16
+        kept += self.cells
+        cells = check + ids
+        cells += 1 << 16
+        kept ^= cells
+        kept &= stays
+        cells ^= kept
+        self.table[at] = cells
+
+    def contexts(self, ids: np.ndarray, old: np.ndarray, at: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Sets cells and checks of the contexts after ids; ``old`` is of the ids before, that of these is returned. All may have rows of steps."""
+        one = ids.view(_U) * _U(0x9E3779B1)
+        kept = one >> _U(3)
+        kept += _U(1)
+        if one.ndim > 1:
+            old = np.concatenate([old[None], kept[:-1]])
+        two = one ^ old
         two *= _U(0x85EBCA6B)
-        np.add(self.base[0], one >> _U(32 - _T1), out=self.at[0])
-        np.add(self.base[1], two >> _U(32 - _T2), out=self.at[1])
-        check = self.check.view(np.uint32)
-        np.right_shift(one, _U(9), out=check[0])
-        np.right_shift(two, _U(8), out=check[1])
-        check &= _U(0xFFC)
-        one >>= _U(3)
-        one += _U(1)
-        self.old = one
-
-
-def _counts(sizes: np.ndarray) -> list[int]:
-    """Lanes still at work at each step; sizes fall."""
-    return np.searchsorted(-sizes, -np.arange(int(sizes[0])), "left").tolist()
+        at[..., 0, :] = one >> _U(32 - _T1)
+        at[..., 1, :] = two >> _U(32 - _T2)
+        at += self.base
+        check = check.view(_U)
+        np.left_shift(one, _U(7), out=check[..., 0, :])
+        np.left_shift(two, _U(8), out=check[..., 1, :])
+        check &= _U(0x3FF << 18)
+        return kept if one.ndim == 1 else kept[-1].copy()
+
+
+def _shares(x: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cumulated shares a (order 2) and b (order 2 and 1) of 65536, from chances in rows."""
+    x2 = x[..., 1, :]
+    a = 65536 - x2
+    a *= x[..., 0, :] >> 1
+    a >>= 15
+    b = a + x2
+    a *= same
+    a += x2
+    return a.astype(_I), b.astype(_I)
+
+
+def _cut(a: np.ndarray, b: np.ndarray, full: int | np.ndarray, some: np.ndarray, two: np.ndarray) -> None:
+    """Makes of a and b the start and the end: 0 and a where order 2 is right, a and b where order 1 is, else b and full."""
+    d = a ^ b
+    np.bitwise_and(d, some, out=a)
+    a ^= b
+    a &= ~two
+    b ^= full
+    b &= some
+    b ^= full
+    d &= two
+    b ^= d
+
+
+def _spans(sizes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Ranges of up to _AHEAD steps, and the lanes still at work in them; sizes fall."""
+    begin = 0
+    for size in np.unique(sizes).tolist():
+        n = int(np.searchsorted(-sizes, -size, "right"))
+        for t in range(begin, size, _AHEAD):
+            yield t, min(t + _AHEAD, size), n
+        begin = size
 
 
 def _encode(blocks: list[np.ndarray], prior: Prior) -> list[np.ndarray]:
@@ -199,85 +236,93 @@ def _encode(blocks: list[np.ndarray], prior: Prior) -> list[np.ndarray]:
     steps = np.zeros((lanes, int(sizes[0])), np.uint16)
     for k, i in enumerate(order.tolist()):
         steps[k, : sizes[k]] = blocks[i]
-    steps = np.ascontiguousarray(steps.T)
-    width = 2 * len(steps) + 8
-    out = np.zeros(lanes * width, np.uint16)
-    base = np.arange(lanes, dtype=_I) * width
-    to = base.copy()
+    # words with their carries, room for those of most blocks
+    width = steps.shape[1] // 2 + 8
+    out = np.zeros((lanes, width), np.uint32)
+    filled = np.zeros(lanes, _I)
     low, span = np.zeros(lanes, _I), np.full(lanes, 1 << _HIGH + 16, _I)
     model = _Model(lanes)
 
-    def carried(at: np.ndarray) -> None:
-        """A carry runs back through words that are full."""
-        back = at - 1
-        while len(back):
-            out[back] += 1
-            back = back[out[back] == 0] - 1
-
-    def put(which: np.ndarray) -> None:
-        """Write out the top words of these lanes."""
-        value, at = low.take(which), to.take(which)
-        over = value >> _HIGH + 16
-        if over.any():
-            carried(at[over > 0])
-        out[at] = (value >> _HIGH) & 0xFFFF
-        to[which] = at + 1
-        low[which] = (value & (1 << _HIGH) - 1) << 16
+    def put(words: list[np.ndarray], due: list[np.ndarray]) -> None:
+        """Write out the words that are due, of rows of lanes."""
+        nonlocal out
+        some = np.array(due).T
+        counts = some.sum(axis=1)
+        n, have = len(counts), out.shape[1]
+        if (more := int((filled[:n] + counts).max()) - have) > 0:
+            out = np.pad(out, ((0, 0), (0, max(more, have))))
+        places = np.repeat(np.arange(n) * out.shape[1] + filled[:n] - (np.cumsum(counts) - counts), counts)
+        places += np.arange(len(places))
+        out.reshape(-1)[places] = np.array(words, np.uint32).T[some]
+        filled[:n] += counts
 
     most = lanes
-    for t, n in enumerate(_counts(sizes)):
-        if not t % _AHEAD:
-            ahead = steps[t : t + _AHEAD]
-            firsts, widths = prior.start.take(ahead), prior.size.take(ahead)
+    for begin, end, n in _spans(sizes):
         if n < most:
             model.narrow(n)
             most = n
-        ids = steps[t, :n].astype(np.int32)
-        model.predict()
-        right = model.p == ids
-        hits = right.copy()
-        hits[0] &= ~right[1]
-        some = hits[0] | right[1]
-        start, end = np.where(some, model.a, model.b), np.where(some, model.b, 65536)
-        np.copyto(end, model.a, where=right[1])
-        start *= ~right[1]
-        end -= start
-        r = span[:n] >> 16
-        add = r * start
-        r *= end
-        # order 0 for the others
-        rest = r >> prior.bits
-        more = rest * firsts[t % _AHEAD, :n]
-        more *= ~some
-        add += more
-        rest *= widths[t % _AHEAD, :n]
-        size = np.where(some, r, rest)
-        value = low[:n]
-        value += add
-        model.learn(ids, right, hits)
-        # a word from each lane that has one, on all lanes: what the others write here is written over
-        due = size < 1 << _HIGH
-        top = value >> _HIGH
-        at = to[:n]
-        if (carry := (top > 0xFFFF) & due).any():
-            carried(at[carry])
-        out[at] = top
-        at += due
-        value[:] = np.where(due, (value & (1 << _HIGH) - 1) << 16, value)
-        size <<= due.astype(_I) << 4
-        span[:n] = size
-        short = np.flatnonzero(size < 1 << _HIGH)
-        while len(short):
-            put(short)
-            size = span.take(short) << 16
-            span[short] = size
-            short = short[size < 1 << _HIGH]
-    every = np.arange(lanes)
-    for _ in range(3):
-        put(every)
+        ids = steps[:n, begin:end].T.astype(np.int32, order="C")
+        places = prior.places.take(ids)
+        # what the contexts are is known before
+        at, check = np.empty((len(ids) + 1, 2, n), _I), np.empty((len(ids) + 1, 2, n), np.int32)
+        at[0], check[0] = model.at, model.check
+        model.old = model.contexts(ids, model.old, at[1:], check[1:])
+        model.at, model.check = at[-1].copy(), check[-1].copy()
+        x, same, hits = np.empty((len(ids), 2, n), np.int32), np.empty((len(ids), n), np.int32), np.empty((len(ids), 2, n), np.int32)
+        for t in range(len(ids)):
+            x[t] = model.predict(at[t], check[t])
+            same[t] = model.same
+            right = np.negative((model.p == ids[t]).astype(np.int32))
+            hits[t] = right
+            hits[t, 0] &= ~right[1]
+            model.learn(at[t], check[t], ids[t], right, hits[t])
+        start, share, two, some = *_shares(x, same), hits[:, 1].astype(_I), (hits[:, 0] | hits[:, 1]).astype(_I)
+        _cut(start, share, 1 << 16, some, two)
+        share -= start
+        # order 0 for those that neither predicted
+        np.invert(some, out=some)
+        less = some & prior.bits
+        first = places >> 32
+        first &= some
+        part = places
+        part &= 0xFFFFFFFF
+        part -= 1
+        part &= some
+        part += 1
+        value, size = low[:n], span[:n]
+        words, due = [], []
+        for t in range(len(ids)):
+            size >>= 16
+            value += size * start[t]
+            size *= share[t]
+            size >>= less[t]
+            value += size * first[t]
+            size *= part[t]
+            # a word from each lane that has one, then from those that have another
+            while True:
+                due.append(size < 1 << _HIGH)
+                words.append((value >> _HIGH).astype(np.uint32))
+                mask = due[-1].astype(_I)
+                np.negative(mask, out=mask)
+                rest = value & (1 << _HIGH) - 1
+                rest <<= 16
+                rest ^= value
+                rest &= mask
+                value ^= rest
+                mask &= 16
+                size <<= mask
+                if size.min() >= 1 << _HIGH:
+                    break
+        put(words, due)
+    put([(low >> k & 0xFFFF) + (low >> _HIGH + 16 << 16) * (k == _HIGH) for k in (_HIGH, 16, 0)], [np.ones(lanes, bool)] * 3)
+    del model
     done = [np.zeros(0, np.uint16)] * lanes
     for k, i in enumerate(order.tolist()):
-        done[i] = out[base[k] : to[k]]
+        words = out[k, : filled[k]]
+        while (carry := words[1:] >> 16).any():  # into the word before
+            words &= _U(0xFFFF)
+            words[:-1] += carry
+        done[i] = words.astype(np.uint16)
     return done
 
 
@@ -299,57 +344,74 @@ def _decode(words: list[np.ndarray], lengths: list[int], prior: Prior) -> list[n
     last = len(inverse) - 1
     out = np.zeros((int(sizes[0]), lanes), np.uint16)
     most = lanes
-    for t, n in enumerate(_counts(sizes)):
+    for begin, end, n in _spans(sizes):
         if n < most:
             model.narrow(n)
             most = n
-        model.predict()
-        r = span[:n] >> 16
-        cut2, cut1 = r * model.a, r * model.b
-        r <<= 16
-        left = value[:n]
-        hits = np.empty((2, n), bool)
-        some = left < cut1
-        np.less(left, cut2, out=hits[1])
-        np.greater(some, hits[1], out=hits[0])
-        ids = np.where(hits[1], model.p[1], model.p[0])
-        start, size = np.where(some, cut2, cut1), np.where(some, cut1, r)
-        np.copyto(size, cut2, where=hits[1])
-        start *= ~hits[1]
-        size -= start
-        left -= start
-        rest = np.flatnonzero(~some)
-        if len(rest):
-            r = size.take(rest) >> prior.bits
-            v = left.take(rest)
-            # a quotient of doubles is at most one too high
-            place = (v / np.maximum(r, 1)).astype(_I)
-            place -= place * r > v
-            found = inverse.take(np.minimum(place, last))
-            left[rest] = v - r * prior.start.take(found)
-            size[rest] = r * prior.size.take(found)
-            ids[rest] = found
-        ids &= 0xFFFF
-        out[t, :n] = ids
-        model.learn(ids, model.p == ids, hits)
-        due = size < 1 << _HIGH
-        here = at[:n]
-        more = left & (1 << _HIGH) - 1
-        more <<= 16
-        more |= source.take(here, mode="clip")
-        value[:n] = np.where(due, more, left)
-        here += due
-        np.minimum(here, stop[:n], out=here)
-        size <<= due.astype(_I) << 4
-        span[:n] = size
-        short = np.flatnonzero(size < 1 << _HIGH)
-        while len(short):
-            here = np.minimum(at.take(short), stop.take(short))
-            value[short] = (value.take(short) & (1 << _HIGH) - 1) << 16 | source.take(here)
-            at[short] = here + 1
-            size = np.maximum(span.take(short), 1) << 16
-            span[short] = size
-            short = short[size < 1 << _HIGH]
+        left, size, here, there = value[:n], span[:n], at[:n], stop[:n]
+        hits = np.empty((2, n), np.int32)
+        for t in range(begin, end):
+            a, b = _shares(model.predict(model.at, model.check), model.same)
+            size >>= 16
+            a *= size
+            b *= size
+            size <<= 16
+            some, two = left - b, left - a
+            some >>= 63
+            two >>= 63
+            hits[0], hits[1] = some, two
+            _cut(a, b, size, some, two)
+            hits[0] ^= hits[1]
+            left -= a
+            b -= a
+            # order 0 for those that neither predicted; a quotient of doubles is at most one too high
+            none = np.invert(some, out=some)
+            r = b >> prior.bits
+            np.maximum(r, 1, out=r)
+            place = (left / r).astype(_I)
+            place -= (place * r > left).astype(_I)
+            place &= none
+            found = inverse.take(np.minimum(place, last, out=place), mode="clip").astype(_I)
+            places = prior.places.take(found, mode="clip")
+            first = places >> 32
+            first &= none
+            first *= r
+            left -= first
+            places &= 0xFFFFFFFF
+            places *= r
+            places ^= b
+            places &= none
+            np.bitwise_xor(places, b, out=size)
+            found &= none
+            ids = found.astype(np.int32)
+            ids |= model.p[0] & hits[0]
+            ids |= model.p[1] & hits[1]
+            ids &= 0xFFFF
+            out[t, :n] = ids
+            model.learn(model.at, model.check, ids, np.negative((model.p == ids).astype(np.int32)), hits)
+            model.old = model.contexts(ids, model.old, model.at, model.check)
+            mask = size - (1 << _HIGH)
+            mask >>= 63
+            more = left & (1 << _HIGH) - 1
+            more <<= 16
+            more |= source.take(here, mode="clip").astype(_I)
+            more ^= left
+            more &= mask
+            left ^= more
+            here -= mask
+            np.minimum(here, there, out=here)
+            mask &= 16
+            size <<= mask
+            if size.min() < 1 << _HIGH:
+                short = np.flatnonzero(size < 1 << _HIGH)
+                while len(short):
+                    words_at = np.minimum(at.take(short), stop.take(short))
+                    value[short] = (value.take(short) & (1 << _HIGH) - 1) << 16 | source.take(words_at)
+                    at[short] = words_at + 1
+                    again = np.maximum(span.take(short), 1) << 16
+                    span[short] = again
+                    short = short[again < 1 << _HIGH]
+    del model
     done = [np.zeros(0, np.uint16)] * lanes
     columns = np.ascontiguousarray(out.T)
     for k, i in enumerate(order.tolist()):

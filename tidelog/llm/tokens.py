@@ -23,13 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import coder
+from tidelog.llm import coder, merges
 from tidelog.llm import textkit as tk
 
 END = 2
 SEGMENT = coder.BLOCK * 4096
 #: Bytes of the words that a worker remembers: those it meets first, in arrays, some 30 bytes each. Others are kept for their batch.
-MEMORY = 2 << 20
+MEMORY = 512 << 10
 #: Bytes of texts that are tokenized together.
 TEXTS = 2 << 20
 #: Bytes of texts after which a worker gives back free memory.
@@ -62,6 +62,8 @@ _LETTERS = np.arange(256, dtype="<u4")
 _hidden = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
 _LETTERS[_hidden] = 256 + np.arange(len(_hidden))
 _LETTERS[0x20] = 0x20
+#: That of each byte that plain words have.
+_PLAIN = {b: chr(_LETTERS[b]) for b in range(0x21, 0x100) if not _ODD[b]}
 
 #: Bytes of a shard as the table's files or plan hold them, at most about.
 SHARD_BYTES = 16 << 20
@@ -85,6 +87,10 @@ class Tokenizer:
         self.part = self.library.encode(PART, add_special_tokens=False).ids
         rules = json.loads(self.library.to_str())
         self.plain = [rules["normalizer"], rules["pre_tokenizer"]] == RULES and len(self.part) == 1 and all(t["content"].startswith("<|") for t in rules["added_tokens"])
+        try:
+            self.merges = merges.Merges(rules["model"], _PLAIN) if self.plain else None
+        except (KeyError, ValueError):
+            self.merges = None
         del rules
         self.words = Library(self.library.model)  # the same model, without the rules
         self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -110,8 +116,13 @@ class Tokenizer:
             found = np.array([i for x in each for i in x], np.uint16), np.array([len(x) for x in each])
         return found
 
+    def merged(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of plain words, all at once."""
+        data, at = tk.raw(words)
+        return self.merges.ids(data, at[:-1], np.diff(at))
+
     def modelled(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The same of plain words."""
+        """The same of plain words that ``merges`` doesn't take."""
         text = _LETTERS[np.frombuffer(f" {PART} ".encode().join(words), np.uint8)].tobytes().decode("utf-32-le")
         return self.cut(np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64), len(words))
 
@@ -155,13 +166,20 @@ class Tokenizer:
         as_piece[where[whole]] = True
         place = pc.index_in(distinct, value_set=self.known)
         fresh = np.flatnonzero(place.is_null().to_numpy(zero_copy_only=False))
-        fresh = fresh[np.argsort(as_piece[fresh], kind="stable")]
-        n_words = len(fresh) - int(as_piece[fresh].sum())
+        # words that are merged here, other words, whole pieces
+        way = np.ones(len(fresh), np.int8)
+        if self.merges:
+            way[np.diff(tk.raw(distinct)[1])[fresh] <= merges.LONGEST] = 0
+        way[as_piece[fresh]] = 2
+        fresh = fresh[np.argsort(way, kind="stable")]
+        n_merged, n_words = np.cumsum(np.bincount(way, minlength=3))[:2].tolist()
         place = place.fill_null(0).to_numpy().copy()
         place[fresh] = len(self.known) + np.arange(len(fresh))
         new = distinct.take(pa.array(fresh))
         found = [(self.stored, self.sizes)]
-        for encode, i, j in ((self.modelled, 0, n_words), (self.encoded, n_words, len(fresh))):
+        if n_merged:
+            found.append(self.merged(new.slice(0, n_merged)))
+        for encode, i, j in ((self.modelled, n_merged, n_words), (self.encoded, n_words, len(fresh))):
             found += [encode(new.slice(k, min(TOGETHER, j - k)).to_pylist()) for k in range(i, j, TOGETHER)]
         stored, sizes = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]).astype(np.int32)
         # distinct pieces, then the end as one more, then the texts
