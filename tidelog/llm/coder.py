@@ -104,7 +104,7 @@ class _Model:
     """State of all lanes. ``predict`` sets the mixture; ``learn`` takes the ids of the lanes.
 
     Row 0 of the stacked arrays is order 1, row 1 is order 2. A cell of a table holds check of the context << 18,
-    confidence << 16 (0 for a context not seen, 1 for a new one, up to 3) and prediction. A lane's chances are pairs, that of order 2 << 16 and that of order 1.
+    prediction << 2 and confidence: 0 for a context not seen, 1 for a new one, up to 3. A lane's chances are pairs, that of order 2 << 16 and that of order 1.
     """
 
     def __init__(self, lanes: int):
@@ -113,7 +113,7 @@ class _Model:
         self.base = np.stack([lane << _T1, (lanes << _T1) + (lane << _T2)])
         # of 65536: chance that order 2 is right, and that order 1 is where order 2 is wrong; by agreement and both confidences
         first = np.array([64, 8000, 24000, 44000] * 8, np.uint32) << _U(16) | np.repeat(np.array([64, 4000, 12000, 24000] * 2, np.uint32), 4)
-        self.chance = np.tile(first, lanes).view(np.int32)
+        self.chance = np.tile(first, lanes)
         self.cell = lane << 5
         self.at, self.check = self.base.copy(), np.zeros((2, lanes), np.int32)
         self.old = np.zeros(lanes, np.uint32)
@@ -123,14 +123,13 @@ class _Model:
         self.base, self.cell, self.at, self.check, self.old = (np.ascontiguousarray(x[..., :n]) for x in (self.base, self.cell, self.at, self.check, self.old))
 
     def predict(self, at: np.ndarray, check: np.ndarray) -> np.ndarray:
-        """Predictions p (_NO: none) of the contexts, whether they are the same, and the chances x."""
+        """Predictions p (_NO >> 2: none) of the contexts, whether they are the same, and the chances x."""
         # masks are numbers, all bits or none: masked operations cost several plain ones
         self.cells = cells = self.table.take(at, mode="clip")
         self.p = p = cells ^ check
         np.minimum(p, _NO, out=p)  # the check's bits are left where the context isn't the cell's
-        self.c = c = p >> 16
-        c &= 3
-        p &= _NO | 0xFFFF
+        self.c = c = p & 3
+        p >>= 2
         self.same = (p[0] == p[1]).astype(np.int32)
         context = self.same << 2
         context += c[0]
@@ -140,14 +139,13 @@ class _Model:
         ctx += self.cell
         pair = self.chance.take(ctx, mode="clip")
         self.x = x = np.empty(p.shape, np.int32)
-        np.bitwise_and(pair, 0xFFFF, out=x[0])
-        np.right_shift(pair, 16, out=x[1])
-        x[1] &= 0xFFFF
+        np.bitwise_and(pair, _U(0xFFFF), out=x[0].view(_U))
+        np.right_shift(pair, _U(16), out=x[1].view(_U))
         return x
 
     def learn(self, at: np.ndarray, check: np.ndarray, ids: np.ndarray, right: np.ndarray, hits: np.ndarray) -> None:
-        """ids: as int32. right: rows of masks, whether the predictions are the ids; hits: the same, but of order 1 only where
-        order 2 was wrong. Chances stay within 64 and 60000."""
+        """ids: as int32. right: rows of 1 where the predictions are the ids, else 0; hits: masks of the same, but of order 1
+        only where order 2 was wrong. Chances stay within 64 and 60000."""
         moved = hits & 59967
         moved += 64
         moved -= self.x
@@ -156,22 +154,21 @@ class _Model:
         moved += self.x
         pair = moved[1] << 16
         pair |= moved[0]
-        self.chance[self.ctx] = pair
+        self.chance[self.ctx] = pair.view(_U)
         # one more up to 3 if right, else one less: a cell without confidence is the new context's from now on
-        kept = right << 1
-        np.subtract(self.c, kept, out=kept)
-        np.minimum(kept, 4, out=kept)
-        kept -= 1
-        stays = np.negative(kept)
+        move = right << 1
+        move -= 1
+        np.minimum(3 - self.c, move, out=move)
+        self.c += move
+        stays = np.negative(self.c, out=self.c)
         stays >>= 31
-        kept -= self.c
-        kept <<= 16
-        kept += self.cells
+        move += self.cells
+        ids = ids << 2
+        ids += 1
         cells = check + ids
-        cells += 1 << 16
-        kept ^= cells
-        kept &= stays
-        cells ^= kept
+        move ^= cells
+        move &= stays
+        cells ^= move
         self.table[at] = cells
 
     def contexts(self, ids: np.ndarray, old: np.ndarray, at: np.ndarray, check: np.ndarray) -> np.ndarray:
@@ -237,7 +234,7 @@ def _encode(blocks: list[np.ndarray], prior: Prior) -> list[np.ndarray]:
     for k, i in enumerate(order.tolist()):
         steps[k, : sizes[k]] = blocks[i]
     # words with their carries, room for those of most blocks
-    width = steps.shape[1] // 2 + 8
+    width = steps.shape[1] * 5 // 8 + 8
     out = np.zeros((lanes, width), np.uint32)
     filled = np.zeros(lanes, _I)
     low, span = np.zeros(lanes, _I), np.full(lanes, 1 << _HIGH + 16, _I)
@@ -272,9 +269,9 @@ def _encode(blocks: list[np.ndarray], prior: Prior) -> list[np.ndarray]:
         for t in range(len(ids)):
             x[t] = model.predict(at[t], check[t])
             same[t] = model.same
-            right = np.negative((model.p == ids[t]).astype(np.int32))
-            hits[t] = right
-            hits[t, 0] &= ~right[1]
+            right = (model.p == ids[t]).astype(np.int32)
+            np.negative(right, out=hits[t])
+            hits[t, 0] &= ~hits[t, 1]
             model.learn(at[t], check[t], ids[t], right, hits[t])
         start, share, two, some = *_shares(x, same), hits[:, 1].astype(_I), (hits[:, 0] | hits[:, 1]).astype(_I)
         _cut(start, share, 1 << 16, some, two)
@@ -388,7 +385,7 @@ def _decode(words: list[np.ndarray], lengths: list[int], prior: Prior) -> list[n
             ids |= model.p[1] & hits[1]
             ids &= 0xFFFF
             out[t, :n] = ids
-            model.learn(model.at, model.check, ids, np.negative((model.p == ids).astype(np.int32)), hits)
+            model.learn(model.at, model.check, ids, (model.p == ids).astype(np.int32), hits)
             model.old = model.contexts(ids, model.old, model.at, model.check)
             mask = size - (1 << _HIGH)
             mask >>= 63

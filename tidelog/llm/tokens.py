@@ -31,7 +31,7 @@ SEGMENT = coder.BLOCK * 4096
 #: Bytes of the words that a worker remembers: those it meets first, in arrays, some 30 bytes each. Others are kept for their batch.
 MEMORY = 512 << 10
 #: Bytes of texts that are tokenized together.
-TEXTS = 2 << 20
+TEXTS = 4 << 20
 #: Bytes of texts after which a worker gives back free memory.
 GIVEN_BACK = 16 << 20
 #: Stands between pieces that are encoded in one call; a control character that is one token of its own.
